@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import bpe, packing, splitting
+from bookloom.llm import bpe, lookalike, packing, splitting
 from bookloom.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.found(table(spark, sf, "documents"), table(spark, sf, "segments"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.oversized(table(spark, sf, "chapters"), table(spark, sf, "segments"), table(spark, sf, "length_limits"))
 
@@ -26,7 +30,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(bpe.token_counts(table(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_pieces, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """
