@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, lookalike, packing, splitting
+from bookloom.llm import bpe, lookalike, packing, repeated_lines, splitting
 from bookloom.sources.tables import table
 
 
@@ -22,6 +23,15 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_rows(table(spark, sf, "chapters"), table(spark, sf, "segments"), table(spark, sf, "length_limits"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_lines.found(table(spark, sf, "documents"), table(spark, sf, "blocks"), table(spark, sf, "pages"))
+
+
+def p5_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeated_lines.repeated_blocks(table(spark, sf, "documents"))
+    return found.select("grp", F.array_join("block", "\n").alias("block"), "n_lines", "n_docs")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf, "documents"))
 
@@ -30,7 +40,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(bpe.token_counts(table(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """
