@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, lookalike, packing, repeated_lines, splitting
+from bookloom.llm import bpe, lookalike, packing, repeated_lines, scan_noise, splitting
 from bookloom.sources.tables import table
 
 
@@ -32,6 +32,10 @@ def p5_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("grp", F.array_join("block", "\n").alias("block"), "n_lines", "n_docs")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_noise.found(table(spark, sf, "documents"), table(spark, sf, "chapters"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf, "documents"))
 
@@ -40,7 +44,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(bpe.token_counts(table(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p7_found, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """
