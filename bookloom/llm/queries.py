@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, lookalike, packing, repeated_lines, scan_noise, splitting
+from bookloom.llm import bpe, lookalike, packing, quality, repeated_lines, scan_noise, splitting
 from bookloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.found(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "segments"), table(spark, sf, "lexicon"))
+
+
+def p2_stats(spark: SparkSession, sf: str) -> DataFrame:
+    names = (("documents", "doc_id"), ("pages", "page_uid"), ("segments", "seg_uid"))
+    parts = [table(spark, sf, t).select(F.lit(t).alias("src"), F.col(uid).alias("uid"), "text") for t, uid in names]
+    return quality.text_statistics(parts[0].unionByName(parts[1]).unionByName(parts[2]), table(spark, sf, "lexicon"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.found(table(spark, sf, "documents"), table(spark, sf, "segments"))
 
@@ -44,7 +54,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(bpe.token_counts(table(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p7_found, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p7_found, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """
