@@ -37,7 +37,7 @@ GRAM, COVER = 8, 0.5
 #: Most words of the lexicon that are sent to every worker; the lexicon is a fixed table.
 LEXICON = 50_000
 #: Words of at least this frequency in the lexicon are common.
-COMMON = 9
+COMMON = 6
 
 # What marks running text in scripts without spaces.
 FUNCTION = re.compile("[的了在是不没有都和与为这那从说到]|[ぁ-ん]|และ|ที่|ว่า|มี|เมื่อ|ใน|ของ|เป็น|คือ|จาก|ไม่|กับ|รู้|ยาว|แล้ว|จึง|เรื่อง|ถาม|มา|ไป|จน|ราว")
@@ -45,7 +45,7 @@ _unspaced = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 _words = re.compile("[^\\W\\d_](?:[^\\W_]|[̀-ͯऀ-ःऺ-ॏ॑-ॗॢॣً-ٟ'’-])*")
 _numeric = re.compile(r"\d+(?:[.,]\d+)*")
 _leader = re.compile(r"(?:\.\s?){5,}|(?:…\s?){3,}|(?:·\s?){5,}|_{5,}")
-_marker = re.compile(r"\s*(?:\(?\d{1,3}[.)]|[-*•·–‣◦▪]|\(?[a-zA-Z][.)]|\[\d+\])\s+")
+_marker = re.compile(r"\s*(?:\(?\d{1,3}[.)]|[-*•·–—>‣◦▪]|\(?[a-z]\)|\[\d+\])\s+")
 _index = re.compile(r".{1,60}?[,\s]\s*\d{1,4}(?:\s*[-–]\s*\d{1,4})?[.;]?\s*$")
 _final = re.compile(r"[.!?…。！？।؟][\"'”’»」』)\]]*\s*$")
 _strange = re.compile(r"[□¤§¿¾½¼µ¶º¹²³¸´¯¢£¥¦¨ª±×÷|~^_�°{}<>=+*#\\@$%&/]|Ã|Â")
@@ -101,7 +101,7 @@ def line_class(line: str, common: frozenset[str]) -> str:
         return "table"
     if _marker.match(shown) and size < 30 and hits * 6 < size or " / " in shown:
         return "entry"
-    if hits * 12 >= size and size >= 6:
+    if hits * 16 >= size and size >= 6:
         return "prose"
     if _index.fullmatch(shown) and size < 30:
         return "entry"
@@ -115,22 +115,22 @@ def line_class(line: str, common: frozenset[str]) -> str:
 def classes(lines: list[str], common: frozenset[str]) -> list[str]:
     """Class of each line; lines of few words are judged by what they follow and by their neighbours."""
     own = [line_class(line, common) for line in lines]
+    shown = [k for k in range(len(lines)) if own[k] or lines[k].strip()]
+    few = {k for k in shown if own[k] in ("", "short")}
     before, ended = "", True
-    for k, line in enumerate(lines):
-        shown = line.rstrip()
-        if not shown:
-            continue
-        if own[k] in ("", "short"):
-            follows = before == "prose" and not ended
-            if follows:
+    for at, k in enumerate(shown):
+        line = lines[k].rstrip()
+        if k in few:
+            # One line of few words may end a paragraph; several in a row are entries.
+            alone = at + 1 == len(shown) or shown[at + 1] not in few or shown[at + 1] > k + 1
+            if before == "prose" and not ended and alone and shown[at - 1] == k - 1 and not _marker.match(line):
+                own[k] = "prose"
+            elif own[k] == "" and _final.search(line):
                 own[k] = "prose"
-            elif own[k] == "":
-                own[k] = "prose" if _final.search(shown) else "few"
             else:
                 own[k] = "few"
-        before, ended = own[k], bool(_final.search(shown))
+        before, ended = own[k], bool(_final.search(line))
     # What is left: lines of few words go on in prose, or stand among entries, or are a title.
-    shown = [k for k in range(len(lines)) if own[k]]
     first = list(own)
     for at, k in enumerate(shown):
         if own[k] != "few":
