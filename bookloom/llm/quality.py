@@ -181,6 +181,22 @@ def statistics(text: str, common: frozenset[str]) -> tuple[int, float, float, fl
     )
 
 
+def no_prose(text: str, common: frozenset[str]) -> bool:
+    """Whether a text that stands alone is no natural prose."""
+    if visible(text) < SHORT:
+        return False
+    lines = text.split("\n")
+    shown = other = 0
+    own = classes(lines, common)
+    whole = coverage(text) > COVER if len(lines) < 4 or "junk" in own else False
+    for line, kind in zip(lines, own):
+        if kind and not is_number(line):
+            size = visible(line)
+            shown += size if kind != "title" else 0
+            other += size if whole or kind in ("entry", "table", "junk") else 0
+    return other * 2 > shown
+
+
 def common_words(lexicon: DataFrame) -> frozenset[str]:
     """The common words of a lexicon; the table has a fixed size, which is checked."""
     return frozenset(r.word for r in checked_broadcast_rows(lexicon.filter(F.col("freq") >= COMMON).select("word").distinct(), LEXICON, "the lexicon"))

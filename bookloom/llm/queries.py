@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, lookalike, packing, quality, repeated_lines, scan_noise, splitting
+from bookloom.llm import bpe, lookalike, packing, quality, repeated_lines, scan_noise, sentences, splitting
 from bookloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.found(table(spark, sf, "segments"), table(spark, sf, "lexicon"))
+
+
+def p1_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_rows(table(spark, sf, "segments"), table(spark, sf, "lexicon"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return quality.found(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "segments"), table(spark, sf, "lexicon"))
 
@@ -54,7 +62,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(bpe.token_counts(table(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p7_found, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p7_found, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """
