@@ -19,9 +19,9 @@ statistics of a text without words are 0.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,9 @@ COMMON = 6
 # What marks running text in scripts without spaces.
 FUNCTION = re.compile("[的了在是不没有都和与为这那从说到]|[ぁ-ん]|และ|ที่|ว่า|มี|เมื่อ|ใน|ของ|เป็น|คือ|จาก|ไม่|กับ|รู้|ยาว|แล้ว|จึง|เรื่อง|ถาม|มา|ไป|จน|ราว")
 _unspaced = re.compile("[぀-ヿ㐀-鿿฀-๿]")
-_words = re.compile("[^\\W\\d_](?:[^\\W_]|[̀-ͯऀ-ःऺ-ॏ॑-ॗॢॣً-ٟ'’-])*")
+_words = re.compile("[^\\W\\d_][\\ẁ-ͯऀ-ःऺ-ॏ॑-ॗॢॣً-ٟ'’-]*")
+#: Signs of what may be no prose; a line without any needs no more than its words.
+_special = re.compile(r"[\t|;/_□¤§¿¾�Ã\\{}<>=+*#]|\.{5}|…|·| {3}|[,;](?=\S)|\S{35}|(?<!\S)\S*\d\S*[A-Za-z]\S{8}")
 _numeric = re.compile(r"\d+(?:[.,]\d+)*")
 _leader = re.compile(r"(?:\.\s?){5,}|(?:…\s?){3,}|(?:·\s?){5,}|_{5,}")
 _marker = re.compile(r"\s*(?:\(?\d{1,3}[.)]|[-*•·–—>‣◦▪]|\(?[a-z]\)|\[\d+\])\s+")
@@ -59,6 +61,10 @@ def line_class(line: str, common: frozenset[str]) -> str:
     if not shown:
         return ""
     words = _words.findall(shown)
+    lower = [w.lower() for w in words]
+    known = sum(map(common.__contains__, lower))
+    if len(words) >= 4 and known * 8 >= len(words) and not _special.search(shown) and not _marker.match(shown):
+        return "prose"
     size = len(shown) - shown.count(" ")
     if not words:
         return "junk"
@@ -80,8 +86,6 @@ def line_class(line: str, common: frozenset[str]) -> str:
         longest = max(map(len, shown.split()))
         if longest > 34 or _code.search(shown):
             return "junk"
-        lower = [w.lower() for w in words]
-        known = sum(map(common.__contains__, lower))
         if len(_spaces3.split(shown)) > 2 and known * 4 < len(words):
             return "table"
         if _marker.match(shown) and len(words) <= 10 and (not _final.search(shown) or known * 3 <= len(words)) or " / " in shown and len(words) < 12:
@@ -156,8 +160,22 @@ def coverage(text: str) -> float:
     shown = "".join(text.split())
     if len(shown) < 5 * GRAM:
         return 0.0
-    top = Counter(shown[k : k + GRAM] for k in range(0, len(shown) - GRAM + 1)).most_common(1)[0][0]
-    return shown.count(top) * GRAM / len(shown)
+    codes = np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    hashes = np.zeros(len(codes) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(hashes)]
+    hashes.sort()
+    edges = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True])))
+    most = int(np.diff(edges).max())
+    if most * GRAM <= 0.1 * len(shown):
+        return most * GRAM / len(shown)
+    # Copies of an n-gram that overlap cover less; the one that occurs most is counted without overlap.
+    at = int(edges[np.argmax(np.diff(edges))])
+    whole = np.zeros(len(codes) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        whole = whole * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(whole)]
+    start = int(np.flatnonzero(whole == hashes[at])[0])
+    return shown.count(shown[start : start + GRAM]) * GRAM / len(shown)
 
 
 def statistics(text: str, common: frozenset[str]) -> tuple[int, float, float, float, float, float, float, float]:

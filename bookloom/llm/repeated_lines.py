@@ -53,6 +53,9 @@ _read = re.compile(r"(?<=[^\W\d_])[01569@!](?=[^\W\d_])|(?<![\w@!])[01569@!](?=[
 _no_letter = re.compile(r"[\W\d_]+")
 _mark = re.compile("[̀-ͯ]+")
 _roman = re.compile(r"(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
+_readable = re.compile("[0-9@!]")
+_ascii_letters = {c: FOLD.get(c, c) if chr(c).isalpha() else None for c in range(128)}
+_roman_digits = frozenset("ivxlc")
 _ends = re.compile(r"^\W*([ivxlc]+)\W+(?=\w\w)|(?<=\w\w)\W+([ivxlc]+)\W*$")
 
 
@@ -70,21 +73,24 @@ def identifier(line: str) -> str | None:
     text = consistent(line).casefold()
     if not text.isascii():
         text = unicodedata.normalize("NFC", _mark.sub("", unicodedata.normalize("NFD", text)))
-    plain = _no_letter.sub("", text)
-    if plain in PAGE_WORDS or (len(plain) < 8 and _roman.fullmatch(plain)):
-        return None
+    if len(text) < 40:
+        plain = _no_letter.sub("", text)
+        if plain in PAGE_WORDS or (len(plain) < 8 and _roman.fullmatch(plain)):
+            return None
     words = text.split()
-    if sum(len(w) == 1 for w in words) * 2 <= len(words):
-        text = _ends.sub(_without_roman, text)
-    text = _month.sub(" ", text)
-    text = _read.sub(lambda m: READ[m[0]], text)
+    if (text[0] in _roman_digits or text[-1] in _roman_digits or not (text[0].isalpha() and text[-1].isalpha())) and sum(len(w) == 1 for w in words) * 2 <= len(words):
+        text = _ends.sub(_without_roman, text) if len(text) < 200 else text
+    if _readable.search(text):
+        # Dates have digits, so months matter only beside some; a digit within a word is a misread letter.
+        text = _month.sub(" ", text)
+        text = _read.sub(lambda m: READ[m[0]], text)
     if "�" in text:
-        text = "".join(re.findall(r"[^\W\d_]|�", text))
+        text = "".join(re.findall(r"[^\W\d_]|�", text)).translate(ONE_SCRIPT).translate(FOLD)
+    elif text.isascii():
+        text = text.translate(_ascii_letters)
     else:
-        text = _no_letter.sub("", text)
-    if not text.isascii():
-        text = text.translate(ONE_SCRIPT)
-    text = text.translate(FOLD).replace("rn", "m")
+        text = _no_letter.sub("", text).translate(ONE_SCRIPT).translate(FOLD)
+    text = text.replace("rn", "m")
     if not text:
         return None
     return text if len(text) <= LONG else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
