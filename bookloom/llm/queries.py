@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, lookalike, packing, quality, repeated_lines, scan_noise, sentences, splitting
+from bookloom.llm import bpe, lookalike, packing, quality, repeated_lines, repetition, scan_noise, sentences, splitting
 from bookloom.sources.tables import table
 
 
@@ -50,6 +50,14 @@ def p5_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("grp", F.array_join("block", "\n").alias("block"), "n_lines", "n_docs")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.found(table(spark, sf, "take_review"), table(spark, sf, "subject_examples"))
+
+
+def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.scored(table(spark, sf, "take_review"), table(spark, sf, "subject_examples")).distinct()
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return scan_noise.found(table(spark, sf, "documents"), table(spark, sf, "chapters"))
 
@@ -62,7 +70,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(bpe.token_counts(table(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p7_found, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p6_found, p6_scores, p7_found, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """
