@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, lookalike, packing, quality, repeated_lines, repetition, scan_noise, sentences, splitting
+from bookloom.llm import bpe, lookalike, packing, quality, repeated_lines, repetition, scan_noise, sentences, splitting, subjects
 from bookloom.sources.tables import table
 
 
@@ -70,7 +70,16 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(bpe.token_counts(table(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p6_found, p6_scores, p7_found, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("documents", "subject_examples", "lexicon", "subject_areas")
+    return subjects.found(*(table(spark, sf, name) for name in names))
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_found(spark, sf).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p6_found, p6_scores, p7_found, p8_ids, p9_containers, p10_found, p10_composition)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """
