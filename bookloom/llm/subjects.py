@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,15 @@ PASSAGES = 2
 PART = 0.2
 #: A line in so many documents and this part of its source's is none of a document's sentences; most such lines in all.
 DOCUMENTS, REPEATED, OFTEN = 5, 0.02, 1_000_000
+#: Steps in which a document's share of a subject is counted.
+STEPS = 16
 #: Rounds of EM.
 ROUNDS = 1
 #: Odds by which a sentence's best subject may lead another that it is also about.
 BESIDE = 1.4
 
 _word = re.compile(r"[a-zà-öø-ÿœа-яё]+(?:[’'-][a-zà-öø-ÿœа-яё]+)*|[ؠ-ًؿ-ٟٮ-ۓ]{2,}|[ऀ-ॣॱ-ॿ]{2,}|[ァ-ヶー]{2,}|[一-鿿]+|[ก-๎]{4,}")
-_end = re.compile(r"(?<=[^\W\d_]{4}[.!?…])\s+(?=[^a-zà-ÿа-яё\s])|(?<=[^\W\d_]{4}\.[\"”’»])\s+(?=[^a-zà-ÿа-яё\s])|(?<=[^\W\d_]{3}\.)(?=[A-ZА-Я][a-zа-я])|(?<=[。！？।؟])(?![”」』»])\s*")
+_end = re.compile(r"([.!?…])([\"”’»]*)(\s+|(?=[A-ZА-Я][a-zа-я]))|[。！？।؟](?![”」』»])\s*")
 _junk = re.compile(r"[□¤§¾�]|[A-Za-zऀ-ॿ؀-ۿа-я][_/][A-Za-zऀ-ॿ؀-ۿа-я]")
 _thai = re.compile("[ก-๎]")
 
@@ -90,6 +93,22 @@ def source_key(source: str | None) -> int:
     return xxhash.xxh32_intdigest((source or "").encode("utf-8", "surrogatepass"))
 
 
+def sentences(text: str) -> list[str]:
+    """A paragraph cut after the marks that end a sentence, but not after short words, or quotations that ask or exclaim."""
+    out, start = [], 0
+    for m in _end.finditer(text):
+        at, end = m.start(), m.end()
+        if m[1] and end < len(text):
+            if not text[max(0, at - 4) : at].isalpha() or at < 4 or text[end].islower() or m[2] and m[1] != ".":
+                continue
+        if end - start > 3:
+            out.append(text[start:end])
+        start = end
+    if len(text) - start > 3:
+        out.append(text[start:])
+    return out
+
+
 def units(text: str, source: int = 0, often: frozenset[str] = frozenset()) -> list[str]:
     """Sentences of a text, or its lines where they are entries; lines that come back in its source are left out."""
     lines = [line.strip() for line in text.split("\n")]
@@ -114,7 +133,7 @@ def units(text: str, source: int = 0, often: frozenset[str] = frozenset()) -> li
         if _thai.search(part) and len(part) > 40:
             whole.extend(chunk for chunk in part.split() if len(chunk) > 8)
         elif len(part) > 60 or "。" in part or "।" in part:
-            whole.extend(x for x in _end.split(part) if len(x) > 3)
+            whole.extend(sentences(part))
         else:
             whole.append(part)
     return whole
@@ -142,14 +161,13 @@ class Model:
         self.scale = [(1.0, -2.0)] * n
         self.often: frozenset[str] = frozenset()
 
-    def scores(self, unit: str) -> dict[int, float]:
-        """Score of each subject that a feature of the sentence speaks for."""
+    def scores(self, found: list[str]) -> dict[int, float]:
+        """Score of each subject that a feature of a sentence speaks for."""
         out: dict[int, float] = {}
-        get = self.weights.get
-        for feature in features(unit):
-            found = get(feature)
-            if found:
-                for k, w in found:
+        weights = self.weights
+        for feature in found:
+            if feature in weights:
+                for k, w in weights[feature]:
                     out[k] = out.get(k, 0.0) + w
         return out
 
@@ -157,9 +175,9 @@ class Model:
         """Calibrated posterior of each subject on its own."""
         return {k: 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale[k][0] * s + self.scale[k][1])))) for k, s in found.items()}
 
-    def about(self, unit: str) -> list[int]:
-        """The subjects that a sentence is about."""
-        found = self.scores(unit)
+    def about(self, found_features: list[str]) -> list[int]:
+        """The subjects that a sentence of these features is about."""
+        found = self.scores(found_features)
         if not found:
             return []
         best = max(found.values())
@@ -174,7 +192,7 @@ class Model:
                 size += max(1, len(unit) // 80)
                 continue
             size += 1
-            counts.update(self.about(unit))
+            counts.update(self.about(features(unit)))
         return [self.subjects[k] for k, n in sorted(counts.items()) if n >= PART * size]
 
 
@@ -199,7 +217,7 @@ def calibrate(own: Model, rows: list[tuple[str, str]]) -> None:
     xs: dict[int, list[tuple[float, float]]] = defaultdict(list)
     for subject, text in rows:
         for unit in units(text):
-            for k, score in own.scores(unit).items():
+            for k, score in own.scores(features(unit)).items():
                 xs[k].append((score, float(k == index.get(subject))))
     for k, pairs in xs.items():
         data = np.array(pairs)
@@ -230,24 +248,32 @@ def expected(documents: DataFrame, own: Model) -> tuple[dict[str, np.ndarray], f
         known = model.known
         for batch in batches:
             sums: dict[tuple[str, int], float] = defaultdict(float)
+            total: Counter[str] = Counter()
+            held: list[dict[int, Counter[str]]] = [defaultdict(Counter) for _ in range(n)]
             for text, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 name = source_key(source)
                 sums[f"{name:08x}", -2] += 1
                 for line in {x for line in text.split("\n") if 8 < len(x := line.strip()) < 200}:
                     sums[line_key(name, line), -1] += 1
                 # A sentence is labelled by what the document's other sentences are about, so no feature speaks for itself.
-                parts = [(features(unit), model.about(unit)) for unit in units(text)]
+                parts = []
+                for unit in units(text):
+                    found = list(filter(known.__contains__, features(unit)))
+                    parts.append((found, model.about(found)))
                 if len(parts) < 2:
                     continue
-                whole = Counter(k for _, about in parts for k in about)
-                for own_features, about in parts:
-                    rest = {k: (m - (k in about)) / (len(parts) - 1) for k, m in whole.items()}
-                    shares = [(k, m) for k, m in rest.items() if m > 0]
-                    shares.append((n, max(0.05, 1 - sum(m for _, m in shares))))
-                    for feature in own_features:
-                        if feature in known:
-                            for k, m in shares:
-                                sums[feature, k] += m
+                total.update(chain.from_iterable(found for found, _ in parts))
+                for k, m in Counter(k for _, about in parts for k in about).items():
+                    for inside in (True, False):
+                        level = round(STEPS * (m - inside) / (len(parts) - 1))
+                        if level:
+                            held[k][level].update(chain.from_iterable(found for found, about in parts if (k in about) == inside))
+            for k, levels in enumerate(held):
+                for level, counted in levels.items():
+                    for feature, m in counted.items():
+                        sums[feature, k] += m * level / STEPS
+            for feature, m in total.items():
+                sums[feature, n] = m
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array(list(sums.values()), pa.float64())], names=["feature", "k", "n"])
 
     rows = documents.select("text", "source").filter(F.col("text").isNotNull()).mapInArrow(run, "feature string, k int, n double")
@@ -255,6 +281,8 @@ def expected(documents: DataFrame, own: Model) -> tuple[dict[str, np.ndarray], f
     out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n + 1))
     for r in checked_broadcast_rows(counts.filter("k >= 0"), len(own.known) * (n + 1) + 1, "the list of feature counts"):
         out[r.feature][r.k] = r.n
+    for own_counts in out.values():
+        own_counts[n] = max(0.05 * own_counts[n], own_counts[n] - own_counts[:n].sum())
     sizes = counts.filter("k = -2").select(F.col("feature").alias("name"), F.greatest(F.lit(DOCUMENTS), F.col("n") * REPEATED).alias("least"))
     lines = counts.filter((F.col("k") == -1) & (F.col("n") >= DOCUMENTS)).withColumn("name", F.substring("feature", 1, 8)).join(sizes, "name").filter("n >= least")
     often = frozenset(r.feature for r in checked_broadcast_rows(lines.select("feature"), OFTEN, "the list of repeated lines"))
