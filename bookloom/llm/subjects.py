@@ -56,10 +56,13 @@ _word = re.compile(r"[a-zà-öø-ÿœа-яё]+(?:[’'-][a-zà-öø-ÿœа-яё]
 _end = re.compile(r"([.!?…])([\"”’»]*)(\s+|(?=[A-ZА-Я][a-zа-я]))|[。！？।؟](?![”」』»])\s*")
 _junk = re.compile(r"[□¤§¾�]|[A-Za-zऀ-ॿ؀-ۿа-я][_/][A-Za-zऀ-ॿ؀-ۿа-я]")
 _thai = re.compile("[ก-๎]")
+_unspaced = re.compile("[ก-๎ァ-ヶー一-鿿]")
 
 
 def features(unit: str) -> list[str]:
     """The features of a sentence."""
+    if not _unspaced.search(unit):
+        return _word.findall(unit.lower())
     out = []
     for word in _word.findall(unit.lower()):
         first = word[0]
@@ -113,7 +116,7 @@ def units(text: str, source: int = 0, often: frozenset[str] = frozenset()) -> li
     """Sentences of a text, or its lines where they are entries; lines that come back in its source are left out."""
     lines = [line.strip() for line in text.split("\n")]
     if often:
-        lines = [line for line in lines if not line or line_key(source, line) not in often]
+        lines = [line for line in lines if not 8 < len(line) < 200 or line_key(source, line) not in often]
     shown = [line for line in lines if line]
     on = sum(a[-1] not in ".!?…。！？।؟" and len(a) > 30 and b[0].islower() for a, b in zip(shown, shown[1:]))
     out: list[str] = []
