@@ -68,13 +68,13 @@ def words_per_minute(segments: DataFrame, takes: DataFrame) -> DataFrame:
 
 
 def duration_outliers(takes: DataFrame) -> DataFrame:
-    """(book_id, segment_id, ratio, median, mad) of takes whose seconds a character are out of bounds or far from their book's median."""
+    """(book_id, segment_id, ratio, median, mad, outlier) of takes of long enough texts: seconds a character out of bounds or far from their book's median."""
     own = current_takes(takes).filter(F.col("chars") >= LONG).withColumn("ratio", F.col("duration_s") / F.col("chars"))
     med = own.groupBy("book_id").agg(F.median("ratio").alias("median"))
     mad = own.join(med, "book_id").groupBy("book_id").agg(F.median(F.abs(F.col("ratio") - F.col("median"))).alias("mad"))
     held = own.join(med, "book_id").join(mad, "book_id")
     out = ~F.col("ratio").between(FASTEST, SLOWEST) | (F.col("ratio") > ABOVE * F.col("median")) | (F.col("ratio") < BELOW * F.col("median"))
-    return held.filter(out).select("book_id", "segment_id", F.round("ratio", 6).alias("ratio"), F.round("median", 6).alias("median"), F.round(F.when(F.col("mad") == 0, 0.005).otherwise(F.col("mad")), 6).alias("mad"))
+    return held.select("book_id", "segment_id", out.alias("outlier"), F.round("ratio", 6).alias("ratio"), F.round("median", 6).alias("median"), F.round(F.when(F.col("mad") == 0, 0.005).otherwise(F.col("mad")), 6).alias("mad"))
 
 
 def speaker_similarity(vectors: DataFrame) -> DataFrame:

@@ -65,8 +65,9 @@ def words_per_minute(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
     WITH {TK}, r AS (SELECT *, duration_s / chars AS ratio FROM t WHERE chars >= 40), m AS (SELECT book_id, median(ratio) AS med FROM r GROUP BY 1),
     d AS (SELECT r.book_id, median(abs(ratio - med)) AS mad FROM r JOIN m USING (book_id) GROUP BY 1)
-    SELECT r.book_id, segment_id, round(ratio, 6) AS ratio, round(med, 6) AS median, round(CASE WHEN mad = 0 THEN 0.005 ELSE mad END, 6) AS mad
-    FROM r JOIN m USING (book_id) JOIN d USING (book_id) WHERE ratio NOT BETWEEN 0.045 AND 0.14 OR ratio > 2.2 * med OR ratio < 0.45 * med
+    SELECT r.book_id, segment_id, round(ratio, 6) AS ratio, round(med, 6) AS median, round(CASE WHEN mad = 0 THEN 0.005 ELSE mad END, 6) AS mad,
+           ratio NOT BETWEEN 0.045 AND 0.14 OR ratio > 2.2 * med OR ratio < 0.45 * med AS outlier
+    FROM r JOIN m USING (book_id) JOIN d USING (book_id)
 """)
 def duration_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return T.duration_outliers(table(spark, sf, "takes"))
