@@ -45,6 +45,7 @@ _unspaced = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 _words = re.compile("[^\\W\\d_][\\ẁ-ͯऀ-ःऺ-ॏ॑-ॗॢॣً-ٟ'’-]*")
 #: Signs of what may be no prose; a line without any needs no more than its words.
 _special = re.compile(r"[\t|;/_□¤§¿¾�Ã\\{}<>=+*#]|\.{5}|…|·| {3}|[,;](?=\S)|\S{35}|(?<!\S)\S*\d\S*[A-Za-z]\S{8}")
+_vowel = re.compile("[aeiouy]")
 _numeric = re.compile(r"\d+(?:[.,]\d+)*")
 _leader = re.compile(r"(?:\.\s?){5,}|(?:…\s?){3,}|(?:·\s?){5,}|_{5,}")
 _marker = re.compile(r"\s*(?:\(?\d{1,3}[.)]|[-*•·–—>‣◦▪]|\(?[a-z]\)|\[\d+\])\s+")
@@ -95,6 +96,8 @@ def line_class(line: str, common: frozenset[str]) -> str:
             return "prose"
         if _index.fullmatch(shown) and len(words) <= 6 and known * 3 < len(words):
             return "entry"
+        if known * 8 < len(words) and len(words) >= 3 and 2 * sum(w.isascii() and len(w) > 2 and not _vowel.search(w) for w in lower) > len(words):
+            return "junk"
         if len(words) >= 6 and known * 12 < len(words):
             return "junk" if _final.search(shown) is None or known == 0 and len(words) > 12 else ""
         if known == 0 and len(words) <= 5:

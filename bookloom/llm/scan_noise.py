@@ -47,7 +47,7 @@ STANDS_FOR = {
 }
 _digits = str.maketrans("lIOo", "1100")
 #: Letters that are read as two: (printed, meant, part of the rate).
-DOUBLE = (("rn", "m", 0.3), ("ri", "n", 0.3), ("ii", "u", 0.3), ("li", "h", 0.1), ("cl", "d", 0.1), ("vv", "w", 0.1), ("m", "rn", 0.1))
+DOUBLE = (("rn", "m", 0.3), ("ri", "n", 0.3), ("ii", "u", 0.3), ("li", "h", 0.3), ("cl", "d", 0.3), ("vv", "w", 0.3), ("m", "rn", 0.1))
 #: Part of the words that no count knows.
 UNKNOWN = 0.1
 INSERTED = "°^_|~'"

@@ -53,6 +53,8 @@ _pairs = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(
 _digits = re.compile(r"\d+")
 _first = re.compile(r"[^\W\d_]+")
 _marks = frozenset(MARKS)
+_joiners = frozenset("—–;,:")
+_inner = re.compile(r"[.!?…](?=[A-ZА-ЯÀ-Ý])")
 
 
 def quoted(text: str) -> list[tuple[int, int, bool]]:
@@ -62,8 +64,10 @@ def quoted(text: str) -> list[tuple[int, int, bool]]:
         char = m[0]
         if stack and char == stack[-1][1]:
             start = stack.pop()[0]
-            before = text[max(0, start - 6) : start].rstrip()
-            out.append((start, m.end(), start == 0 or not before or before[-1] in _marks or before[-1] in "\"'”’»」』)]）"))
+            near = text[max(0, start - 6) : start]
+            before = near.rstrip()
+            initial = not before or before[-1] in _marks or before[-1] in "\"'”’»」』)]）" or len(before) < len(near) and bool(_thai.match(before[-1]))
+            out.append((start, m.end(), initial))
         elif char in _pairs and len(stack) < 3:
             stack.append((m.start(), _pairs[char]))
     return out
@@ -102,7 +106,7 @@ class Events:
         places = [(m.start(), m.end()) for m in _event.finditer(text)]
         if _thai.search(text):
             taken = {e for _, e in places}
-            places += [(m.start(), m.start()) for m in _space.finditer(text) if m.start() and m.start() not in taken and not m[0][0] in INVISIBLE]
+            places += [(m.start(), m.start()) for m in _space.finditer(text) if m.start() and m.start() not in taken and m[0][0] not in INVISIBLE and text[m.start() - 1] not in _joiners and text[m.end() : m.end() + 1] not in _joiners]
             places.sort()
         size, last = len(text), 0
         self.ending = ("", "", "")
@@ -142,8 +146,11 @@ class Events:
                 break
             if start < b <= end + 1 or start == end == b:
                 state = "i" if initial else "e"
-        word = text[max(0, start - 24) : start].rsplit(None, 1)
-        word = word[-1] if word else ""
+        ahead = text[max(0, start - 30) : start].rsplit(None, 2)
+        word = _inner.split(ahead[-1])[-1] if ahead else ""
+        if len(ahead) > 1 and (word.isdigit() or len(word) == 1) and len(ahead[-2]) < 5 and ahead[-2].islower():
+            # A number or a letter says little alone; a short word before it, like that of a page or an hour, is part of the context.
+            word = f"{ahead[-2][-8:]} {word}"
         if not word.isascii():
             word = consistent(word) or ""
         word = _digits.sub("0", word.lstrip("“„«「『\"'(‘¿¡—–-"))
