@@ -79,6 +79,8 @@ def is_number(line: str) -> bool:
     if len(line) > 24:
         return False
     line = _spaced.sub("", line.strip())
+    if 1 < len(line) < 4 and set(line) <= {"l", "I", "O"} and not _roman.fullmatch(line):
+        return True
     line = _misread_number.sub(lambda m: m[0].translate(_digits) if any(map(str.isdigit, m[0])) else m[0], line)
     if not _number.fullmatch(line):
         return False
@@ -262,30 +264,31 @@ def noise(text: str, title: str | None, own: Model) -> list[tuple[int, str]]:
     shown = [k for k, line in enumerate(lines) if line.strip()]
     lengths = sorted(len(lines[k].rstrip()) for k in shown)
     width = lengths[int(len(lengths) * 0.8)] if lengths else 0
-    numbers = {k for k in shown if is_number(lines[k])}
+    numbers = {k for k in shown if is_number(lines[k]) or is_number(raw[k])}
     name = identifier(title) if title else None
     heads: set[int] = set()
     keys = {k: identifier(lines[k]) for k in shown if k not in numbers and len(lines[k]) < 1.6 * width + 20}
     again = Counter(keys.values())
+    # The text has begun once a line has gone on in the next; a title above that is no running head.
+    begun = next((at + 1 for at, (j, k) in enumerate(zip(shown, shown[1:])) if not _end.search(lines[j]) and lines[k].lstrip()[:1].islower() and len(lines[j].rstrip()) > 0.6 * width), len(shown))
+    titles = {k for k in shown if k not in numbers and k in keys and _title_like(lines[k], width)}
     for at, k in enumerate(shown):
         if at == 0 or at == len(shown) - 1 or k in numbers or k not in keys:
             continue
-        line = lines[k]
-        key = keys[k]
+        line, key = lines[k], keys[k]
         before = next((lines[j] for j in reversed(shown[:at]) if j not in numbers), "")
         after = next((lines[j] for j in shown[at + 1 :] if j not in numbers), "")
-        top = not any(len(lines[j].rstrip()) > 0.7 * width and identifier(lines[j]) != name for j in shown[:at]) if at <= 3 else False
-        if key and key == name:
-            if not (at <= 3 and all(identifier(lines[j]) != name for j in shown[:at]) and (top or _end.search(before) or not after[:1].islower() and not _continues(shown, at, lines, numbers))):
-                heads.add(k)
-            continue
-        if not _title_like(line, width):
-            continue
-        near = shown[at - 1] in numbers or shown[at + 1] in numbers or bool(_numbered.search(line))
-        cut = bool(before) and not _end.search(before) and not before.rstrip().endswith(":")
+        cut = bool(before) and not _end.search(before)
         goes_on = after.lstrip()[:1].islower()
-        if (near and (cut or goes_on or again[key] > 1)) or (cut and goes_on) or (again[key] > 1 and (cut or goes_on)):
+        near = shown[at - 1] in numbers or shown[at + 1] in numbers
+        named = bool(key) and key == name
+        if named and (at > begun or near or cut and at > 3 or goes_on):
             heads.add(k)
+        elif k in titles and not named:
+            numbered = bool(_numbered.search(line))
+            listed = shown[at - 1] in titles and shown[at + 1] in titles
+            if cut and goes_on or at > begun and (near or numbered or again[key] > 1 or not listed) or at > 3 and near and (cut or goes_on):
+                heads.add(k)
     for k in heads:
         out.append((k, "running_head"))
     for k in numbers:
@@ -316,10 +319,6 @@ def noise(text: str, title: str | None, own: Model) -> list[tuple[int, str]]:
     return out
 
 
-def _continues(shown: list[int], at: int, lines: list[str], numbers: set[int]) -> bool:
-    return shown[at - 1] in numbers or shown[at + 1] in numbers
-
-
 def misread(part: str, own: Model, whole: str = "", line: str = "") -> bool:
     """Whether a line of text has a word whose characters were misrecognised; ``part`` is it without halves of words."""
     words = _printed.findall(part)
