@@ -185,6 +185,118 @@ def words_per_minute(t: Tables) -> DataFrame:
     return _rows(timeline.words_per_minute(_segments(t), t("takes")).filter("wpm is null or wpm not between 130 and 178"), "book_id", "book_id", "spoken too fast or slow")
 
 
+@check(2, "no_footnotes_inline")
+def no_footnotes_inline(t: Tables) -> DataFrame:
+    notes = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\s*[0-9]{1,3}\.\s+[A-Z][^.]*, [0-9]{1,4}")))
+    markers = F.regexp_count("text", F.lit(r"[a-z][.,;][0-9]{1,3}\s"))
+    return _rows(_chapters(t).filter((notes >= 5) | (markers >= 8)), "book_id", "chapter_uid", "footnotes in the text")
+
+
+@check(4, "segment_text_quality", fixable=True)
+def segment_text_quality(t: Tables) -> DataFrame:
+    own = _segments(t).filter(F.col("type").isin(*narration.PROSE) & (F.length("text") >= 40))
+    blind = own.select("seg_uid", narration.numeric_blind(F.col("text")).alias("text"))
+    poor = dictionary.prose_word_ratio(blind, dictionary.dictionary(t("lexicon")), "seg_uid").filter("prose_ratio < 0.55")
+    return _rows(poor.join(own.select("seg_uid", "book_id"), "seg_uid"), "book_id", "seg_uid", "few dictionary words")
+
+
+@check(4, "number_style", fixable=True)
+def number_style(t: Tables) -> DataFrame:
+    return _rows(_segments(t).filter(F.col("text").rlike(narration.ERA_CENTURY)), "book_id", "seg_uid", "a year is spelled out like a quantity")
+
+
+@check(4, "faithfulness", fixable=True)
+def faithfulness(t: Tables) -> DataFrame:
+    """Paragraphs of a chapter of which no segment of that chapter has at least three quarters of the words."""
+    source = _chapters(t).select("book_id", F.col("id").alias("chapter_id"), "chapter_uid", F.posexplode(F.split("text", "\n\n")).alias("place", "text")).filter(F.size(X.words(F.col("text"))) > 8)
+    source = source.select("book_id", "chapter_id", (F.col("chapter_uid") * 100000 + F.col("place")).alias("id"), "text")
+    rewrite = _segments(t).filter(F.col("text").isNotNull()).select("book_id", "chapter_id", F.col("seg_uid").alias("id"), "text")
+    kept = align.best_matches(source, rewrite, 0.75).select("book_id", "chapter_id", F.col("src_id").alias("id"))
+    return _rows(source.join(kept, ["book_id", "chapter_id", "id"], "left_anti"), "book_id", "chapter_id", "a paragraph is not in the narration")
+
+
+@check(5, "speaker_similarity", fixable=True)
+def speaker_similarity(t: Tables) -> DataFrame:
+    found = timeline.speaker_similarity(t("embeddings")).filter("similarity < 0.6")
+    return found.select(F.col("label").cast("string").alias("doc_id"), F.col("vec_id").cast("string").alias("unit_id"), F.lit("another voice").alias("message"))
+
+
+@check(6, "chapter_markers")
+def chapter_markers(t: Tables) -> DataFrame:
+    own = timeline.markers(timeline.timeline(_segments(t), t("takes")), t("chapters").dropDuplicates(["chapter_uid"]))
+    return _rows(own.filter("end_ms <= start_ms"), "book_id", "id", "a marker without length")
+
+
+def seeded(texts: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(doc_id, id, polarity, hit): whether each seeded string is in its document.
+
+    ``texts`` is (doc_id, text), ``assertions`` (doc_id, polarity, id, text, match) with match substring, line or regex.
+    Assertions meet only the texts of their document.
+    """
+    held = texts.withColumnRenamed("text", "body").join(assertions, "doc_id")
+    hit = (
+        F.when(F.col("match") == "regex", F.expr("body rlike concat('(?im)', text)"))
+        .when(F.col("match") == "line", F.exists(F.split("body", "\n"), lambda x: X.normalized(x, True) == X.normalized(F.col("text"), True)))
+        .otherwise(X.contains_normalized(F.col("body"), F.col("text")))
+    )
+    return held.groupBy("doc_id", "id", "polarity").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"))
+
+
+def seeded_violations(texts: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, message) of strings that must not be there and are, or must be and are not."""
+    found = seeded(texts, assertions).filter((F.col("polarity") == "must_not_contain") == F.col("hit"))
+    return found.select("doc_id", F.col("id").alias("unit_id"), F.when(F.col("hit"), "forbidden string").otherwise("missing string").alias("message"))
+
+
+def removed_text_absent(removed: DataFrame, narrated: DataFrame, least: int = 60, head: int = 120) -> DataFrame:
+    """(doc_id, unit_id, message) of removed blocks of some length that are narrated all the same.
+
+    A removed block meets the segments of its document that share its first word of six letters or more.
+    """
+    word = F.regexp_extract(F.lower("text"), r"[a-zà-ÿа-я]{6,}", 0)
+    gone = removed.filter(F.length("text") >= least).select("doc_id", "unit_id", F.substring(X.normalized(F.col("text"), True), 1, head).alias("part"), word.alias("w")).filter("w <> ''")
+    said = narrated.select("doc_id", X.normalized(F.col("text"), True).alias("body"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zà-ÿа-я]{6,}"), F.lit(0)))).alias("w"))
+    return gone.join(said, ["doc_id", "w"]).filter("contains(body, part)").select("doc_id", "unit_id", F.lit("removed text is narrated").alias("message")).distinct()
+
+
+def count_matches(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, message) of documents whose number of chapters is not the expected one; both are (doc_id, n)."""
+    held = expected.withColumnRenamed("n", "want").join(found, "doc_id", "left").filter("coalesce(n, 0) <> want")
+    return held.select("doc_id", F.col("doc_id").alias("unit_id"), F.lit("another number of chapters").alias("message"))
+
+
+def audio_valid(stats: DataFrame) -> DataFrame:
+    """(segment_id, reason) of takes that are missing, empty, silent, clipped or end hot, from their measured figures."""
+    reason = (
+        F.when(~F.col("exists"), "missing")
+        .when(F.col("sample_rate") != 24000, "rate")
+        .when(F.col("duration_s") <= 0.05, "empty")
+        .when(F.col("peak") < 1e-4, "silent")
+        .when(F.col("peak") > 0.999, "clipped")
+        .when(F.col("tail_rms") > 0.35 * F.col("body_rms"), "hot_end")
+    )
+    return stats.select("segment_id", reason.alias("reason")).filter("reason is not null")
+
+
+def loudness(measured: DataFrame, target: float = -18.0, within: float = 1.5, peak: float = -3.0) -> DataFrame:
+    """(book_id, reason) of programmes off the target loudness or above the peak."""
+    reason = F.when(F.abs(F.col("lufs") - target) > within, "loudness").when(F.col("peak_db") > peak, "peak")
+    return measured.select("book_id", reason.alias("reason")).filter("reason is not null")
+
+
+def level_spread(levels: DataFrame, most: float = 6.0, least: int = 4) -> DataFrame:
+    """(book_id, spread) of books whose sampled takes differ by more than ``most`` decibels."""
+    own = levels.groupBy("book_id").agg((F.max("level_db") - F.min("level_db")).alias("spread"), F.count("*").alias("n"))
+    return own.filter((F.col("n") >= least) & (F.col("spread") > most)).select("book_id", "spread")
+
+
+def container_markers(planned: DataFrame, container: DataFrame, within_ms: int = 200) -> DataFrame:
+    """(book_id, place, reason): markers of a container, side by side with the planned ones; both are (book_id, place, title, start_ms)."""
+    held = planned.select("book_id", "place", F.col("title").alias("t"), F.when(F.col("place") == 0, 0).otherwise(F.col("start_ms")).alias("s")).join(container.select("book_id", "place", "title", "start_ms"), ["book_id", "place"], "full_outer")
+    reason = F.when(F.col("t").isNull() | F.col("title").isNull(), "count").when(F.col("t") != F.col("title"), "title").when(F.abs(F.col("s") - F.col("start_ms")) > within_ms, "time")
+    return held.select("book_id", "place", reason.alias("reason")).filter("reason is not null")
+
+
 def violations(tables: Tables, dimensions: list[str] | None = None) -> DataFrame:
     """(doc_id, stage, dimension, unit_id, message, fixable) of the checks named, or of all."""
     out = None
