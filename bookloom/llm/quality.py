@@ -32,6 +32,8 @@ from bookloom.session import checked_broadcast_rows, written
 
 #: Visible characters below which a text is never found.
 SHORT = 20
+#: Lines that a page may have beside its number and still be nothing but margins.
+MARGINS = 2
 #: Length of the character n-grams, and the part of a text one may cover.
 GRAM, COVER = 8, 0.5
 #: Most words of the lexicon that are sent to every worker; the lexicon is a fixed table.
@@ -250,13 +252,16 @@ def measured(texts: DataFrame, common: frozenset[str], by_line: bool) -> DataFra
         words = shared.value
         for batch in batches:
             at, keys, shown, other = [], [], [], []
+            sources = batch.column(0).to_pylist()
             for k, text in enumerate(batch.column(3).to_pylist()):
                 lines = text.split("\n")
                 own = classes(lines, words)
                 junk = coverage(text) > COVER if len(lines) < 4 or "junk" in own else False
                 sums: dict[str | None, list[int]] = {}
+                # A page of so few lines is its margins; they are no list.
+                few = not by_line and "junk" not in own and sum(bool(kind) and not is_number(line) for line, kind in zip(lines, own)) <= MARGINS and sources[k] == "pages"
                 for line, kind in zip(lines, own):
-                    if not kind or is_number(line):
+                    if not kind or is_number(line) or few and kind in ("entry", "table"):
                         continue
                     size = visible(line)
                     key = repeated_lines.identifier(line) if by_line else ""

@@ -33,6 +33,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.found(table(spark, sf, "documents"), table(spark, sf, "segments"))
 
 
+def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.forms(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "form")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.oversized(table(spark, sf, "chapters"), table(spark, sf, "segments"), table(spark, sf, "length_limits"))
 
@@ -50,6 +54,12 @@ def p5_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("grp", F.array_join("block", "\n").alias("block"), "n_lines", "n_docs")
 
 
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "source", "text")
+    found = repeated_lines.found(table(spark, sf, "documents"), table(spark, sf, "blocks"), table(spark, sf, "pages"))
+    return repeated_lines.without(documents, found, "doc_id", "documents").select("doc_id", "text")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.found(table(spark, sf, "take_review"), table(spark, sf, "subject_examples"))
 
@@ -62,6 +72,10 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return scan_noise.found(table(spark, sf, "documents"), table(spark, sf, "chapters"))
 
 
+def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_noise.repaired_texts(table(spark, sf, "documents"), table(spark, sf, "chapters"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf, "documents"))
 
@@ -79,7 +93,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return p10_found(spark, sf).groupBy("subject").agg(F.count("*").alias("documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_blocks, p6_found, p6_scores, p7_found, p8_ids, p9_containers, p10_found, p10_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p3_forms, p4_found, p4_pieces, p5_found, p5_blocks, p5_clean, p6_found, p6_scores, p7_found, p7_repaired, p8_ids, p9_containers, p10_found, p10_composition)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """

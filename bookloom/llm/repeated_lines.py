@@ -204,11 +204,16 @@ def repeated_blocks(documents: DataFrame) -> DataFrame:
     suffixes = runs.select("grp", "uid", F.posexplode(F.transform("ids", lambda _, k: F.slice(F.col("ids"), k + 1, F.size("ids"))))).filter(F.size("col") > 1)
     counted = suffixes.groupBy("grp", F.col("col").alias("suffix")).agg(F.count_distinct("uid").alias("n"))
     order = W.partitionBy("grp", F.col("suffix")[0]).orderBy("suffix")
-    before = F.lag("suffix").over(order)
-    common = F.coalesce(F.size(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size("suffix"), F.size(before))), lambda k: F.slice("suffix", 1, k) == F.slice(before, 1, k)), lambda same: same)), F.lit(0))
-    lcp = counted.withColumn("lcp", common)
-    # Every prefix of two lines or more that two neighbours share, or that alone spans enough documents, is counted over its suffixes.
-    prefixes = lcp.select("grp", F.explode(F.transform(F.sequence(F.lit(2), F.size("suffix")), lambda k: F.slice("suffix", 1, k))).alias("block"), "suffix")
+
+    def common(other: Column) -> Column:
+        """Length of the prefix that a suffix shares with a neighbour."""
+        places = F.sequence(F.lit(1), F.least(F.size("suffix"), F.size(other)))
+        return F.coalesce(F.size(F.filter(places, lambda k: F.slice("suffix", 1, k) == F.slice(other, 1, k))), F.lit(0))
+
+    sorted_ = counted.withColumns({"_b": F.lag("suffix").over(order), "_a": F.lead("suffix").over(order)})
+    # Prefixes longer than what a neighbour shares are of this suffix alone; they count only if it comes from enough documents itself.
+    longest = F.greatest(common(F.col("_b")), common(F.col("_a")), F.when(F.col("n") >= DOCUMENTS, F.size("suffix")).otherwise(0))
+    prefixes = sorted_.withColumn("_k", longest).filter("_k >= 2").select("grp", F.explode(F.transform(F.sequence(F.lit(2), F.col("_k")), lambda k: F.slice("suffix", 1, k))).alias("block"), "suffix")
     spans = prefixes.join(suffixes.select("grp", "uid", F.col("col").alias("suffix")).distinct(), ["grp", "suffix"]).groupBy("grp", "block").agg(F.count_distinct("uid").alias("n_docs"))
     return spans.join(least.select("grp", "least"), "grp").filter(F.col("n_docs") >= F.col("least")).select("grp", "block", F.size("block").alias("n_lines"), "n_docs")
 

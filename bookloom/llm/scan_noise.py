@@ -2,9 +2,10 @@
 
 A noisy channel: a printed word is what was meant, passed through character
 confusions of known probability. What was meant is weighed by the corpus, by
-word counts where the word is a common one and by character trigrams where it
-is not (names), and decoded by Viterbi over the characters that each printed
-one can stand for. Breaks at line ends are judged by the same counts: the two
+word counts where the word is a common one and by character n-grams where it is
+not (names). Words with marks, digits or unread letters are decoded by Viterbi
+over the characters that each printed one can stand for; words of letters are
+weighed against those that one misreading makes of them. Breaks at line ends are judged by the same counts: the two
 halves are joined unless the corpus writes the word with its hyphen. Page
 numbers and running heads are found by their form, by the title, and by the
 sentence that they interrupt.
@@ -33,8 +34,10 @@ from bookloom.llm.lookalike import consistent
 from bookloom.llm.repeated_lines import identifier
 from bookloom.session import checked_broadcast_rows, written
 
-#: Words and trigrams of at least this share of all are known to every worker; at most 1/share of them.
-SHARE, GRAM_SHARE = 2e-6, 1e-6
+#: Words, and character n-grams of each length, of at least this share of all are known to every worker; at most 1/share of them.
+SHARE, GRAM_SHARE = 2e-6, 2e-6
+#: Longest character n-gram, and the weight of the shorter ones where a longer one is rare.
+LONGEST, BACKOFF = 5, 2.0
 #: How much likelier (in nats) another reading must be.
 MARGIN = 2.5
 #: Probability that a letter is misread at all.
@@ -104,26 +107,40 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Model:
-    """Word counts and character trigrams; small enough for every worker."""
+    """Word counts and character n-grams; small enough for every worker."""
 
     def __init__(self, total: int, words: dict[str, int], grams: dict[str, int]):
         self.total, self.words, self.grams = max(1, total), words, grams
         heads: Counter[str] = Counter()
         for gram, n in grams.items():
-            heads[gram[:2]] += n
+            heads[gram[:-1]] += n
         self.heads = dict(heads)
         self.memo: dict[str, str | None] = {}
 
-    def gram(self, a: str, b: str, c: str) -> float:
-        return math.log((self.grams.get(a + b + c, 0) + 0.02) / (self.heads.get(a + b, 0) + 2.0))
+    def gram(self, before: str, char: str) -> float:
+        """Probability of a character after at most four others, longer contexts weighed against shorter ones."""
+        p = 1 / 40
+        for n in range(min(LONGEST - 1, len(before)), 0, -1):
+            if before[-n:] in self.heads:
+                break
+        else:
+            n = 1
+        for k in range(1, n + 1):
+            context = before[-k:]
+            p = (self.grams.get(context + char, 0) + BACKOFF * p) / (self.heads.get(context, 0) + BACKOFF)
+        return p
+
+    def span(self, padded: str, start: int, end: int) -> float:
+        """Log-probability of the characters from ``start`` to ``end`` of a padded word."""
+        return sum(math.log(self.gram(padded[max(0, k - 4) : k], padded[k])) for k in range(start, min(end, len(padded))))
 
     def spelled(self, word: str) -> float:
-        padded = "^^" + word + "$"
-        return sum(self.gram(*padded[k : k + 3]) for k in range(len(padded) - 2))
+        padded = "^^^^" + word + "$"
+        return self.span(padded, 4, len(padded))
 
     def decode(self, printed: str) -> tuple[str, float]:
-        """The likeliest letters behind a printed word and their log-probability, by Viterbi over (previous, last) letter."""
-        beams: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+        """The likeliest letters behind a printed word and their log-probability, by Viterbi over the last letters."""
+        beams: dict[str, tuple[float, str]] = {"^" * (LONGEST - 1): (0.0, "")}
         sure, miss = math.log(1 - RATE), math.log(RATE)
         for char in printed:
             options = [(char, sure)] if char.isalpha() else []
@@ -137,14 +154,14 @@ class Model:
                 if char in INSERTED:
                     moves = [("", miss)]
                 for c, cost in moves:
-                    at = (state[1] + c) if c else state
-                    value = score + cost + (self.gram(state[0], state[1], c) if c else 0.0)
+                    at = (state + c)[-(LONGEST - 1) :] if c else state
+                    value = score + cost + (math.log(self.gram(state, c)) if c else 0.0)
                     if at not in new or value > new[at][0]:
                         new[at] = (value, path + c)
             beams = dict(sorted(new.items(), key=lambda x: -x[1][0])[:60]) if len(new) > 60 else new
             if not beams:
                 return printed, -1e9
-        score, path = max(((s + self.gram(k[0], k[1], "$"), p) for k, (s, p) in beams.items()), default=(-1e9, printed))
+        score, path = max(((s + math.log(self.gram(k, "$")), p) for k, (s, p) in beams.items()), default=(-1e9, printed))
         return path, score
 
     def meant(self, printed: str) -> str | None:
@@ -157,48 +174,57 @@ class Model:
         return out
 
     def _meant(self, word: str) -> str | None:
-        plain = word.isalpha()
         seen = self.words.get(word, 0)
-        best, best_n = None, 0.0
-        for other, cost in self._one_off(word):
-            n = self.words.get(other, 0) * cost
-            if n > best_n:
-                best, best_n = other, n
-        if plain:
-            own = self.spelled(word) + len(word) * math.log(1 - RATE) + math.log(UNKNOWN)
-            if seen:
-                own = max(own, math.log(seen / self.total))
-            if best and math.log(best_n / self.total) > own + MARGIN:
-                return best
-            if seen:
-                return None
-            path, score = self.decode(word)
-            return path if path != word and score + math.log(UNKNOWN) > own + MARGIN else None
+        if word.isalpha():
+            floor = math.log(seen / self.total) if seen else 0.0
+            padded, best, most = "^^^^" + word + "$", None, MARGIN
+            unknown: float | None = None
+            for at, printed, letters, part in self._misreadings(word):
+                other = word[:at] + letters + word[at + len(printed) :]
+                n = self.words.get(other, 0)
+                if n:
+                    if not seen and unknown is None:
+                        unknown = math.log(UNKNOWN) + self.spelled(word)
+                    gain = math.log(n / self.total) - (floor if seen else unknown)
+                elif seen:
+                    continue
+                else:
+                    changed = "^^^^" + other + "$"
+                    gain = self.span(changed, at + 4, at + len(letters) + 8) - self.span(padded, at + 4, at + len(printed) + 8)
+                gain += math.log(RATE * part)
+                if gain > most:
+                    best, most = other, gain
+            return best
+        best, most_n = None, 0
+        for other in self._one_off(word):
+            if self.words.get(other, 0) > most_n:
+                best, most_n = other, self.words[other]
         if best:
             return best
         path, score = self.decode(word)
         return path if score > -1e8 else None
 
-    def _one_off(self, word: str) -> Iterator[tuple[str, float]]:
-        """Words that differ by what the scanner did once; with marks and digits, by all of them."""
-        if word.isalpha():
-            for k, char in enumerate(word):
-                for c, p in STANDS_FOR.get(char, {}).items():
-                    yield word[:k] + c + word[k + 1 :], RATE * p
-            for printed, meant, p in DOUBLE:
-                at = word.find(printed)
-                while at >= 0:
-                    yield word[:at] + meant + word[at + len(printed) :], RATE * p
-                    at = word.find(printed, at + 1)
-            return
+    @staticmethod
+    def _misreadings(word: str) -> Iterator[tuple[int, str, str, float]]:
+        """(place, printed, meant, part of the rate) of what one misreading could have made of a word of letters."""
+        for k, char in enumerate(word):
+            for c, p in STANDS_FOR.get(char, {}).items():
+                yield k, char, c, p
+        for printed, meant, p in DOUBLE:
+            at = word.find(printed)
+            while at >= 0:
+                yield at, printed, meant, p
+                at = word.find(printed, at + 1)
+
+    def _one_off(self, word: str) -> Iterator[str]:
+        """Words behind one with marks, digits or unread letters."""
         out = [""]
         for char in word:
             if char in INSERTED:
                 continue
             own = list(ANY) if char == "�" else list(STANDS_FOR.get(char, {})) if not char.isalpha() else [char]
             out = [a + c for a in out for c in own][:5000]
-        for other in out:
-            yield other, RATE
+        yield from out
 
 
 def model(texts: DataFrame, text: str = "text") -> Model:
@@ -206,11 +232,13 @@ def model(texts: DataFrame, text: str = "text") -> Model:
     counts = written(word_counts(texts, text), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = checked_broadcast_rows(counts.filter(F.col("n") >= max(3, SHARE * total)), int(1 / SHARE) + 1, "the list of common words")
-    padded = F.concat(F.lit("^^"), "word", F.lit("$"))
-    grams = counts.filter((F.length("word") <= 40) & ~F.col("word").contains("-")).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: F.substr(padded, k, F.lit(3)))).alias("gram"))
     # A type counts for at most 20, so that names weigh against the few words that make up most of a text.
-    grams = grams.groupBy("gram").agg(F.sum(F.least("n", F.lit(20))).alias("n"))
-    most = checked_broadcast_rows(grams.filter(F.col("n") >= max(1, GRAM_SHARE * total)), int(8 * 20 / GRAM_SHARE), "the list of trigrams")
+    types = counts.filter((F.length("word") <= 40) & ~F.col("word").contains("-")).select(F.least("n", F.lit(20)).alias("n"), F.concat(F.lit("^^^^"), "word", F.lit("$")).alias("p"))
+    ends = F.sequence(F.lit(5), F.length("p"))
+    cut = F.flatten(F.transform(ends, lambda k: F.transform(F.sequence(F.lit(2), F.lit(LONGEST)), lambda n: F.substr("p", k - n + 1, n))))
+    grams = types.select("n", F.explode(cut).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
+    mass = types.agg(F.sum(F.col("n") * (F.length("p") - 4))).first()[0] or 0
+    most = checked_broadcast_rows(grams.filter(F.col("n") >= max(1, GRAM_SHARE * mass)), int((LONGEST - 1) / GRAM_SHARE) + 1, "the list of n-grams")
     return Model(total, {r.word: r.n for r in rows}, {r.gram: r.n for r in most})
 
 
@@ -319,6 +347,14 @@ def noise(text: str, title: str | None, own: Model) -> list[tuple[int, str]]:
     return out
 
 
+def contraction(word: str, own: Model) -> bool:
+    """Whether a word with an apostrophe is two words run together, and not one with a mark in it."""
+    if not _contraction.fullmatch(word):
+        return False
+    base = max(word.lower().split("'"), key=len)
+    return base in own.words or word.lower().replace("'", "") not in own.words
+
+
 def misread(part: str, own: Model, whole: str = "", line: str = "") -> bool:
     """Whether a line of text has a word whose characters were misrecognised; ``part`` is it without halves of words."""
     words = _printed.findall(part)
@@ -332,13 +368,12 @@ def misread(part: str, own: Model, whole: str = "", line: str = "") -> bool:
         if word.isalpha():
             clean += 1
             known += word.lower() in own.words
-            if len(word) > 2 and word.lower() not in own.words or word.lower() in own.words and any(c in "cfy" for c in word):
-                if own.meant(word):
-                    hits += 1
+            if len(word) > 2 and own.meant(word):
+                hits += 1
             continue
         if not _odd.search(word) and "!" not in word:
             continue
-        if _ordinal.fullmatch(word) or _contraction.fullmatch(word):
+        if _ordinal.fullmatch(word) or contraction(word, own):
             continue
         letters = sum(c.isalpha() for c in word)
         strange = len(word) - letters
@@ -352,6 +387,71 @@ def misread(part: str, own: Model, whole: str = "", line: str = "") -> bool:
     return hits > 0 and known >= 1 and 3 * known >= clean and hits + odd <= max(2, 0.4 * (clean + hits + odd)) and not is_strange(line or part)
 
 
+def corrected(line: str, own: Model) -> str:
+    """A line with the words that were meant, their capitals kept."""
+
+    def word(m: re.Match) -> str:
+        core = m[0].strip("'!_")
+        if len(core) < 3 or contraction(core, own) or _ordinal.fullmatch(core) or not core.isalpha() and not _odd.search(core):
+            return m[0]
+        meant = own.meant(core)
+        if not meant:
+            return m[0]
+        return m[0].replace(core, meant.upper() if core.isupper() else meant.capitalize() if core[0].isupper() else meant)
+
+    return _printed.sub(word, line)
+
+
+def repaired(text: str, title: str | None, own: Model) -> str:
+    """A text as paragraphs: broken words joined, misread ones corrected, heads and page numbers gone. Texts not set in lines stay as they are."""
+    found = noise(text, title, own)
+    raw = text.split("\n")
+    if len(raw) < 2 or not set_in_lines(raw):
+        return text
+    kinds: dict[int, set[str]] = {}
+    for k, kind in found:
+        kinds.setdefault(k, set()).add(kind)
+    out: list[str] = []
+    run, fuse, gap = "", False, False
+    for k, line in enumerate(raw):
+        own_kinds = kinds.get(k, set())
+        if own_kinds & {"running_head", "page_number"}:
+            continue
+        line = line.strip()
+        if not line:
+            gap = True
+            continue
+        if "misread" in own_kinds:
+            line = corrected(line if line.isascii() else consistent(line), own)
+        # A blank line parts paragraphs, unless a sentence goes on behind it, as over the end of a page.
+        if run and gap and not fuse and (_end.search(run) or not line[0].islower()):
+            out.append(run)
+            run = ""
+        if "broken_word" in own_kinds:
+            line = _breaks.sub(r"\1", line)
+        run = line if not run else run + line if fuse or run.endswith("-") else f"{run} {line}"
+        fuse, gap = "broken_word" in own_kinds, False
+    if run:
+        out.append(run)
+    return "\n\n".join(out)
+
+
+def repaired_texts(documents: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(src, uid, text): every text of both tables, those of scanned pages repaired."""
+    a = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("uid"), "title", "text").dropDuplicates(["uid"])
+    b = chapters.select(F.lit("chapters").alias("src"), F.col("chapter_uid").alias("uid"), "title", "text").dropDuplicates(["uid"])
+    texts = a.unionByName(b).filter(F.col("text").isNotNull())
+    shared = texts.sparkSession.sparkContext.broadcast(model(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            out = [repaired(text, title, own) for title, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["src", "uid", "text"])
+
+    return texts.mapInArrow(run, "src string, uid long, text string")
+
+
 def found(documents: DataFrame, chapters: DataFrame) -> DataFrame:
     """Distinct (src, uid, line_no, kind) over both tables."""
     a = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("uid"), "title", "text")

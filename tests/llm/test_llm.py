@@ -132,6 +132,11 @@ def test_consistent_form():
     assert lookalike.consistent(lookalike.consistent(LONG)) == LONG
 
 
+def test_forms(spark):
+    got = {r.doc_id: r.form for r in lookalike.forms(docs(spark, [(1, "ｗｈｙ", "s", None), (2, None, "s", None)])).collect()}
+    assert got == {1: "why", 2: None}
+
+
 def test_pairs(spark):
     d = docs(spark, [(1, "abc", "s", None), (2, "аbc", "s", None), (3, "abc", "s", None), (3, "abc", "s", None), (4, None, "s", None), (5, "​", "s", None), (6, "⁠", "s", None), (7, "", "s", None)])
     s = segs(spark, [(1, "paragraph", "abc", 0), (9, "paragraph", "ａbc", 0)])
@@ -205,6 +210,8 @@ def test_scan_noise(spark):
     want = {(0, "broken_word"), (2, "page_number"), (3, "running_head"), (4, "misread")}
     assert got == {("documents", 99, n, kind) for n, kind in want}
     assert scan_noise.found(docs(spark, []), chapters.limit(0)).count() == 0
+    fixed = {r.uid: r.text for r in scan_noise.repaired_texts(docs(spark, rows), chapters).collect()}
+    assert fixed[99].replace("tlie", "the") == "The widow carried the basket from the cottage to the market and nobody noticed the self-made weather there." and fixed[0] == rows[0][1] and fixed[97] == ""
 
 
 def test_page_numbers():
