@@ -181,3 +181,30 @@ def top_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     counts = lines.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("n"))
     place = F.row_number().over(W.partitionBy("source").orderBy(F.col("n").desc(), "line"))
     return counts.withColumn("place", place).filter(F.col("place") <= 8)
+
+
+NORM = """lower(trim(regexp_replace(replace(replace(replace(translate({0}, '“”‘’–—−' || chr(160), '""''''--- '), 'ﬁ', 'fi'), 'ﬂ', 'fl'), chr(173), ''),
+    '[\\x{{09}}-\\x{{0D}}\\x{{1C}}-\\x{{20}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')))"""
+
+
+@query(f"""
+    WITH {SG}, a AS (SELECT book_id AS doc_id, CAST(seg_uid AS VARCHAR) AS id, text FROM s WHERE type = 'chapter_heading' AND text IS NOT NULL),
+    c AS (SELECT DISTINCT chapter_uid, book_id AS doc_id, text AS body FROM chapters WHERE text IS NOT NULL)
+    SELECT doc_id, id, bool_or(contains({NORM.format("body")}, {NORM.format("text")})) AS hit FROM c JOIN a USING (doc_id) GROUP BY 1, 2
+""")
+def seeded_strings(spark: SparkSession, sf: str) -> DataFrame:
+    heads = segments_of(spark, sf).filter("type = 'chapter_heading' and text is not null")
+    seeds = heads.select(F.col("book_id").alias("doc_id"), F.lit("must_not_contain").alias("polarity"), F.col("seg_uid").cast("string").alias("id"), "text", F.lit("substring").alias("match"))
+    texts = table(spark, sf, "chapters").dropDuplicates(["chapter_uid"]).filter("text is not null").select(F.col("book_id").alias("doc_id"), "text")
+    return K.seeded(texts, seeds).select("doc_id", "id", "hit")
+
+
+@query(f"""
+    WITH {SG}, g AS (SELECT DISTINCT block_uid, book_id AS doc_id, substr({NORM.format("text")}, 1, 120) AS part, regexp_extract(lower(text), '[a-zà-ÿа-я]{{6,}}') AS w FROM blocks WHERE length(text) >= 60 AND size < 9.9)
+    SELECT DISTINCT g.doc_id, CAST(block_uid AS VARCHAR) AS unit_id FROM g JOIN s ON s.book_id = g.doc_id
+    WHERE w <> '' AND list_contains(regexp_extract_all(lower(s.text), '[a-zà-ÿа-я]{{6,}}'), w) AND contains({NORM.format("s.text")}, part)
+""")
+def removed_text_absent(spark: SparkSession, sf: str) -> DataFrame:
+    gone = table(spark, sf, "blocks").dropDuplicates(["block_uid"]).filter("size < 9.9").select(F.col("book_id").alias("doc_id"), F.col("block_uid").cast("string").alias("unit_id"), "text")
+    said = segments_of(spark, sf).filter("text is not null").select(F.col("book_id").alias("doc_id"), "text")
+    return K.removed_text_absent(gone, said).select("doc_id", "unit_id")

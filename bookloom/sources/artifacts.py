@@ -82,7 +82,7 @@ def salvaged(replies: DataFrame, key: str, text: str = "text") -> DataFrame:
 def repaired_json(text):
     """A JSON reply without its code fence, stray backslashes and trailing commas."""
     out = F.regexp_replace(F.trim(text), "^```(?:json)?\\s*|\\s*```$", "")
-    out = F.regexp_replace(out, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    out = F.regexp_replace(out, r'\\(?!["\\/bfnrtu])', r"\\\\")
     return F.regexp_replace(out, r",\s*([}\]])", "$1")
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from bookloom.operators import checks
 from bookloom.plugins import DummySynthesizer
@@ -34,6 +35,11 @@ def test_salvage(spark):
     assert [(r.type, r.text) for r in artifacts.salvaged(df, "k").collect()] == [("paragraph", 'A "b"')]
 
 
+def test_repaired_json(spark):
+    df = spark.createDataFrame([('```json\n{"a": [1, 2,], "b": "x\\q",}\n```',)], "t string")
+    assert json.loads(df.select(artifacts.repaired_json(F.col("t")).alias("x")).first().x) == {"a": [1, 2], "b": "x\\q"}
+
+
 def test_sinks(spark, tmp_path):
     found = spark.createDataFrame([("d", 4, "x", f"u{k:02d}", "m", True) for k in range(15)], "doc_id string, stage int, dimension string, unit_id string, message string, fixable boolean")
     sinks.append_review(found, str(tmp_path / "q"))
