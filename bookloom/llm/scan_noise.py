@@ -35,9 +35,11 @@ from bookloom.llm.repeated_lines import identifier
 from bookloom.session import checked_broadcast_rows, written
 
 #: Words, and character n-grams of each length, of at least this share of all are known to every worker; at most 1/share of them.
-SHARE, GRAM_SHARE = 2e-6, 2e-6
+SHARE, GRAM_SHARE = 2e-6, 5e-6
 #: Longest character n-gram, and the weight of the shorter ones where a longer one is rare.
-LONGEST, BACKOFF = 5, 2.0
+LONGEST, BACKOFF = 4, 2.0
+#: States that the decoder keeps at each character.
+BEAM = 16
 #: How much likelier (in nats) another reading must be.
 MARGIN = 2.5
 #: Probability that a letter is misread at all.
@@ -116,6 +118,7 @@ class Model:
             heads[gram[:-1]] += n
         self.heads = dict(heads)
         self.memo: dict[str, str | None] = {}
+        self.logs: dict[str, float] = {}
 
     def gram(self, before: str, char: str) -> float:
         """Probability of a character after at most four others, longer contexts weighed against shorter ones."""
@@ -132,7 +135,16 @@ class Model:
 
     def span(self, padded: str, start: int, end: int) -> float:
         """Log-probability of the characters from ``start`` to ``end`` of a padded word."""
-        return sum(math.log(self.gram(padded[max(0, k - 4) : k], padded[k])) for k in range(start, min(end, len(padded))))
+        return sum(self.log(padded[max(0, k - LONGEST + 1) : k], padded[k]) for k in range(start, min(end, len(padded))))
+
+    def log(self, before: str, char: str) -> float:
+        """Log-probability of a character after others, remembered."""
+        known = self.logs.get(before + char)
+        if known is None:
+            if len(self.logs) > 500_000:
+                self.logs.clear()
+            known = self.logs[before + char] = math.log(self.gram(before, char))
+        return known
 
     def spelled(self, word: str) -> float:
         padded = "^^^^" + word + "$"
@@ -155,13 +167,13 @@ class Model:
                     moves = [("", miss)]
                 for c, cost in moves:
                     at = (state + c)[-(LONGEST - 1) :] if c else state
-                    value = score + cost + (math.log(self.gram(state, c)) if c else 0.0)
+                    value = score + cost + (self.log(state, c) if c else 0.0)
                     if at not in new or value > new[at][0]:
                         new[at] = (value, path + c)
-            beams = dict(sorted(new.items(), key=lambda x: -x[1][0])[:60]) if len(new) > 60 else new
+            beams = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM]) if len(new) > BEAM else new
             if not beams:
                 return printed, -1e9
-        score, path = max(((s + math.log(self.gram(k, "$")), p) for k, (s, p) in beams.items()), default=(-1e9, printed))
+        score, path = max(((s + self.log(k, "$"), p) for k, (s, p) in beams.items()), default=(-1e9, printed))
         return path, score
 
     def meant(self, printed: str) -> str | None:
