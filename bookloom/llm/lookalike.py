@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bookloom.session import written
+
 # Letters of other scripts beside the Latin letter that they look like.
 CYRILLIC = dict(zip("асеһіјоԛѕԝхуԁрАВСЕНІЈКМОРԚЅТԜХУ", "acehijoqswxydpABCEHIJKMOPQSTWXY"))
 GREEK = dict(zip("ονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "ovpABEZHIKMNOPTYXcj"))
@@ -155,7 +157,7 @@ def pairs(texts: DataFrame) -> DataFrame:
     Copies are grouped first: variants are paired, then each variant brings its
     uids, so no two exact copies ever meet and the work is that of the result.
     """
-    rows = fingerprints(texts).distinct()
+    rows = written(fingerprints(texts).distinct(), "forms")
     variants = rows.select("src", "form", "raw").distinct()
     several = variants.groupBy("src", "form").agg(F.count("*").alias("n")).filter("n > 1").select("src", "form")
     held = rows.join(several, ["src", "form"], "left_semi")
