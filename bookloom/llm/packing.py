@@ -88,6 +88,8 @@ def containers(items: DataFrame, key: str = "doc_id", size: str = "tokens", capa
     pieces = (
         items.select(key, F.col(size).cast("long").alias("_size"))
         .filter(F.col("_size") >= 1)
+        # One exchange by key serves the removal of repeated rows and the blocks.
+        .repartition(key)
         .dropDuplicates([key])
         .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_size") - 1) / capacity).cast("int"))))
         .select(key, F.col("_piece").alias("piece"), F.least(F.lit(capacity).cast("long"), F.col("_size") - F.col("_piece") * capacity).cast("int").alias("tokens"))
@@ -119,4 +121,4 @@ def containers(items: DataFrame, key: str = "doc_id", size: str = "tokens", capa
         if held:
             yield flush()
 
-    return pieces.repartition(F.hash(key)).sortWithinPartitions(key, "piece").mapInArrow(run, out)
+    return pieces.sortWithinPartitions(key, "piece").mapInArrow(run, out)
