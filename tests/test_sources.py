@@ -75,3 +75,13 @@ def test_spans_to_blocks(spark):
     df = spark.createDataFrame([("b", 0, 0, 0, " A\x01 ", [10.0, 12.0]), ("b", 0, 1, 1, "image", [1.0]), ("b", 0, 2, 0, "  ", [9.0])], "book_id string, page int, block_ord int, kind int, text string, sizes array<double>")
     assert [(r.text, r.size) for r in artifacts.pages_from_spans(df).collect()] == [("A", 12.0)]
     assert json.dumps(1) == "1"
+
+
+def test_paged_text(spark, tmp_path):
+    from bookloom.sources import paged
+
+    (tmp_path / "My Book (2).txt").write_text("one\ftwo\f\fthree\f")
+    (tmp_path / "b.txt").write_text("")
+    paged.register(spark)
+    rows = spark.read.format("paged_text").load(str(tmp_path)).orderBy("book_id", "number").collect()
+    assert [(r.book_id, r.number, r.text) for r in rows] == [("b", 0, ""), ("my_book_2", 0, "one"), ("my_book_2", 1, "two"), ("my_book_2", 2, ""), ("my_book_2", 3, "three")]
