@@ -94,6 +94,21 @@ def _shape(word: str) -> str:
     return _kind(letters[0]) + ("1" if len(letters) == 1 else "3" if len(letters) < 4 else "9")
 
 
+_lefts: dict[str, tuple[str, str, bool]] = {}
+
+
+def _left(word: str) -> tuple[str, str, bool]:
+    """A word before an event as a context, its shape, and whether it is Thai, where the text around it counts instead."""
+    if not word.isascii():
+        word = consistent(word) or ""
+    word = _digits.sub("0", word.lstrip("“„«「『\"'(‘¿¡—–-"))
+    if _thai.search(word):
+        return word, word, True
+    if _cjk.search(word):
+        return word[-2:], _kind(word[-1]), False
+    return word[-12:], _shape(word), False
+
+
 class Events:
     """The events of one text: where each is, and what stands around it."""
 
@@ -151,16 +166,15 @@ class Events:
         if len(ahead) > 1 and (word.isdigit() or len(word) == 1) and len(ahead[-2]) < 5 and ahead[-2].islower():
             # A number or a letter says little alone; a short word before it, like that of a page or an hour, is part of the context.
             word = f"{ahead[-2][-8:]} {word}"
-        if not word.isascii():
-            word = consistent(word) or ""
-        word = _digits.sub("0", word.lstrip("“„«「『\"'(‘¿¡—–-"))
-        if _thai.search(word):
+        known = _lefts.get(word)
+        if known is None:
+            if len(_lefts) > 200_000:
+                _lefts.clear()
+            known = _lefts[word] = _left(word)
+        own, shape, thai = known
+        if thai:
             own = _digits.sub("0", "".join(text[max(0, start - 12) : start].split()))[-4:]
             shape = own[-3:]
-        elif _cjk.search(word):
-            own, shape = word[-2:], _kind(word[-1])
-        else:
-            own, shape = word[-12:], _shape(word)
         mark3 = mark[:2] + state
         return own + mark + state, shape + mark + state, mark3
 
