@@ -183,6 +183,13 @@ def coverage(text: str) -> float:
     return shown.count(shown[start : start + GRAM]) * GRAM / len(shown)
 
 
+def covered(text: str, kinds: list[str]) -> bool:
+    """Whether one n-gram covers a text; asked of short texts and those with junk, unless every line of them is prose."""
+    if "junk" not in kinds and (len(kinds) > 3 or all(kind in ("prose", "") for kind in kinds)):
+        return False
+    return coverage(text) > COVER
+
+
 def statistics(text: str, common: frozenset[str]) -> tuple[int, float, float, float, float, float, float, float]:
     """The eight figures of a text."""
     words = _words.findall(text)
@@ -211,7 +218,7 @@ def no_prose(text: str, common: frozenset[str]) -> bool:
     lines = text.split("\n")
     shown = other = 0
     own = classes(lines, common)
-    whole = coverage(text) > COVER if len(lines) < 4 or "junk" in own else False
+    whole = covered(text, own)
     for line, kind in zip(lines, own):
         if kind and not is_number(line):
             size = visible(line)
@@ -256,7 +263,7 @@ def measured(texts: DataFrame, common: frozenset[str], by_line: bool) -> DataFra
             for k, text in enumerate(batch.column(3).to_pylist()):
                 lines = text.split("\n")
                 own = classes(lines, words)
-                junk = coverage(text) > COVER if len(lines) < 4 or "junk" in own else False
+                junk = covered(text, own)
                 sums: dict[str | None, list[int]] = {}
                 # A page of so few lines is its margins; they are no list.
                 few = not by_line and "junk" not in own and sum(bool(kind) and not is_number(line) for line, kind in zip(lines, own)) <= MARGINS and sources[k] == "pages"
