@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 END = r"[.!?…。！？।؟|]"
 CLOSE = r"[\"'”’»」』）)\]]*"
 CLAUSE = r"[,;:，；：、،؛—–]"
-WORD = r"[\p{L}\p{M}\p{N}]"
+#: Letters of scripts that part words; in the others any character may begin an overlap.
+WORD = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]"
 
 
 def _pattern(room: Column) -> Column:
