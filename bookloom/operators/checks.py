@@ -8,15 +8,17 @@ queries, so a new book costs rows, not jobs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookloom.functions import text as X
 from bookloom.operators import align, chapters, dictionary, narration, structural, timeline
+from bookloom.session import written
 
 Tables = Callable[[str], DataFrame]
 
@@ -248,15 +250,78 @@ def seeded_violations(texts: DataFrame, assertions: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("id").alias("unit_id"), F.when(F.col("hit"), "forbidden string").otherwise("missing string").alias("message"))
 
 
-def removed_text_absent(removed: DataFrame, narrated: DataFrame, least: int = 60, head: int = 120) -> DataFrame:
+#: Characters in a gram of narrated text, and grams in a window of which the least hash is kept; segments in a chunk.
+GRAM, WINDOW, PLACES = 16, 16, 200
+
+
+def gram_keys(text: str) -> list[int]:
+    """The least gram hash of every window of a text, once each; none for texts shorter than a window and its grams.
+
+    Windows of a part are windows of the whole, so the keys of a text are among those of every text that contains it.
+    """
+    import numpy as np
+
+    own = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    if len(own) < GRAM + WINDOW - 1:
+        return []
+    width, base = 1, 0x9E3779B97F4A7C15
+    while width < GRAM:  # widths double, so both constants are powers of two
+        own = own[:-width] * np.uint64(base) + own[width:]
+        width, base = 2 * width, base * base % 2**64
+    own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    width = 1
+    while width < WINDOW:
+        own = np.minimum(own[:-width], own[width:])
+        width *= 2
+    return np.unique(own).view(np.int64).tolist()
+
+
+def _keyed(texts: DataFrame, text: str) -> DataFrame:
+    """``texts`` with the gram keys of a column of strings."""
+    import pandas as pd
+
+    def run(batches):
+        for series in batches:
+            yield series.map(gram_keys)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return texts.withColumn("keys", F.pandas_udf(run, T.ArrayType(T.LongType()))(F.col(text)))
+
+
+def narrated_chunks(narrated: DataFrame, order: str | None, head: int) -> DataFrame:
+    """(doc_id, chunk, body): the normalized narration of each document, its texts joined in order by spaces, in chunks that overlap.
+
+    A chunk goes on with the first ``head`` - 1 characters of what comes after it, so every part of up to ``head``
+    characters lies whole in some chunk. Only the heads of chunks are ordered over a whole document. Without an order
+    each text is a chunk of its own.
+    """
+    own = narrated.select("doc_id", *([F.coalesce(F.col(order).cast("long"), F.lit(-1)).alias("place")] if order else []), X.normalized(F.col("text"), True).alias("body")).filter("body <> ''")
+    if order is None:
+        return own.distinct().select("doc_id", F.sha2("body", 256).alias("chunk"), "body")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x["body"]), " ")
+    chunks = own.groupBy("doc_id", F.floor(F.col("place") / PLACES).alias("chunk")).agg(joined.alias("body"))
+    # A chunk and its space are two characters at least, so half of ``head`` chunks are enough.
+    after = W.partitionBy("doc_id").orderBy("chunk").rowsBetween(1, max(1, head // 2))
+    heads = chunks.select("doc_id", "chunk", F.substring("body", 1, head).alias("start"))
+    tails = heads.select("doc_id", "chunk", F.array_join(F.collect_list("start").over(after), " ").substr(1, head - 1).alias("tail"))
+    return chunks.join(tails, ["doc_id", "chunk"]).select("doc_id", F.col("chunk").cast("string").alias("chunk"), F.when(F.col("tail") == "", F.col("body")).otherwise(F.concat_ws(" ", "body", "tail")).alias("body"))
+
+
+def removed_text_absent(removed: DataFrame, narrated: DataFrame, least: int = 60, head: int = 120, order: str | None = None) -> DataFrame:
     """(doc_id, unit_id, message) of removed blocks of some length that are narrated all the same.
 
-    A removed block meets the segments of its document that share its first word of six letters or more.
+    A block's probe, its first ``head`` characters, is looked for in the narration of its document: the texts of
+    ``narrated`` joined by the column ``order``, or each text alone without one. Probes of any script meet the chunks
+    that hold one of their gram keys, which no chunk that contains the probe can lack; probes too short for a key meet
+    every chunk of their document. Copies of a probe are looked for once.
     """
-    word = F.regexp_extract(F.lower("text"), r"[a-zà-ÿа-я]{6,}", 0)
-    gone = removed.filter(F.length("text") >= least).select("doc_id", "unit_id", F.substring(X.normalized(F.col("text"), True), 1, head).alias("part"), word.alias("w")).filter("w <> ''")
-    said = narrated.select("doc_id", X.normalized(F.col("text"), True).alias("body"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zà-ÿа-я]{6,}"), F.lit(0)))).alias("w"))
-    return gone.join(said, ["doc_id", "w"]).filter("contains(body, part)").select("doc_id", "unit_id", F.lit("removed text is narrated").alias("message")).distinct()
+    chunks = written(narrated_chunks(narrated, order, head), "narration")
+    gone = removed.filter(F.length("text") >= least).select("doc_id", "unit_id", F.substring(X.normalized(F.col("text"), True), 1, head).alias("part")).filter("part <> ''")
+    probes = _keyed(gone.select("doc_id", "part").distinct(), "part").select("doc_id", "part", F.coalesce(F.get("keys", F.lit(0)), F.lit(0)).alias("key"))
+    said = _keyed(chunks, "body").select("doc_id", "chunk", F.explode(F.array_distinct(F.concat(F.col("keys"), F.array(F.lit(0).cast("long"))))).alias("key"))
+    met = probes.join(said, ["doc_id", "key"]).select("doc_id", "chunk", "part")
+    held = met.join(chunks, ["doc_id", "chunk"]).filter("contains(body, part)").select("doc_id", "part").distinct()
+    return gone.join(held, ["doc_id", "part"]).select("doc_id", "unit_id", F.lit("removed text is narrated").alias("message")).distinct()
 
 
 def count_matches(found: DataFrame, expected: DataFrame) -> DataFrame:

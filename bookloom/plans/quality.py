@@ -206,5 +206,5 @@ def seeded_strings(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def removed_text_absent(spark: SparkSession, sf: str) -> DataFrame:
     gone = table(spark, sf, "blocks").dropDuplicates(["block_uid"]).filter("size < 9.9").select(F.col("book_id").alias("doc_id"), F.col("block_uid").cast("string").alias("unit_id"), "text")
-    said = segments_of(spark, sf).filter("text is not null").select(F.col("book_id").alias("doc_id"), "text")
-    return K.removed_text_absent(gone, said).select("doc_id", "unit_id")
+    said = segments_of(spark, sf).filter("text is not null").select(F.col("book_id").alias("doc_id"), "seg_ord", "text")
+    return K.removed_text_absent(gone, said, order="seg_ord").select("doc_id", "unit_id")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from bookloom import cli
@@ -21,6 +23,28 @@ def test_removed_text(spark):
     assert [r.unit_id for r in checks.removed_text_absent(gone, said).collect()] == ["u1"]
 
 
+def test_removed_text_in_any_script_and_over_segments(spark):
+    """Blocks without a long Latin or Cyrillic word, and blocks narrated over several segments and chunks."""
+    han = "".join(chr(0x4E00 + k * 37 % 3000) for k in range(90))
+    short = "It was a hot day and so we all sat by the sea. " * 2 + "No one of us had to go in."
+    parts = ["The miller said nothing of it.", "He went.", "The harvest of that year was carried to the market."]
+    rows = [("d", "han", han), ("d", "short", short), ("d", "over", " ".join(parts)), ("d", "other", " ".join(reversed(parts))), ("d", "blank", " " * 80), ("d", "brief", "a" + " " * 70 + "b"), ("e", "han", han)]
+    gone = spark.createDataFrame(rows, "doc_id string, unit_id string, text string")
+    texts = [f"Then {han} and on.", short.upper(), "", *["x a b y"] * 3]
+    said = [("d", k, t) for k, t in enumerate(texts)] + [("d", checks.PLACES - 1 + k * checks.PLACES, t) for k, t in enumerate(parts)] + [("e", 0, "nothing")]
+    got = checks.removed_text_absent(gone, spark.createDataFrame(said, "doc_id string, n int, text string"), order="n")
+    assert sorted((r.doc_id, r.unit_id) for r in got.collect()) == [("d", "brief"), ("d", "han"), ("d", "over"), ("d", "short")]
+
+
+def test_gram_keys_of_a_part():
+    random.seed(7)
+    for _ in range(200):
+        text = "".join(random.choice("ab 字й😀") for _ in range(random.randint(0, 400)))
+        at = random.randint(0, len(text))
+        part = text[at : at + random.randint(0, 120)]
+        assert set(checks.gram_keys(part)) <= set(checks.gram_keys(text)) and bool(checks.gram_keys(part)) == (len(part) >= checks.GRAM + checks.WINDOW - 1)
+
+
 def test_audio_tables(spark):
     rows = [("a", True, 24000, 1.0, 0.5, 0.1, 0.5), ("b", False, 0, 0.0, 0.0, 0.0, 0.0), ("c", True, 44100, 1.0, 0.5, 0.1, 0.5), ("d", True, 24000, 1.0, 1.0, 0.1, 0.5), ("e", True, 24000, 1.0, 0.5, 0.4, 0.5)]
     df = spark.createDataFrame(rows, "segment_id string, exists boolean, sample_rate int, duration_s double, peak double, tail_rms double, body_rms double")
