@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookloom.session import written
+
 #: First code point that stands for a word, and how many there are; a pair with more distinct words is compared by its bag of words.
 _ALPHABET = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 4000))
 # Letters with marks and the plain ones they fold to.
@@ -39,21 +41,35 @@ def word_error_rate(reference: Column, heard: Column) -> Column:
 def best_matches(source: DataFrame, rewrite: DataFrame, least: float = 0.5) -> DataFrame:
     """(book_id, chapter_id, src_id, match_id, score): for each source sentence the rewrite of its chapter that shares most words.
 
-    Both are (book_id, chapter_id, id, text). Sentences meet over the words they share, which no sentence pair without a
-    common word could win; words of half of a chapter's sentences are left out of the meeting but count in the score.
+    Both are (book_id, chapter_id, id, text). A rewrite with a score of ``least`` misses at most size - ceil(least * size)
+    words of the sentence, so it has one of any size - ceil(least * size) + 1 of them; sentences meet over the so many that
+    fewest rewrites of the chapter have, however many that are, and no match is missed. Chapters and words meet as hashes,
+    which can only add pairs; the score is that of the words. Rewrites with the same words are one, that of the least id,
+    which also counts among equal matches.
     """
+    place = ["book_id", "chapter_id"]
+    chapter = F.xxhash64(*place).alias("c")
 
     def words(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("book_id", "chapter_id", F.col("id").alias(name), F.array_distinct(spoken_words(F.col("text"))).alias(f"w_{name}")).filter(F.size(f"w_{name}") > 0)
-
-    a, b = words(source, "src_id"), words(rewrite, "match_id")
-    each = b.select("book_id", "chapter_id", "match_id", F.explode("w_match_id").alias("w"))
-    size = b.groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"))
-    rare = each.groupBy("book_id", "chapter_id", "w").agg(F.count("*").alias("df")).join(size, ["book_id", "chapter_id"]).filter((F.col("df") <= 3) | (F.col("df") * 10 <= F.col("n"))).select("book_id", "chapter_id", "w")
-    right = each.join(rare, ["book_id", "chapter_id", "w"])
-    left = a.select("book_id", "chapter_id", "src_id", F.explode("w_src_id").alias("w"))
-    met = left.join(right, ["book_id", "chapter_id", "w"]).select("book_id", "chapter_id", "src_id", "match_id").distinct()
-    held = met.join(a, ["book_id", "chapter_id", "src_id"]).join(b, ["book_id", "chapter_id", "match_id"])
-    score = F.size(F.array_intersect("w_src_id", "w_match_id")) / F.size("w_src_id")
-    best = held.withColumn("score", F.round(score, 6)).groupBy("book_id", "chapter_id", "src_id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
-    return best.select("book_id", "chapter_id", "src_id", "m.match_id", "m.score").filter(F.col("score") >= least)
+        held = rows.select(*place, F.col("id").alias(name), F.array_sort(F.array_distinct(spoken_words(F.col("text")))).alias(f"w_{name}"))
+        return held.filter(F.size(f"w_{name}") > 0)
+
+    def hashed(name: str) -> Column:
+        return F.explode(F.transform(f"w_{name}", lambda w: F.xxhash64(w))).alias("h")
+
+    a = written(words(source, "src_id"), "sources")
+    b = written(words(rewrite, "match_id").groupBy(*place, "w_match_id").agg(F.min("match_id").alias("match_id")), "rewrites")
+    # Scores are rounded to six digits before they are held against the bound.
+    need = F.greatest(F.lit(1), F.ceil((F.lit(least) - 1e-6) * F.size("w_src_id"))).cast("int").alias("need")
+    each = b.select(chapter, "match_id", F.size("w_match_id").alias("n"), hashed("match_id"))
+    df = each.groupBy("c", "h").agg(F.count("*").alias("df"))
+    left = a.select(chapter, "src_id", need, hashed("src_id")).join(df, ["c", "h"]).groupBy("c", "src_id", "need").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
+    # Words that no rewrite has are the rarest and take their places in the prefix, but meet nothing.
+    prefix = F.slice("x", F.lit(1), F.greatest(F.lit(0), F.size("x") - F.col("need") + 1))
+    left = left.select("c", "src_id", "need", F.explode(F.transform(prefix, lambda x: x["h"])).alias("h"))
+    met = left.join(each, ["c", "h"]).filter("n >= need").select("c", "src_id", "match_id").distinct()
+    held = met.join(a.withColumn("c", chapter), ["c", "src_id"]).join(b.select(chapter, F.col("book_id").alias("b_id"), F.col("chapter_id").alias("c_id"), "match_id", "w_match_id"), ["c", "match_id"])
+    score = F.round(F.size(F.array_intersect("w_src_id", "w_match_id")) / F.size("w_src_id"), 6)
+    held = held.filter("book_id = b_id and chapter_id = c_id").withColumn("score", score).filter(F.col("score") >= least)
+    best = held.groupBy(*place, "src_id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
+    return best.select(*place, "src_id", "m.match_id", "m.score")

@@ -85,6 +85,24 @@ def test_best_match(spark):
     assert [(r.src_id, r.match_id, r.score) for r in got] == [(1, 10, 0.75)]
 
 
+def test_best_match_without_rare_words(spark):
+    """Against every pair of a chapter whose words all come back in many of its rewrites."""
+    random.seed(4)
+    pool = "we came home at noon then they went out again and saw the mill".split()
+    src = [("b", "c", k, " ".join(random.sample(pool, random.randint(1, 9)))) for k in range(40)]
+    dst = [("b", "c", k, " ".join(random.sample(pool, random.randint(1, 9)))) for k in range(100, 130)] + [("b", "c", k, src[0][3]) for k in range(200, 205)]
+    schema = "book_id string, chapter_id string, id long, text string"
+    for least in (0.5, 0.75):
+        got = {(r.src_id, r.match_id, r.score) for r in align.best_matches(spark.createDataFrame(src, schema), spark.createDataFrame(dst, schema), least).collect()}
+        want = set()
+        for _, _, k, text in src:
+            own = set(text.split())
+            score, other = max((round(len(own & set(t.split())) / len(own), 6), -n) for _, _, n, t in dst)
+            if score >= least:
+                want.add((k, -other, score))
+        assert got == want and any(r[0] == 0 and r[2] == 1.0 for r in got)
+
+
 def test_windows_cover_the_text():
     random.seed(2)
     for _ in range(200):
