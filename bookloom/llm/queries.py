@@ -55,9 +55,7 @@ def p5_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents").select("doc_id", "source", "text")
-    found = repeated_lines.found(table(spark, sf, "documents"), table(spark, sf, "blocks"), table(spark, sf, "pages"))
-    return repeated_lines.without(documents, found, "doc_id", "documents").select("doc_id", "text")
+    return repeated_lines.cleaned(table(spark, sf, "documents"), table(spark, sf, "blocks"), table(spark, sf, "pages"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -223,3 +223,11 @@ def without(texts: DataFrame, rows: DataFrame, uid: str, src: str, text: str = "
     gone = rows.filter(F.col("src") == src).groupBy(F.col("uid").alias(uid)).agg(F.collect_set("line_no").alias("_gone"))
     kept: Column = F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("_gone", k))
     return texts.join(gone, uid, "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_gone")
+
+
+def cleaned(documents: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(src, uid, text): every text of documents and of blocks, in a margin or not, without its repeated lines; null stays null."""
+    rows = written(found(documents, blocks, pages), "repeated")
+    texts = (("documents", documents.select(F.col("doc_id").alias("uid"), "text")), ("blocks", blocks.select(F.col("block_uid").alias("uid"), "text")))
+    out = [without(own.dropDuplicates(["uid"]), rows, "uid", src).select(F.lit(src).alias("src"), "uid", "text") for src, own in texts]
+    return out[0].unionByName(out[1])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookloom.llm import bpe, lookalike, packing, quality, repeated_lines, repetition, scan_noise, sentences, splitting, subjects
 
+SF = "/root/testdata/sf0.001"
 LONG = "The river ran on and on past the old mill. " * 3000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, title string, src string, uid long, key string"
 SEGS = "seg_uid long, type string, text string, sentence_index int, src string, uid long"
@@ -166,6 +167,24 @@ def test_repeated_lines(spark):
     assert repeated_lines.found(docs(spark, []), blocks.limit(0), pages.limit(0)).count() == 0
 
 
+def test_cleaned_documents_and_margins(spark):
+    rows = [(k, f"Own line {chr(97 + k)}\nShare this page, no. {k}", "s", None) for k in range(20)] + [(100, None, "s", None)]
+    held = [(k, "b", k, (0.0, 10.0, 9.0, 20.0), f"The Title {k}\nmargin note {chr(97 + k)}") for k in range(4)] + [(8, "b", 1, (0.0, 300.0, 9.0, 310.0), "The Title"), (9, "b", 0, None, None)]
+    blocks = spark.createDataFrame([*held, held[0]], "block_uid long, book_id string, page int, bbox struct<x0:double,y0:double,x1:double,y1:double>, text string")
+    pages = spark.createDataFrame([("b", k, 700.0) for k in range(4)], "book_id string, number int, page_height double")
+    got = [tuple(r) for r in repeated_lines.cleaned(docs(spark, rows), blocks, pages).collect()]
+    want = {("documents", k, f"Own line {chr(97 + k)}") for k in range(20)} | {("documents", 100, None)}
+    want |= {("blocks", k, f"margin note {chr(97 + k)}") for k in range(4)} | {("blocks", 8, "The Title"), ("blocks", 9, None)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_clean_query_gives_blocks(spark):
+    from bookloom.llm import queries
+
+    got = queries.p5_clean(spark, SF)
+    assert got.columns == ["src", "uid", "text"] and {r.src for r in got.select("src").distinct().collect()} == {"documents", "blocks"}
+
+
 def test_blocks_of_lines(spark):
     rows = [(k, f"Own {k} x{chr(97 + k)}\nAll rights reserved by us\nTell your friends about it\nOwn end {chr(97 + k)}", "s", None) for k in range(10)]
     got = repeated_lines.repeated_blocks(docs(spark, rows)).collect()
