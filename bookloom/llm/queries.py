@@ -34,7 +34,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.forms(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "form")
+    names = (("documents", "doc_id"), ("segments", "seg_uid"))
+    parts = [table(spark, sf, t).select(F.lit(t).alias("src"), F.col(uid).alias("uid"), "text").dropDuplicates(["uid"]) for t, uid in names]
+    return lookalike.forms(parts[0].unionByName(parts[1])).select("src", "uid", "form")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

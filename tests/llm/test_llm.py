@@ -138,6 +138,16 @@ def test_forms(spark):
     assert got == {1: "why", 2: None}
 
 
+def test_forms_query_gives_segments(spark):
+    from bookloom.llm import queries
+
+    rows = queries.p3_forms(spark, SF).collect()
+    got = {(r.src, r.uid): r.form for r in rows}
+    want = {("documents", r.doc_id): lookalike.consistent(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want |= {("segments", r.seg_uid): lookalike.consistent(r.text) for r in spark.read.parquet(f"{SF}/segments.parquet").collect()}
+    assert got == want and len(rows) == len(got)
+
+
 def test_pairs(spark):
     d = docs(spark, [(1, "abc", "s", None), (2, "аbc", "s", None), (3, "abc", "s", None), (3, "abc", "s", None), (4, None, "s", None), (5, "​", "s", None), (6, "⁠", "s", None), (7, "", "s", None)])
     s = segs(spark, [(1, "paragraph", "abc", 0), (9, "paragraph", "ａbc", 0)])
