@@ -320,8 +320,8 @@ def model(segments: DataFrame) -> Model:
     return Model({r.key: r.n for r in kept})
 
 
-def found(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Distinct (seg_uid, start_char, end_char) of the sentences of paragraphs and blockquotes that are natural prose."""
+def found(segments: DataFrame, lexicon: DataFrame, prose_only: bool = True) -> DataFrame:
+    """Distinct (seg_uid, start_char, end_char) of the sentences of paragraphs and blockquotes, of natural prose only or of all."""
     spark = segments.sparkSession
     shared = spark.sparkContext.broadcast((model(segments), quality.common_words(lexicon)))
 
@@ -330,7 +330,7 @@ def found(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
         for batch in batches:
             at, starts, ends = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                if not text or text.isspace() or quality.no_prose(text, common):
+                if not text or text.isspace() or (prose_only and quality.no_prose(text, common)):
                     continue
                 for a, b in own.spans(text):
                     at.append(k)
@@ -343,9 +343,12 @@ def found(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def sentence_rows(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(seg_uid, sentence_index, text): the sentences in order, each with its place within the segment from 0."""
+    """(seg_uid, sentence_index, text): the sentences of every paragraph and blockquote in order, each with its place within the segment from 0.
+
+    Segments that are no natural prose come out as well, cut by the same model.
+    """
     from pyspark.sql import Window as W
 
-    spans = found(segments, lexicon).join(segments.select("seg_uid", "text").dropDuplicates(["seg_uid"]), "seg_uid")
+    spans = found(segments, lexicon, prose_only=False).join(segments.select("seg_uid", "text").dropDuplicates(["seg_uid"]), "seg_uid")
     place = F.row_number().over(W.partitionBy("seg_uid").orderBy("start_char")) - 1
     return spans.select("seg_uid", place.alias("sentence_index"), F.substr("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("text"))

@@ -270,6 +270,17 @@ def test_sentences(spark, lexicon):
     assert sentences.found(segs(spark, []), lexicon).count() == 0
 
 
+def test_sentence_rows_keep_what_is_no_prose(spark, lexicon):
+    single = [f"They had {k} ropes and lamps." for k in range(300)]
+    table = "\n".join(f"item {k}\t{k}\t{k + 1}" for k in range(20))
+    own = segs(spark, [(k, "paragraph", t, 1) for k, t in enumerate(single)] + [(9001, "paragraph", table, 0), (9001, "paragraph", table, 0), (9002, "chapter_heading", "One.", 0), (9003, "blockquote", " \n", 0)])
+    rows = sentences.sentence_rows(own, lexicon).collect()
+    held = sorted((r.sentence_index, r.text) for r in rows if r.seg_uid == 9001)
+    assert [n for n, _ in held] == list(range(len(held))) and "".join("".join(t for _, t in held).split()) == "".join(table.split())
+    assert {r.seg_uid for r in rows} == {*range(300), 9001} and len({(r.seg_uid, r.sentence_index) for r in rows}) == len(rows)
+    assert 9001 not in {r.seg_uid for r in sentences.found(own, lexicon).collect()}
+
+
 def test_quality(spark, lexicon):
     prose = "It was the old house that they had seen at the end of the road, and he was in it with her.\n\nShe had to go to the town for a lamp."
     table = "\n".join(f"name{k}\t{k}\t{k * 3}" for k in range(12))
