@@ -52,8 +52,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    found = repeated_lines.repeated_blocks(table(spark, sf, "documents"))
-    return found.select("grp", F.array_join("block", "\n").alias("block"), "n_lines", "n_docs")
+    found = repeated_lines.repeated_blocks(table(spark, sf, "documents"), table(spark, sf, "blocks"), table(spark, sf, "pages"))
+    return found.select("src", "grp", F.array_join("block", "\n").alias("block"), "n_lines", "n_docs")
 
 
 def p5_clean(spark: SparkSession, sf: str) -> DataFrame:

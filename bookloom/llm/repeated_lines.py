@@ -6,10 +6,10 @@ of identifiers, form one long string, whose suffix array groups what has a
 common prefix. Its first level, suffixes with one line in common, is a hash
 aggregate over (source, identifier) with a partial count on the map side, so a
 source that holds a third of all rows is spread like any other. Lines below the
-threshold cannot be part of a block that is above it; only runs of lines above
-it go on. Their suffixes are counted before they are sorted, sorted by range
-over the whole cluster, and the common prefix of neighbours gives the blocks of
-several lines with the number of documents that each spans.
+threshold cannot be part of a block that is above it; only lines above it go on
+to the further levels, names of 2, 4, ... lines made by doubling, from which
+the longest common prefix of each place with others gives the blocks of several
+lines. The lines of all blocks, of one line or more, are deleted.
 
 Defined cases: null and empty texts have no lines; blank lines and bare page
 numbers are never found; a null source is a source of its own; repeated rows
@@ -48,22 +48,35 @@ FOLD = str.maketrans("cfyi", "etvl")
 #: Letters of all scripts go to one, whatever their case, so capitals do not change an identifier.
 ONE_SCRIPT = str.maketrans({**{k: v for k, v in {**GREEK, **CYRILLIC}.items() if k.islower()}, "т": "t", "к": "k", "м": "m", "в": "b", "н": "h", "τ": "t", "κ": "k", "μ": "m", "β": "b", "η": "h", "ι": "i", "χ": "x", "υ": "y", "α": "a", "ε": "e", "ζ": "z"})
 
+#: What the months begin with; a line with none of it needs no look for their names.
+_month_starts = sorted({m[:3] for m in MONTHS})
 _month = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")(?![^\W\d_])")
 _read = re.compile(r"(?<=[^\W\d_])[01569@!](?=[^\W\d_])|(?<![\w@!])[01569@!](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[01569@](?![\w@])")
 _no_letter = re.compile(r"[\W\d_]+")
 _mark = re.compile("[̀-ͯ]+")
 _roman = re.compile(r"(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _readable = re.compile("[0-9@!]")
-_ascii_letters = {c: FOLD.get(c, c) if chr(c).isalpha() else None for c in range(128)}
+_ascii_letters = bytes(ord(chr(c).translate(FOLD)) for c in range(128)) + bytes(128)
+_ascii_others = bytes(c for c in range(128) if not chr(c).isalpha())
+_one_script = {**FOLD, **{k: ord(chr(v).translate(FOLD)) if isinstance(v, int) else v.translate(FOLD) for k, v in ONE_SCRIPT.items()}}
 _roman_digits = frozenset("ivxlc")
-_ends = re.compile(r"^\W*([ivxlc]+)\W+(?=\w\w)|(?<=\w\w)\W+([ivxlc]+)\W*$")
-
-
-def _without_roman(m: re.Match) -> str:
-    return " " if _roman.fullmatch(m[1] or m[2]) else m[0]
+#: A number in roman digits at the start of a line, or of the line read backwards.
+_edge = re.compile(r"\W*([ivxlc]+)\W+(?=\w\w)")
+
+
+def _without_roman(text: str) -> str:
+    """A line without a roman number at its start and at its end."""
+    head, tail = _edge.match(text), _edge.match(text[::-1])
+    start = head.end() if head and _roman.fullmatch(head[1]) else 0
+    end = len(text) - tail.end() if tail and _roman.fullmatch(tail[1][::-1]) else len(text)
+    if start == 0 and end == len(text):
+        return text
+    # In a line of spaced letters these are letters.
+    words = text.split()
+    return text[start:end] if sum(len(w) == 1 for w in words) * 2 <= len(words) else text
 
 
-def identifier(line: str) -> str | None:
+def identifier(line: str, hashed: bool = True) -> str | None:
     """What all printings of one line have in common; None for blank lines and bare page numbers.
 
     A replacement character stands for one letter that could not be read.
@@ -73,27 +86,28 @@ def identifier(line: str) -> str | None:
     text = consistent(line).casefold()
     if not text.isascii():
         text = unicodedata.normalize("NFC", _mark.sub("", unicodedata.normalize("NFD", text)))
-    if len(text) < 40:
-        plain = _no_letter.sub("", text)
+    # Words for "page" and roman numbers are short; a line whose start has more letters is none.
+    plain = _no_letter.sub("", text[:16])
+    if len(plain) < 9:
+        plain = plain if len(text) <= 16 else _no_letter.sub("", text)
         if plain in PAGE_WORDS or (len(plain) < 8 and _roman.fullmatch(plain)):
             return None
-    words = text.split()
-    if (text[0] in _roman_digits or text[-1] in _roman_digits or not (text[0].isalpha() and text[-1].isalpha())) and sum(len(w) == 1 for w in words) * 2 <= len(words):
-        text = _ends.sub(_without_roman, text) if len(text) < 200 else text
+    if text[0] in _roman_digits or text[-1] in _roman_digits or not (text[0].isalpha() and text[-1].isalpha()):
+        text = _without_roman(text)
     if _readable.search(text):
         # Dates have digits, so months matter only beside some; a digit within a word is a misread letter.
-        text = _month.sub(" ", text)
+        if any(m in text for m in _month_starts):
+            text = _month.sub(" ", text)
         text = _read.sub(lambda m: READ[m[0]], text)
-    if "�" in text:
-        text = "".join(re.findall(r"[^\W\d_]|�", text)).translate(ONE_SCRIPT).translate(FOLD)
-    elif text.isascii():
-        text = text.translate(_ascii_letters)
+    if text.isascii():
+        text = text.encode().translate(_ascii_letters, _ascii_others).decode()
     else:
-        text = _no_letter.sub("", text).translate(ONE_SCRIPT).translate(FOLD)
+        text = "".join([c for c in text if c.isalpha() or c == "�"]).translate(_one_script)
     text = text.replace("rn", "m")
     if not text:
         return None
-    return text if len(text) <= LONG else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+    # One with unread letters stays as it is, to be compared letter by letter.
+    return text if len(text) <= LONG or not hashed or "�" in text else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def identified(texts: DataFrame) -> DataFrame:
@@ -129,19 +143,50 @@ def identified(texts: DataFrame) -> DataFrame:
     return texts.select("src", "grp", "uid", "unit", "text").mapInArrow(run, "src string, grp string, uid long, unit long, key string, lines array<int>")
 
 
-def readable(lines: DataFrame, often: DataFrame) -> DataFrame:
+def spelt_out(often: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """Frequent identifiers (src, grp, key) with their letters (_key), also where the identifier is a hash of them.
+
+    The letters behind a hash are read from one text that has the line; ``texts`` has (src, grp, uid, text).
+    """
+    import pandas as pd
+
+    def run(batches):
+        for series in batches:
+            yield series.map(lambda line: identifier(line, hashed=False), na_action="ignore")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    own = often.select("src", "grp", "key")
+    hashed = own.filter(F.col("key").startswith("#"))
+    first = F.min(F.struct("uid", F.element_at("lines", 1).alias("line"))).alias("_at")
+    one = written(lines.join(hashed, ["src", "grp", "key"]).groupBy("src", "grp", "key").agg(first), "hashed")
+    held = one.select("src", "grp", F.col("_at.uid").alias("uid"), "key", F.col("_at.line").alias("_line")).join(texts.select("src", "grp", "uid", "text").filter("text is not null"), ["src", "grp", "uid"])
+    line = F.get(F.split("text", "\n"), F.col("_line"))
+    letters = held.select("src", "grp", "key", F.pandas_udf(run, "string")(line).alias("_key")).dropDuplicates(["src", "grp", "key"])
+    return own.filter(~F.col("key").startswith("#")).withColumn("_key", F.col("key")).unionByName(letters)
+
+
+def readable(lines: DataFrame, often: DataFrame, texts: DataFrame) -> DataFrame:
     """Lines with unread letters whose identifier can be a frequent one of their group: (src, grp, uid, unit, key, lines) with its key."""
     wild = lines.filter(F.col("key").contains("�") & (F.length("key") >= 4 * WILD) & (F.length(F.regexp_replace("key", "[^�]", "")) <= WILD))
     wild = wild.withColumnRenamed("key", "_wild").withColumn("_n", F.length("_wild"))
-    own = often.select("src", "grp", F.col("key").alias("_key"), F.length("key").alias("_n"))
+    if wild.filter(F.col("_n") > LONG).isEmpty():
+        own = often.select("src", "grp", "key", F.col("key").alias("_key"))
+    else:
+        own = spelt_out(often, lines, texts)
+    own = own.withColumn("_n", F.length("_key"))
     fits = F.expr("_key rlike concat('^', replace(_wild, '�', '.'), '$')")
-    return wild.join(own, ["src", "grp", "_n"]).filter(fits).select("src", "grp", "uid", "unit", F.col("_key").alias("key"), "lines")
+    return wild.join(own, ["src", "grp", "_n"]).filter(fits).select("src", "grp", "uid", "unit", "key", "lines")
+
+
+def documents_texts(documents: DataFrame) -> DataFrame:
+    """Documents as (src, grp, uid, unit, text)."""
+    texts = documents.select(F.lit("documents").alias("src"), F.coalesce("source", F.lit("")).alias("grp"), F.col("doc_id").alias("uid"), F.col("doc_id").alias("unit"), "text")
+    return texts.filter(F.col("text").isNotNull())
 
 
 def documents_lines(documents: DataFrame) -> DataFrame:
     """The lines of documents, grouped by source."""
-    texts = documents.select(F.lit("documents").alias("src"), F.coalesce("source", F.lit("")).alias("grp"), F.col("doc_id").alias("uid"), F.col("doc_id").alias("unit"), "text")
-    return identified(texts.filter(F.col("text").isNotNull()))
+    return identified(documents_texts(documents))
 
 
 def documents_least(documents: DataFrame) -> DataFrame:
@@ -150,8 +195,8 @@ def documents_least(documents: DataFrame) -> DataFrame:
     return own.select(F.lit("documents").alias("src"), "grp", F.greatest(F.lit(DOCUMENTS), F.ceil(F.col("n") * SHARE)).cast("long").alias("least"))
 
 
-def margin_lines(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """The lines of blocks that lie wholly in the top or bottom margin of their page, grouped by book."""
+def margin_texts(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Blocks that lie wholly in the top or bottom margin of their page, as (src, grp, uid, unit, text), grouped by book."""
     heights = pages.select("book_id", F.col("number").alias("page"), "page_height").filter(F.col("page_height") > 0)
     low, high = heights.agg(F.min("page_height"), F.max("page_height")).first()
     texts = blocks.select("book_id", "page", "block_uid", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), "text").filter("text is not null")
@@ -161,7 +206,7 @@ def margin_lines(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     # Page heights may be repeated rows; the result counts a page once.
     held = near.join(heights.dropDuplicates(["book_id", "page"]), ["book_id", "page"])
     held = held.filter((F.col("y1") <= TOP * F.col("page_height")) | (F.col("y0") >= BOTTOM * F.col("page_height")))
-    return identified(held.select(F.lit("blocks").alias("src"), F.col("book_id").alias("grp"), F.col("block_uid").alias("uid"), F.col("page").cast("long").alias("unit"), "text"))
+    return held.select(F.lit("blocks").alias("src"), F.col("book_id").alias("grp"), F.col("block_uid").alias("uid"), F.col("page").cast("long").alias("unit"), "text")
 
 
 def often_of(lines: DataFrame, least: DataFrame | None) -> DataFrame:
@@ -173,49 +218,80 @@ def often_of(lines: DataFrame, least: DataFrame | None) -> DataFrame:
     return counts.filter((F.col("n") >= DOCUMENTS) & ~F.col("key").contains("�")).join(least, ["src", "grp"]).filter(F.col("n") >= F.col("least")).select("src", "grp", "key", "n")
 
 
-def covered(lines: DataFrame, often: DataFrame) -> DataFrame:
-    """Distinct (src, grp, uid, key, lines) of the lines whose identifier is frequent in their group."""
-    own = lines.join(often.select("src", "grp", "key"), ["src", "grp", "key"]).select("src", "grp", "uid", "key", "lines")
-    return own.unionByName(readable(lines, often).select("src", "grp", "uid", "key", "lines"))
+def covered(lines: DataFrame, often: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (src, grp, uid, unit, key, lines) of the lines whose identifier is frequent in their group."""
+    own = lines.join(often.select("src", "grp", "key"), ["src", "grp", "key"]).select("src", "grp", "uid", "unit", "key", "lines")
+    return own.unionByName(readable(lines, often, texts))
+
+
+def held_lines(documents: DataFrame, blocks: DataFrame, pages: DataFrame) -> list[DataFrame]:
+    """The frequent lines of documents and of page margins, each as (src, grp, uid, unit, key, lines)."""
+    out = []
+    for texts, least in ((documents_texts(documents), documents_least(documents)), (margin_texts(blocks, pages), None)):
+        kept = written(identified(texts), "lines")
+        out.append(covered(kept, often_of(kept, least), texts))
+    return out
 
 
 def found(documents: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct (src, uid, line_no) of all repeated lines of documents and of page margins."""
-    out = []
-    for lines, least in ((documents_lines(documents), documents_least(documents)), (margin_lines(blocks, pages), None)):
-        kept = written(lines, "lines")
-        out.append(covered(kept, often_of(kept, least)).select("src", "uid", F.explode("lines").alias("line_no")))
+    out = [held.select("src", "uid", F.explode("lines").alias("line_no")) for held in held_lines(documents, blocks, pages)]
     return out[0].unionByName(out[1]).distinct()
 
 
-def repeated_blocks(documents: DataFrame) -> DataFrame:
-    """(grp, block, n_lines, n_docs): blocks of several lines, as arrays of identifiers, that span enough documents of a source.
+def repeated_blocks(documents: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(src, grp, block, n_lines, n_docs): the longest blocks of several lines that span enough documents of a source, or pages of a book.
 
-    The suffixes of the runs of frequent lines are counted, then sorted; the
-    common prefix of neighbours in that order is a block if the suffixes that
-    share it come from enough documents.
+    ``block`` is the array of its lines as one text has them. Every line of such
+    a block is itself frequent, so only those go on. As a suffix array is built
+    by doubling, each place gets the name of the 1, 2, 4, ... lines that begin
+    there, made of the names of its two halves; a name stays while enough
+    documents have it, so a round ends up with fewer places than the one before
+    and the last with none. Then the longest common prefix of each place with
+    enough others is found from the longest names down: a block that is
+    frequent takes the next name if it still is together with it. A block on
+    which some place ends is counted at all places that have it. No suffix is
+    written out; rows are places with a number, spread by source and document.
     """
-    lines = written(documents_lines(documents), "lines")
-    least = documents_least(documents)
-    held = covered(lines, often_of(lines, least)).select("grp", "uid", "key", F.explode("lines").alias("line_no"))
-    place = W.partitionBy("grp", "uid").orderBy("line_no")
-    runs = held.withColumn("run", F.col("line_no") - F.row_number().over(place)).groupBy("grp", "uid", "run").agg(F.array_sort(F.collect_list(F.struct("line_no", "key"))).alias("r"))
-    runs = runs.select("grp", "uid", F.transform("r", lambda x: x["key"]).alias("ids")).filter(F.size("ids") > 1)
-    suffixes = runs.select("grp", "uid", F.posexplode(F.transform("ids", lambda _, k: F.slice(F.col("ids"), k + 1, F.size("ids"))))).filter(F.size("col") > 1)
-    counted = suffixes.groupBy("grp", F.col("col").alias("suffix")).agg(F.count_distinct("uid").alias("n"))
-    order = W.partitionBy("grp", F.col("suffix")[0]).orderBy("suffix")
-
-    def common(other: Column) -> Column:
-        """Length of the prefix that a suffix shares with a neighbour."""
-        places = F.sequence(F.lit(1), F.least(F.size("suffix"), F.size(other)))
-        return F.coalesce(F.size(F.filter(places, lambda k: F.slice("suffix", 1, k) == F.slice(other, 1, k))), F.lit(0))
-
-    sorted_ = counted.withColumns({"_b": F.lag("suffix").over(order), "_a": F.lead("suffix").over(order)})
-    # Prefixes longer than what a neighbour shares are of this suffix alone; they count only if it comes from enough documents itself.
-    longest = F.greatest(common(F.col("_b")), common(F.col("_a")), F.when(F.col("n") >= DOCUMENTS, F.size("suffix")).otherwise(0))
-    prefixes = sorted_.withColumn("_k", longest).filter("_k >= 2").select("grp", F.explode(F.transform(F.sequence(F.lit(2), F.col("_k")), lambda k: F.slice("suffix", 1, k))).alias("block"), "suffix")
-    spans = prefixes.join(suffixes.select("grp", "uid", F.col("col").alias("suffix")).distinct(), ["grp", "suffix"]).groupBy("grp", "block").agg(F.count_distinct("uid").alias("n_docs"))
-    return spans.join(least.select("grp", "least"), "grp").filter(F.col("n_docs") >= F.col("least")).select("grp", "block", F.size("block").alias("n_lines"), "n_docs")
+    docs, margins = held_lines(documents, blocks, pages)
+    least = documents_least(documents).unionByName(margins.select("src", "grp").distinct().withColumn("least", F.lit(PAGES).cast("long")))
+    all_lines = docs.unionByName(margins).select("src", "grp", "uid", "unit", F.lit(1).alias("n_lines"), F.xxhash64("key").alias("name"), F.explode("lines").alias("line_no"))
+    levels = [written(all_lines, "names")]
+    keys = ["src", "grp", "uid"]
+
+    block = ["src", "grp", "n_lines", "name"]
+    place = [*keys, "line_no"]
+
+    def frequent(places: DataFrame) -> DataFrame:
+        """The blocks (with n_docs) that enough units of their group have."""
+        counts = places.select(*block, "unit").distinct().groupBy(*block).agg(F.count("*").alias("n_docs"))
+        return counts.join(least, ["src", "grp"]).filter("n_docs >= least").drop("least")
+
+    def longer(places: DataFrame, step: DataFrame, by: int) -> DataFrame:
+        """Places with their block and the ``by`` lines of ``step`` that follow it."""
+        on = step.select(*keys, F.col("line_no").alias("_at"), F.col("name").alias("_next"))
+        both = places.withColumn("_at", F.col("line_no") + F.col("n_lines")).join(on, [*keys, "_at"])
+        return both.withColumns({"name": F.xxhash64("name", "_next"), "n_lines": F.col("n_lines") + by}).drop("_at", "_next")
+
+    def longest(places: DataFrame) -> DataFrame:
+        """The longest block of each place."""
+        return places.groupBy(*place).agg(F.max_by("name", "n_lines").alias("name"), F.max("n_lines").alias("n_lines"))
+
+    while not levels[-1].isEmpty():
+        more = longer(levels[-1], levels[-1], 1 << (len(levels) - 1))
+        levels.append(written(more.join(frequent(more).drop("n_docs"), block, "left_semi"), "names"))
+    held = levels[0]
+    for k in range(len(levels) - 2, -1, -1):
+        more = longer(held, levels[k], 1 << k)
+        both = written(held.unionByName(more.join(frequent(more), block, "left_semi")), "held")
+        held = written(both.join(longest(both).select(*block).distinct(), block, "left_semi"), "held")
+    # A place inside a block that begins before it is part of that one.
+    whole = longest(held).filter("n_lines > 1")
+    inside = whole.select(*keys, F.explode(F.sequence(F.col("line_no") + 1, F.col("line_no") + F.col("n_lines") - 1)).alias("line_no")).distinct()
+    one = whole.join(inside, place, "left_anti").groupBy(*block).agg(F.min(F.struct("uid", "line_no")).alias("_at")).join(frequent(held), block)
+    texts = documents_texts(documents).unionByName(margin_texts(blocks, pages)).select("src", "grp", "uid", "text").dropDuplicates(["src", "uid"])
+    shown = one.select("*", F.col("_at.uid").alias("uid")).join(texts, ["src", "grp", "uid"])
+    return shown.select("src", "grp", F.slice(F.split("text", "\n"), F.col("_at.line_no") + 1, F.col("n_lines")).alias("block"), "n_lines", "n_docs")
 
 
 def without(texts: DataFrame, rows: DataFrame, uid: str, src: str, text: str = "text") -> DataFrame:
