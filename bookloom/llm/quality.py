@@ -6,7 +6,10 @@ paragraphs, and the part of it that its most frequent character n-gram covers.
 Each line gets a class from the same kinds of figures: prose, entry (of a list,
 index or contents), table or junk. A text is no prose if more than half of its
 visible characters are in lines that are none, not counting lines that come
-back in its source, page numbers and running heads, or if one n-gram covers it.
+back in its source, page numbers and running heads, or if it repeats itself:
+one n-gram covers more than ``COVER`` of it, or more than ``AGAIN`` of it is in
+lines, or in paragraphs, that it had before. The repetition is measured of
+every text, whatever its lines are and however long it is.
 
 Lines that come back are those of the repeated-lines operator: line classes are
 measured in the same pass that identifies lines, so documents are read once.
@@ -34,8 +37,12 @@ from bookloom.session import checked_broadcast_rows, written
 SHORT = 20
 #: Lines that a page may have beside its number and still be nothing but margins.
 MARGINS = 2
-#: Length of the character n-grams, and the part of a text one may cover.
-GRAM, COVER = 8, 0.5
+#: Length of the character n-grams, a power of two, how often one has to occur, and the part of a text it may cover.
+GRAM, OCCURS, COVER = 8, 3, 0.5
+#: The part of a text that may be in second or later copies of its lines, or of its paragraphs.
+AGAIN = 0.5
+#: Characters that are measured in one array operation; longer texts are measured whole, alone.
+TOGETHER = 1_000_000
 #: Most words of the lexicon that are sent to every worker; the lexicon is a fixed table.
 LEXICON = 50_000
 #: Words of at least this frequency in the lexicon are common.
@@ -46,7 +53,9 @@ FUNCTION = re.compile("[的了在是不没有都和与为这那从说到]|[ぁ-
 _unspaced = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 _words = re.compile("[^\\W\\d_][\\ẁ-ͯऀ-ःऺ-ॏ॑-ॗॢॣً-ٟ'’-]*")
 #: Signs of what may be no prose; a line without any needs no more than its words.
-_special = re.compile(r"[\t|;/_□¤§¿¾�Ã\\{}<>=+*#]|\.{5}|…|·| {3}|[,;](?=\S)|\S{35}|(?<!\S)\S*\d\S*[A-Za-z]\S{8}")
+_special = re.compile(r"[\t|;/_□¤§¿¾�Ã\\{}<>=+*#…·]")
+_run_on = re.compile(r",(?=\S)")
+_coded = re.compile(r"\d\S*[A-Za-z]\S{8}")
 _vowel = re.compile("[aeiouy]")
 _numeric = re.compile(r"\d+(?:[.,]\d+)*")
 _leader = re.compile(r"(?:\.\s?){5,}|(?:…\s?){3,}|(?:·\s?){5,}|_{5,}")
@@ -55,18 +64,26 @@ _index = re.compile(r".{1,60}?[,\s]\s*\d{1,4}(?:\s*[-–]\s*\d{1,4})?[.;]?\s*$")
 _final = re.compile(r"[.!?…。！？।؟][\"'”’»」』)\]]*\s*$")
 _strange = re.compile(r"[□¤§¿¾½¼µ¶º¹²³¸´¯¢£¥¦¨ª±×÷|~^_�°{}<>=+*#\\@$%&/]|Ã|Â")
 _spaces3 = re.compile(r" {3,}|\t|\s\|\s")
+_blank = re.compile(r"\n\s*\n")
 _code = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+/=]{14,}")
 
 
+def _odd(shown: str) -> bool:
+    """Whether a line has a sign, or a word, that prose seldom has."""
+    if _special.search(shown) or "....." in shown or "   " in shown or _run_on.search(shown):
+        return True
+    long = [w for w in shown.split() if len(w) > 9]
+    return bool(long) and (max(map(len, long)) > 34 or any(map(_coded.search, long)))
+
+
 def line_class(line: str, common: frozenset[str]) -> str:
     """Class of a line on its own: prose, entry, table, junk, or '' where it alone does not tell (a few words)."""
     shown = line.strip()
     if not shown:
         return ""
-    words = _words.findall(shown)
-    lower = [w.lower() for w in words]
+    lower = words = _words.findall(shown.lower())
     known = sum(map(common.__contains__, lower))
-    if len(words) >= 4 and known * 8 >= len(words) and not _special.search(shown) and not _marker.match(shown):
+    if len(words) >= 4 and known * 8 >= len(words) and not _odd(shown) and not _marker.match(shown):
         return "prose"
     size = len(shown) - shown.count(" ")
     if not words:
@@ -160,34 +177,90 @@ def visible(text: str) -> int:
     return len("".join(text.split()))
 
 
+def _grams(codes: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram at each place but the last few, its high bits mixed."""
+    if len(codes) < GRAM:
+        return np.zeros(0, np.uint64)
+    hashes, size = codes, 1
+    while size < GRAM:
+        # Two neighbours of half the length make one of the whole.
+        hashes = hashes[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size) + hashes[size:]
+        size *= 2
+    return hashes * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _codes(shown: str) -> np.ndarray:
+    return np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 def coverage(text: str) -> float:
-    """The part of a text that its most frequent n-gram of visible characters covers, 0 for short texts."""
+    """The part of a text's visible characters that its most frequent n-gram covers; 0 if none occurs often enough."""
     shown = "".join(text.split())
-    if len(shown) < 5 * GRAM:
+    hashes = _grams(_codes(shown))
+    if not len(hashes):
         return 0.0
-    codes = np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    hashes = np.zeros(len(codes) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(hashes)]
-    hashes.sort()
-    edges = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True])))
-    most = int(np.diff(edges).max())
-    if most * GRAM <= 0.1 * len(shown):
-        return most * GRAM / len(shown)
-    # Copies of an n-gram that overlap cover less; the one that occurs most is counted without overlap.
-    at = int(edges[np.argmax(np.diff(edges))])
-    whole = np.zeros(len(codes) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        whole = whole * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(whole)]
-    start = int(np.flatnonzero(whole == hashes[at])[0])
-    return shown.count(shown[start : start + GRAM]) * GRAM / len(shown)
-
-
-def covered(text: str, kinds: list[str]) -> bool:
-    """Whether one n-gram covers a text; asked of short texts and those with junk, unless every line of them is prose."""
-    if "junk" not in kinds and (len(kinds) > 3 or all(kind in ("prose", "") for kind in kinds)):
+    values, counts = np.unique(hashes, return_counts=True)
+    if counts.max() < OCCURS:
+        return 0.0
+    at = np.flatnonzero(hashes == values[np.argmax(counts)])
+    # Copies that overlap cover their common part once.
+    return float(np.minimum(np.diff(at), GRAM).sum() + GRAM) / len(shown)
+
+
+def covered(texts: list[str]) -> list[bool]:
+    """Whether one n-gram covers more than ``COVER`` of each text.
+
+    No n-gram covers more than its length times its count, which one sort gives
+    for many texts; only texts where that is enough are measured on their own.
+    """
+    out, start = [], 0
+    while start < len(texts):
+        shown, size, end = [], 0, start
+        while end < len(texts) and (end == start or size + len(texts[end]) <= TOGETHER):
+            shown.append("".join(texts[end].split()))
+            size += len(texts[end])
+            end += 1
+        sizes = np.array([len(x) for x in shown])
+        ends = np.cumsum(sizes)
+        own = np.repeat(np.arange(len(shown)), sizes)
+        hashes = _grams(_codes("".join(shown)))
+        inside = np.arange(len(hashes)) + GRAM <= ends[own[: len(hashes)]]
+        of = own[: len(hashes)][inside]
+        keys = (of.astype(np.uint64) << np.uint64(40)) | (hashes[inside] >> np.uint64(24))
+        keys.sort()
+        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+        most = np.zeros(len(shown), np.int64)
+        counts = np.diff(edges)
+        held = np.flatnonzero(counts >= OCCURS)
+        np.maximum.at(most, (keys[edges[held]] >> np.uint64(40)).astype(np.int64), counts[held])
+        enough = (most >= OCCURS) & (most * GRAM > COVER * sizes)
+        out.extend(bool(e) and coverage(texts[start + k]) > COVER for k, e in enumerate(enough))
+        start = end
+    return out
+
+
+def again(parts: list[str]) -> int:
+    """Visible characters of the parts that are copies of one before."""
+    if len(set(parts)) == len(parts):
+        return 0
+    seen: set[str] = set()
+    size = 0
+    for part in parts:
+        if part in seen:
+            size += visible(part)
+        elif part:
+            seen.add(part)
+    return size
+
+
+def repeats(text: str, lines: list[str]) -> bool:
+    """Whether more than ``AGAIN`` of a text is in copies of its own lines, or of its paragraphs however they are wrapped."""
+    if len(lines) < 2:
         return False
-    return coverage(text) > COVER
+    least = AGAIN * visible(text)
+    if again([line.strip() for line in lines]) > least:
+        return True
+    return "\n\n" in text and again([" ".join(p.split()) for p in _blank.split(text)]) > least
 
 
 def statistics(text: str, common: frozenset[str]) -> tuple[int, float, float, float, float, float, float, float]:
@@ -195,7 +268,7 @@ def statistics(text: str, common: frozenset[str]) -> tuple[int, float, float, fl
     words = _words.findall(text)
     shown = visible(text)
     lines = [x for line in text.split("\n") if (x := line.strip())]
-    paragraphs = [x for p in re.split(r"\n\s*\n", text) if (x := p.strip())]
+    paragraphs = [x for p in _blank.split(text) if (x := p.strip())]
     letters = sum(map(len, words))
     symbols = shown - letters - sum(map(len, _numeric.findall(text)))
     rate = lambda n, of: round(n / of, 6) if of else 0.0
@@ -218,7 +291,7 @@ def no_prose(text: str, common: frozenset[str]) -> bool:
     lines = text.split("\n")
     shown = other = 0
     own = classes(lines, common)
-    whole = covered(text, own)
+    whole = repeats(text, lines) or covered([text])[0]
     for line, kind in zip(lines, own):
         if kind and not is_number(line):
             size = visible(line)
@@ -251,7 +324,7 @@ def text_statistics(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 def measured(texts: DataFrame, common: frozenset[str], by_line: bool) -> DataFrame:
     """Per text, or per distinct line identifier of a text: visible characters (shown) and those that are no prose (other).
 
-    ``texts`` has (src, grp, uid, text).
+    ``texts`` has (src, grp, uid, text, long); long goes on to the result.
     """
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
@@ -259,11 +332,11 @@ def measured(texts: DataFrame, common: frozenset[str], by_line: bool) -> DataFra
         words = shared.value
         for batch in batches:
             at, keys, shown, other = [], [], [], []
-            sources = batch.column(0).to_pylist()
-            for k, text in enumerate(batch.column(3).to_pylist()):
+            sources, texts_of = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            for k, (text, whole) in enumerate(zip(texts_of, covered(texts_of))):
                 lines = text.split("\n")
                 own = classes(lines, words)
-                junk = covered(text, own)
+                junk = whole or repeats(text, lines)
                 sums: dict[str | None, list[int]] = {}
                 # A page of so few lines is its margins; they are no list.
                 few = not by_line and "junk" not in own and sum(bool(kind) and not is_number(line) for line, kind in zip(lines, own)) <= MARGINS and sources[k] == "pages"
@@ -282,9 +355,9 @@ def measured(texts: DataFrame, common: frozenset[str], by_line: bool) -> DataFra
                 shown.extend(s for s, _ in sums.values())
                 other.extend(o for _, o in sums.values())
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(keys, pa.string()), pa.array(shown, pa.int64()), pa.array(other, pa.int64())], names=["src", "grp", "uid", "key", "shown", "other"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 4)], pa.array(keys, pa.string()), pa.array(shown, pa.int64()), pa.array(other, pa.int64())], names=["src", "grp", "uid", "long", "key", "shown", "other"])
 
-    return texts.select("src", "grp", "uid", "text").mapInArrow(run, "src string, grp string, uid long, key string, shown long, other long")
+    return texts.select("src", "grp", "uid", "text", "long").mapInArrow(run, "src string, grp string, uid long, long boolean, key string, shown long, other long")
 
 
 def long_enough(text: str = "text"):
@@ -296,12 +369,13 @@ def found(documents: DataFrame, pages: DataFrame, segments: DataFrame, lexicon:
     """Distinct (src, uid) of the texts that are no natural prose."""
     common = common_words(lexicon)
     docs = documents.select(F.lit("documents").alias("src"), F.coalesce("source", F.lit("")).alias("grp"), F.col("doc_id").alias("uid"), "text").filter(F.col("text").isNotNull())
-    lines = written(measured(docs.filter(long_enough()), common, True), "quality")
+    # Short documents are never found, but their lines count among those that come back.
+    lines = written(measured(docs.withColumn("long", long_enough()), common, True), "quality")
     least = repeated_lines.documents_least(documents)
     often = repeated_lines.often_of(lines.filter("key is not null"), least).select("src", "grp", "key")
-    own = lines.join(often, ["src", "grp", "key"], "left_anti").groupBy("src", "uid").agg(F.sum("shown").alias("shown"), F.sum("other").alias("other"))
+    own = lines.filter("long").join(often, ["src", "grp", "key"], "left_anti").groupBy("src", "uid").agg(F.sum("shown").alias("shown"), F.sum("other").alias("other"))
     rest = pages.select(F.lit("pages").alias("src"), F.lit("").alias("grp"), F.col("page_uid").alias("uid"), "text").unionByName(other_segments(segments))
-    alone = measured(rest.filter(F.col("text").isNotNull() & long_enough()), common, False)
+    alone = measured(rest.filter(F.col("text").isNotNull() & long_enough()).withColumn("long", F.lit(True)), common, False)
     return own.select("src", "uid", "shown", "other").unionByName(alone.select("src", "uid", "shown", "other")).filter("other * 2 > shown").select("src", "uid").distinct()
 
 

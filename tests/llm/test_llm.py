@@ -165,6 +165,26 @@ def test_identifier():
     assert repeated_lines.identifier("One") != repeated_lines.identifier("Two")
 
 
+def test_identifier_of_long_lines():
+    """No rule depends on how long a line is."""
+    for size in (5, 60, 400):
+        rest = "so many words that nobody reads this notice to its end " * size
+        assert len({repeated_lines.identifier(x) for x in (f"ii {rest}", f"iv {rest}", rest, f"{rest} xii.")}) == 1
+    assert repeated_lines.identifier("=" * 90 + " xx") is None and repeated_lines.identifier("." * 300 + " page 7") is None
+    assert repeated_lines.identifier("x i x i the letters of a line") == repeated_lines.identifier("x i x i the letters of a line.")
+    one = "This notice has more than a hundred and twenty letters so that its identifier is a hash of them and says nothing at all of what each of them is when they are read one by one"
+    assert repeated_lines.identifier(one).startswith("#") and not repeated_lines.identifier(one.replace("nothing", "noth�ng")).startswith("#")
+
+
+def test_long_lines_with_unread_letters(spark):
+    one = "This notice has more than a hundred and twenty letters so that its identifier is a hash of them and says nothing at all of what each of them is when they are read one by one"
+    rows = [(k, f"Own {chr(97 + k)}\n{one}", "s", None) for k in range(8)] + [(90, one.replace("nothing", "noth�ng"), "s", None), (91, one.replace("nothing", "sev�ral"), "s", None)]
+    blocks = spark.createDataFrame([], "block_uid long, book_id string, page int, bbox struct<x0:double,y0:double,x1:double,y1:double>, text string")
+    pages = spark.createDataFrame([], "book_id string, number int, page_height double")
+    got = {tuple(r) for r in repeated_lines.found(docs(spark, rows), blocks, pages).collect()}
+    assert got == {("documents", k, 1) for k in range(8)} | {("documents", 90, 0)}
+
+
 def test_repeated_lines(spark):
     rows = [(k, f"Text {chr(97 + k)} own line\nShare this page, no. {k}\n\nCopyright © {2000 + k} Reading Room", "s", None) for k in range(20)]
     rows += [(100, None, "s", None), (101, "", "s", None), (102, "Sh�re this page, no. 5", "s", None), (103, "Share this page", None, None)]
@@ -196,9 +216,36 @@ def test_clean_query_gives_blocks(spark):
 
 
 def test_blocks_of_lines(spark):
-    rows = [(k, f"Own {k} x{chr(97 + k)}\nAll rights reserved by us\nTell your friends about it\nOwn end {chr(97 + k)}", "s", None) for k in range(10)]
-    got = repeated_lines.repeated_blocks(docs(spark, rows)).collect()
-    assert [(r.n_lines, r.n_docs) for r in got] == [(2, 10)]
+    """Blocks of every length, in documents and margins, against all runs of lines counted one by one."""
+    random.seed(11)
+    notice = [f"Notice of the {w} kind" for w in "first second third fourth fifth sixth seventh".split()]
+    rows = []
+    for k in range(40):
+        a, b = sorted(random.sample(range(8), 2))
+        rows.append((k, "\n".join([f"Own {chr(97 + k % 26)}{chr(97 + k // 26)} begins", *notice[a:b], f"Own {chr(97 + k % 26)}{chr(97 + k // 26)} ends"]), "s", None))
+    margins = [(k, "b", k, (0.0, 10.0, 9.0, 20.0), f"The Title {k}\nChapter of the Mill") for k in range(4)]
+    blocks = spark.createDataFrame(margins, "block_uid long, book_id string, page int, bbox struct<x0:double,y0:double,x1:double,y1:double>, text string")
+    pages = spark.createDataFrame([("b", k, 700.0) for k in range(4)], "book_id string, number int, page_height double")
+    got = repeated_lines.repeated_blocks(docs(spark, rows), blocks, pages).collect()
+    runs = {}
+    for k, text, _, _ in rows:
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            for j in range(i + 2, len(lines) + 1):
+                runs.setdefault(tuple(lines[i:j]), set()).add(k)
+    often = {run: len(of) for run, of in runs.items() if len(of) >= 5}
+    want = set()
+    for _, text, _, _ in rows:
+        lines, end = text.split("\n"), 0
+        for i in range(len(lines)):
+            longest = max((run for run in often if tuple(lines[i : i + len(run)]) == run), key=len, default=())
+            if longest and i >= end:
+                want.add((longest, often[longest]))
+            end = max(end, i + len(longest))
+    docs_got = {(tuple(r.block), r.n_docs) for r in got if r.src == "documents"}
+    assert docs_got == want
+    assert [(len(r.block), r.n_docs) for r in got if r.src == "blocks"] == [(2, 4)]
+    assert repeated_lines.repeated_blocks(docs(spark, []), blocks.limit(0), pages.limit(0)).count() == 0
 
 
 # Problem 6
@@ -281,6 +328,25 @@ def test_sentence_rows_keep_what_is_no_prose(spark, lexicon):
     assert 9001 not in {r.seg_uid for r in sentences.found(own, lexicon).collect()}
 
 
+def test_repetition_makes_no_prose(spark, lexicon):
+    """The same words many times are no prose, in one line or many, one paragraph or many; said once or twice they are."""
+    lamp, advert = "The lamp is best. ", "It was the best of the lamps that they had and she had to see it with her own eyes."
+    once = "He had to go to the town for it, and she was with them at the end of the road when they came in."
+    words = "mill road lamp barn gate lake hill wood field stone bridge tower".split()
+    long = "\n".join(f"He had to go to the {a} for it, and she was with them at the {b} when they came to the {c}." for a in words[:4] for b in words[4:8] for c in words[8:])
+    no = [lamp * 200, "\n".join([advert] * 50), "\n\n".join([advert + "\n" + once] * 4), "\n\n".join([f"{advert} {once}", f"{advert}\n{once}", f"{once}\n{advert}", f"{advert} {once}", f"{advert}  {once}"]), lamp * 3000]
+    yes = [lamp, advert, f"{advert}\n{once}", f"{advert}\n{advert}\n{once}\n{once} Then he was by the mill.", once + "\n\n" + long]
+    common = quality.common_words(lexicon)
+    assert [quality.no_prose(t, common) for t in no + yes] == [True] * 5 + [False] * 5
+    d = docs(spark, [(k, t, f"s{k}", None) for k, t in enumerate(no + yes)])
+    empty = spark.createDataFrame([], "page_uid long, text string")
+    assert {r.uid for r in quality.found(d, empty, segs(spark, []), lexicon).collect()} == set(range(5))
+    assert quality.covered(no + yes) == [quality.coverage(t) > quality.COVER for t in no + yes]
+    random.seed(4)
+    some = ["".join(random.choices("ab ", weights=[5, 1, 1], k=random.randint(0, 300))) for _ in range(300)]
+    assert quality.covered(some) == [quality.coverage(t) > quality.COVER for t in some]
+
+
 def test_quality(spark, lexicon):
     prose = "It was the old house that they had seen at the end of the road, and he was in it with her.\n\nShe had to go to the town for a lamp."
     table = "\n".join(f"name{k}\t{k}\t{k * 3}" for k in range(12))
