@@ -1,20 +1,27 @@
 """Problem 10: the subjects that a document is about.
 
 Complement naive Bayes: a feature's weight for a subject is the log of its rate
-in the subject's passages over its rate in all others. The labelled passages
-are a fixed table. Expectation-maximization then goes over every sentence of
-every document, labelled by what the document's other sentences are about, and
-the features are counted again. Each subject's score of a sentence is calibrated on
-the labelled passages to a posterior of its own, independent of the others, and
-a document has the subjects that at least ``PART`` of its sentences, or of its
-entries where it is a list or table, are about.
+in the subject over its rate in all others, within its own language, so that a
+subject with more texts of one language gains nothing by that. It starts from
+the labelled passages. Expectation-maximization then goes over every sentence of
+every document until the weights settle: a sentence is shared out by the
+posteriors of the document's other sentences, and the features are counted again
+beside those of the passages. Each subject's score of a sentence is turned into a
+posterior of its own by a curve that is fitted to passages which the weights have
+not seen, and a document has the subjects that at least ``PART`` of its
+sentences, or of its entries where it is a list or table, are about.
+
+Documents are cut into sentences and known features once and written as numbers;
+the rounds of EM and the result are array operations over that table. Lines that
+come back in a source are left out in the JVM beforehand: their keys stay with
+their source, and go wherever Spark's size check lets them.
 
 Features are words; in scripts without spaces, runs of one script and short
 character n-grams. The features are those of the labelled passages and of the
 lexicon, so what goes to the workers is bounded by these two fixed tables.
 
 Defined cases: null and empty texts, and junk, have no subject; repeated rows
-count once; subjects that tie are all returned.
+count once; subjects that tie are all returned; a null source is one of its own.
 """
 
 from __future__ import annotations
@@ -23,34 +30,33 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookloom.llm.lookalike import CYRILLIC, GREEK
 from bookloom.session import checked_broadcast_rows, written
 
 #: Most labelled passages and lexicon words that are read; both tables are fixed.
 LABELLED, LEXICON = 20_000, 50_000
-#: Strength of the prior that a feature is no subject's, in occurrences, before and after EM.
-PRIOR, PRIOR_EM = 1.0, 1.0
+#: Strength of the prior that a feature is no subject's, in occurrences, and how often a labelled passage counts beside the documents.
+PRIOR, PASSAGE = 1.0, 1.0
 #: Weights below this say nothing, before and after EM.
 SLIGHT, SLIGHT_EM = 2.0, 1.2
 #: A feature has to be in so many passages of a subject to start with.
 PASSAGES = 2
-#: Part of the sentences that makes a subject one of the document's: a quarter, less what titles and clauses taken for sentences add to their number.
-PART = 0.2
-#: A line in so many documents and this part of its source's is none of a document's sentences; most such lines in all.
-DOCUMENTS, REPEATED, OFTEN = 5, 0.02, 1_000_000
-#: Steps in which a document's share of a subject is counted.
-STEPS = 16
-#: Rounds of EM.
-ROUNDS = 1
+#: Part of the sentences that makes a subject one of the document's.
+PART = 0.25
+#: A line in so many documents and this part of its source's is none of a document's sentences.
+DOCUMENTS, REPEATED = 5, 0.02
+#: EM ends when the weights change by less than this part, or after so many rounds.
+SETTLED, ROUNDS = 0.04, 8
 #: Odds by which a sentence's best subject may lead another that it is also about.
 BESIDE = 1.4
+#: Groups of passages: the curve of each is fitted to scores of weights that are without it.
+FOLDS = 2
 
 _word = re.compile(r"[a-zà-öø-ÿœа-яё]+(?:[’'-][a-zà-öø-ÿœа-яё]+)*|[ؠ-ًؿ-ٟٮ-ۓ]{2,}|[ऀ-ॣॱ-ॿ]{2,}|[ァ-ヶー]{2,}|[一-鿿]+|[ก-๎]{4,}")
 #: Words of scripts with spaces; quicker than the pattern for all, which is for units of unspaced scripts.
@@ -84,29 +90,47 @@ def features(unit: str) -> list[str]:
     return out
 
 
-_plain = {c: chr(c).lower() if chr(c).isalpha() else None for c in range(128)}
-_no_letter = re.compile(r"[\W\d_]+")
+_ended = re.compile(r"[.!?…。！？।؟:;][\"'”’»」』)\]]*\s*$")
+_last = re.compile(r"[^\W\d_]+$")
+#: Small letters of other scripts that look like Latin ones, for the keys of lines.
+_alike = {k: v for k, v in {**GREEK, **CYRILLIC}.items() if k.islower()}
 
 
-def line_key(source: int, line: str) -> str:
-    """Hash of a source and the letters of a line."""
-    plain = line.translate(_plain) if line.isascii() else _no_letter.sub("", line.lower())
-    return f"{source:08x}{xxhash.xxh64_intdigest(plain.encode('utf-8', 'surrogatepass')):016x}"
+def without_repeated_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) without the lines that come back in their source: the same letters, whatever their case and look-alikes."""
 
+    def keys(text: str) -> Column:
+        plain = lambda line: F.translate(F.lower(line), "".join(_alike), "".join(_alike.values()))
+        return F.transform(F.split(text, "\n"), lambda line: F.xxhash64(F.regexp_replace(plain(line), r"[^\p{L}]+", "")))
 
-def source_key(source: str | None) -> int:
-    """Hash of a source's name."""
-    return xxhash.xxh32_intdigest((source or "").encode("utf-8", "surrogatepass"))
+    own = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").filter(F.col("text").isNotNull())
+    sizes = own.groupBy("source").agg(F.count("*").alias("size"))
+    each = own.select("source", F.explode(F.array_distinct(keys("text"))).alias("key")).filter(F.col("key") != F.xxhash64(F.lit("")))
+    counts = each.groupBy("source", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= DOCUMENTS)
+    # A share of the source's documents has each of these, so a source has at most 1/share times its lines a document.
+    often = written(counts.join(sizes, "source").filter(F.col("n") >= F.col("size") * REPEATED).groupBy("source").agg(F.collect_list("key").alias("_often")), "often")
+    lines = F.zip_with(F.split("text", "\n"), keys("text"), lambda line, key: F.struct(line.alias("line"), key.alias("key")))
+    kept = F.transform(F.filter(lines, lambda x: ~F.array_contains("_often", x["key"])), lambda x: x["line"])
+    return own.join(often, "source", "left").select("doc_id", F.when(F.col("_often").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
 
 
-def sentences(text: str) -> list[str]:
-    """A paragraph cut after the marks that end a sentence, but not after short words, or quotations that ask or exclaim."""
+def sentences(text: str, words: frozenset[str] = frozenset()) -> list[str]:
+    """A paragraph cut after the marks that end a sentence, but not after abbreviations, or quotations that ask or exclaim.
+
+    Abbreviations are one letter, a capital and at most three letters more, three letters that are no known word, or a word alone.
+    """
     out, start = [], 0
     for m in _end.finditer(text):
         at, end = m.start(), m.end()
         if m[1] and end < len(text):
-            if not text[max(0, at - 4) : at].isalpha() or at < 4 or text[end].islower() or m[2] and m[1] != ".":
+            if text[end].islower() or m[2] and m[1] != ".":
                 continue
+            if m[1] == ".":
+                # The last letters suffice: longer words are none of these.
+                last = _last.search(text, max(start, at - 8), at)
+                word = last[0] if last else ""
+                if len(word) < 2 or len(word) < 5 and (word[0].isupper() or text[end].isdigit()) or len(word) < 4 and word.lower() not in words or " " not in text[start:at].strip():
+                    continue
         if end - start > 3:
             out.append(text[start:end])
         start = end
@@ -115,11 +139,18 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def units(text: str, source: int = 0, often: frozenset[str] = frozenset()) -> list[str]:
-    """Sentences of a text, or its lines where they are entries; lines that come back in its source are left out."""
+def units(text: str, words: frozenset[str] = frozenset()) -> list[str]:
+    """The sentences of a text, or its lines where they are entries.
+
+    Where most end like sentences, what does not is a title or a caption and is left out.
+    """
+    whole = _units(text, words)
+    ended = [bool(_ended.search(unit)) for unit in whole]
+    return [unit for unit, end in zip(whole, ended) if end] if 2 * sum(ended) >= len(whole) else whole
+
+
+def _units(text: str, words: frozenset[str]) -> list[str]:
     lines = [line.strip() for line in text.split("\n")]
-    if often:
-        lines = [line for line in lines if not 8 < len(line) < 200 or line_key(source, line) not in often]
     shown = [line for line in lines if line]
     on = sum(a[-1] not in ".!?…。！？।؟" and len(a) > 30 and b[0].islower() for a, b in zip(shown, shown[1:]))
     out: list[str] = []
@@ -139,95 +170,60 @@ def units(text: str, source: int = 0, often: frozenset[str] = frozenset()) -> li
         if _thai.search(part) and len(part) > 40:
             whole.extend(chunk for chunk in part.split() if len(chunk) > 8)
         elif len(part) > 60 or "。" in part or "।" in part:
-            whole.extend(sentences(part))
+            whole.extend(sentences(part, words))
         else:
             whole.append(part)
     return whole
 
 
 class Model:
-    """Sparse weights of features and the calibration of each subject."""
-
-    def __init__(self, subjects: list[str], counts: dict[str, np.ndarray], known: frozenset[str], prior: float, slight: float):
-        self.subjects, self.known = subjects, known
-        n = len(subjects)
-        self.weights: dict[str, list[tuple[int, float]]] = {}
-        if counts:
-            names, table = list(counts), np.array(list(counts.values()))
-            # Columns are the subjects and, after EM, none of them; rates are within a column, the complement is all others.
-            totals = table.sum(axis=0) + 1.0
-            rate = table / totals
-            base = table.sum(axis=1, keepdims=True) / totals.sum()
-            strength = prior / totals.mean()
-            log = np.log((rate + strength * 0.1 + 0.05 * base) / ((rate.sum(axis=1, keepdims=True) - rate) / max(1, table.shape[1] - 1) + strength * 0.1 + 0.05 * base))
-            for name, row in zip(names, log[:, :n]):
-                kept = [(int(k), round(float(row[k]), 3)) for k in np.flatnonzero(row > slight)]
-                if kept:
-                    self.weights[name] = kept
-        self.scale = [(1.0, -2.0)] * n
-        self.often: frozenset[str] = frozenset()
-
-    def scores(self, found: list[str]) -> dict[int, float]:
-        """Score of each subject that a feature of a sentence speaks for."""
-        out: dict[int, float] = {}
-        weights = self.weights
-        for feature in found:
-            if feature in weights:
-                for k, w in weights[feature]:
-                    out[k] = out.get(k, 0.0) + w
-        return out
+    """Weights of the known features for each subject, and the curve of each subject's posterior."""
+
+    def __init__(self, subjects: list[str], ids: dict[str, int], groups: np.ndarray):
+        self.subjects, self.ids, self.groups = subjects, ids, groups
+        self.weights = np.zeros((len(ids), len(subjects)))
+        self.scale = np.tile([1.0, -2.0], (len(subjects), 1))
+
+    def weigh(self, counts: np.ndarray, slight: float) -> np.ndarray:
+        """Log ratios of each feature's rate in a subject to its rate in the others, among the features of its language."""
+        n = len(self.subjects)
+        totals = np.zeros((self.groups.max() + 1 if len(self.groups) else 0, counts.shape[1]))
+        np.add.at(totals, self.groups, counts)
+        totals = totals[self.groups] + 1.0
+        rate = counts / totals
+        base = counts.sum(axis=1, keepdims=True) / totals.sum(axis=1, keepdims=True)
+        strength = PRIOR / totals.mean(axis=1, keepdims=True)
+        others = (rate.sum(axis=1, keepdims=True) - rate) / max(1, counts.shape[1] - 1)
+        log = np.log((rate + 0.1 * strength + 0.05 * base) / (others + 0.1 * strength + 0.05 * base))[:, :n]
+        return np.where(log > slight, log, 0.0)
+
+    def posteriors(self, scores: np.ndarray) -> np.ndarray:
+        """Posterior of each subject on its own; 0 where no feature speaks for it."""
+        return np.where(scores > 0, 1 / (1 + np.exp(-np.clip(scores * self.scale[:, 0] + self.scale[:, 1], -30, 30))), 0.0)
+
+    def about(self, scores: np.ndarray) -> np.ndarray:
+        """Whether a sentence with these scores is about each subject."""
+        return (self.posteriors(scores) >= 0.5) & (scores >= scores.max(axis=1, keepdims=True) - BESIDE)
+
+
+def scores(weights: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Score of each sentence for each subject; ``ids`` are the features of all sentences one after another, ``sizes`` how many each has."""
+    out = np.zeros((len(sizes), weights.shape[1]))
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    held = np.flatnonzero(weights.any(axis=1)[ids]) if len(ids) else np.zeros(0, np.int64)
+    if len(held):
+        of = own[held]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        out[of[first]] = np.add.reduceat(weights[ids[held]], first, axis=0)
+    return out
 
-    def posteriors(self, found: dict[int, float]) -> dict[int, float]:
-        """Calibrated posterior of each subject on its own."""
-        return {k: 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale[k][0] * s + self.scale[k][1])))) for k, s in found.items()}
-
-    def about(self, found_features: list[str]) -> list[int]:
-        """The subjects that a sentence of these features is about."""
-        found = self.scores(found_features)
-        if not found:
-            return []
-        best = max(found.values())
-        return [k for k, p in self.posteriors(found).items() if p >= 0.5 and found[k] >= best - BESIDE]
-
-    def of(self, text: str, source: str | None = None) -> list[str]:
-        """The subjects of a document."""
-        counts: Counter[int] = Counter()
-        size = 0
-        for unit in units(text, source_key(source), self.often):
-            if ("_" in unit or "/" in unit or _sign.search(unit)) and len(_junk.findall(unit)) > 2:
-                size += max(1, len(unit) // 80)
-                continue
-            size += 1
-            counts.update(self.about(features(unit)))
-        return [self.subjects[k] for k, n in sorted(counts.items()) if n >= PART * size]
-
-
-def _counts(rows: list[tuple[str, str]], subjects: list[str]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Occurrences of each feature in the passages of each subject, and of those in enough passages of one subject."""
-    index = {s: k for k, s in enumerate(subjects)}
-    out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(subjects)))
-    passages: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(subjects)))
-    for subject, text in rows:
-        if subject in index:
-            found = features(text)
-            for feature in found:
-                out[feature][index[subject]] += 1
-            for feature in set(found):
-                passages[feature][index[subject]] += 1
-    return dict(out), {f: n for f, n in out.items() if passages[f].max() >= PASSAGES}
-
-
-def calibrate(own: Model, rows: list[tuple[str, str]]) -> None:
-    """A logistic curve per subject over the scores of the passages' sentences, for and against it."""
-    index = {s: k for k, s in enumerate(own.subjects)}
-    xs: dict[int, list[tuple[float, float]]] = defaultdict(list)
-    for subject, text in rows:
-        for unit in units(text):
-            for k, score in own.scores(features(unit)).items():
-                xs[k].append((score, float(k == index.get(subject))))
-    for k, pairs in xs.items():
-        data = np.array(pairs)
-        x, y = data[:, 0], data[:, 1]
+
+def _fitted(scored: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """A logistic curve per subject over the scores of sentences, for and against it, held near (1, -2) where there are few."""
+    scale = np.tile([1.0, -2.0], (scored.shape[1], 1))
+    for k in range(scored.shape[1]):
+        x = scored[scored[:, k] > 0, k]
+        y = (labels[scored[:, k] > 0] == k).astype(float)
         a, b = 1.0, -2.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -235,94 +231,173 @@ def calibrate(own: Model, rows: list[tuple[str, str]]) -> None:
             g = np.array([((y - p) * x).sum() - 100 * (a - 1), (y - p).sum() - 100 * (b + 2)])
             h = np.array([[(w * x * x).sum() + 100, (w * x).sum()], [(w * x).sum(), w.sum() + 100]])
             step = np.clip(np.linalg.solve(h, g), -1, 1)
-            a, b = max(0.8, a + step[0]), b + step[1]
-        own.scale[k] = (float(a), float(b))
+            a, b = max(0.1, a + step[0]), b + step[1]
+        scale[k] = (a, b)
+    return scale
 
 
-def expected(documents: DataFrame, own: Model) -> tuple[dict[str, np.ndarray], frozenset[str]]:
-    """Counts of the known features over all documents, each sentence shared out over what the other sentences are about, and none.
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column one after another, and how many each list has."""
+    starts = column.offsets.to_numpy()
+    return column.values.to_numpy()[starts[0] : starts[-1]], np.diff(starts).astype(np.int64)
 
-    Also the keys of the lines that come back in a source; like the lines of
-    the repeated-lines operator they are in a fixed share of its documents, so
-    there are at most 1/share times the mean number of lines a source.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(own)
-    n = len(own.subjects)
+
+def cut_into_features(texts: DataFrame, ids: dict[str, int], words: frozenset[str]) -> DataFrame:
+    """(doc_id, size, ids, sizes) of (doc_id, text): how many sentences count, junk among them, and the known features of those that are none."""
+    shared = texts.sparkSession.sparkContext.broadcast((ids, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, common = shared.value
+        for batch in batches:
+            sizes, held, ends, lengths, marks = [], [], [0], [], [0]
+            for text in batch.column(1).to_pylist():
+                size = 0
+                for unit in units(text, common):
+                    if ("_" in unit or "/" in unit or _sign.search(unit)) and len(_junk.findall(unit)) > 2:
+                        size += max(1, len(unit) // 80)
+                        continue
+                    size += 1
+                    found = [known[f] for f in features(unit) if f in known]
+                    held.extend(found)
+                    lengths.append(len(found))
+                sizes.append(size)
+                ends.append(len(held))
+                marks.append(len(lengths))
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32())) for at, values in ((ends, held), (marks, lengths))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), *lists], names=["doc_id", "size", "ids", "sizes"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, ids array<int>, sizes array<int>")
+
+
+def expected(cut: DataFrame, own: Model) -> np.ndarray:
+    """Counts of the features over all documents, each sentence shared out by the posteriors of its document's others; the last column is no subject."""
+    shared = cut.sparkSession.sparkContext.broadcast(own)
+    n, size = len(own.subjects), len(own.ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = model.known
+        total = np.zeros((n + 1) * size)
         for batch in batches:
-            sums: dict[tuple[str, int], float] = defaultdict(float)
-            total: Counter[str] = Counter()
-            held: list[dict[int, Counter[str]]] = [defaultdict(Counter) for _ in range(n)]
-            for text, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = source_key(source)
-                sums[f"{name:08x}", -2] += 1
-                for line in {x for line in text.split("\n") if 8 < len(x := line.strip()) < 200}:
-                    sums[line_key(name, line), -1] += 1
-                # A sentence is labelled by what the document's other sentences are about, so no feature speaks for itself.
-                parts = []
-                for unit in units(text):
-                    found = features(unit)
-                    parts.append((found, model.about(found)))
-                if len(parts) < 2:
-                    continue
-                total.update(chain.from_iterable(found for found, _ in parts))
-                for k, m in Counter(k for _, about in parts for k in about).items():
-                    for inside in (True, False):
-                        level = round(STEPS * (m - inside) / (len(parts) - 1))
-                        if level:
-                            held[k][level].update(chain.from_iterable(found for found, about in parts if (k in about) == inside))
-            for k, levels in enumerate(held):
-                for level, counted in levels.items():
-                    for feature in known.intersection(counted):
-                        sums[feature, k] += counted[feature] * level / STEPS
-            for feature in known.intersection(total):
-                sums[feature, n] = total[feature]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array(list(sums.values()), pa.float64())], names=["feature", "k", "n"])
-
-    rows = documents.select("text", "source").filter(F.col("text").isNotNull()).mapInArrow(run, "feature string, k int, n double")
-    counts = written(rows.groupBy("feature", "k").agg(F.sum("n").alias("n")), "features")
-    out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n + 1))
-    for r in checked_broadcast_rows(counts.filter("k >= 0"), len(own.known) * (n + 1) + 1, "the list of feature counts"):
-        out[r.feature][r.k] = r.n
-    for own_counts in out.values():
-        own_counts[n] = max(0.05 * own_counts[n], own_counts[n] - own_counts[:n].sum())
-    sizes = counts.filter("k = -2").select(F.col("feature").alias("name"), F.greatest(F.lit(DOCUMENTS), F.col("n") * REPEATED).alias("least"))
-    lines = counts.filter((F.col("k") == -1) & (F.col("n") >= DOCUMENTS)).withColumn("name", F.substring("feature", 1, 8)).join(sizes, "name").filter("n >= least")
-    often = frozenset(r.feature for r in checked_broadcast_rows(lines.select("feature"), OFTEN, "the list of repeated lines"))
-    return dict(out), often
-
-
-def train(documents: DataFrame, examples: DataFrame, lexicon: DataFrame, subjects: DataFrame) -> Model:
-    """The model of the labelled passages, refined over all documents and calibrated."""
+            if not batch.num_rows:
+                continue
+            (ids, _), (lengths, counts) = _flat(batch.column(0)), _flat(batch.column(1))
+            labels = model.posteriors(scores(model.weights, ids, lengths))
+            doc = np.repeat(np.arange(len(counts)), counts)
+            # A document of one sentence has no others to tell what it is about.
+            others = np.maximum(1, counts - 1)[doc][:, None]
+            sums = np.stack([np.bincount(doc, weights=labels[:, k], minlength=len(counts)) for k in range(n)], axis=1)
+            weights = np.where((counts > 1)[doc][:, None], (sums[doc] - labels) / others, 0.0)
+            unit = np.repeat(np.arange(len(lengths)), lengths)
+            for k in range(n):
+                total[k * size : (k + 1) * size] += np.bincount(ids, weights=weights[unit, k], minlength=size)
+            total[n * size :] += np.bincount(ids, weights=(counts > 1)[doc][unit].astype(float), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.float64())], names=["slot", "n"])
+
+    rows = cut.select("ids", "sizes").mapInArrow(run, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros((n + 1) * size)
+    for r in checked_broadcast_rows(rows, len(out), "the list of feature counts"):
+        out[r.slot] = r.n
+    table = out.reshape(n + 1, size).T
+    table[:, n] = np.maximum(0.05 * table[:, n], table[:, n] - table[:, :n].sum(axis=1))
+    return table
+
+
+class Passages:
+    """The labelled passages as features of their sentences."""
+
+    def __init__(self, rows: list[tuple[str, str, str]], subjects: list[str], words: frozenset[str], known: list[str]):
+        index = {subject: k for k, subject in enumerate(subjects)}
+        cut = [(index[subject], [features(unit) for unit in units(text, words)]) for subject, text, _ in rows if subject in index]
+        self.ids = {f: k for k, f in enumerate(sorted({f for _, parts in cut for part in parts for f in part}.union(known)))}
+        sentences_of = [(k, subject, part) for k, (subject, parts) in enumerate(cut) for part in parts]
+        self.passage = np.array([k for k, _, _ in sentences_of], np.int64)
+        self.labels = np.array([subject for _, subject, _ in sentences_of], np.int64)
+        self.sizes = np.array([len(part) for _, _, part in sentences_of], np.int64)
+        self.flat = np.array([self.ids[f] for _, _, part in sentences_of for f in part], np.int64)
+        self.n = len(subjects)
+
+    def counts(self, least: int = 1, but: int | None = None) -> np.ndarray:
+        """Occurrences of each feature in each subject's passages, of those in ``least`` passages of one subject, without one fold."""
+        unit = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        kept = np.ones(len(unit), bool) if but is None else self.passage[unit] % FOLDS != but
+        out = np.zeros((len(self.ids), self.n))
+        np.add.at(out, (self.flat[kept], self.labels[unit[kept]]), 1.0)
+        if least > 1 and len(unit):
+            pairs = np.unique(np.stack([self.flat[kept], self.labels[unit[kept]], self.passage[unit[kept]]]), axis=1)
+            held = np.zeros_like(out)
+            np.add.at(held, (pairs[0], pairs[1]), 1.0)
+            out[held.max(axis=1) < least] = 0
+        return out
+
+    def fit(self, own: Model, counts: np.ndarray | None) -> None:
+        """The curves of a model, fitted to each fold's scores by weights that are without the fold's passages."""
+        scored = np.zeros((len(self.sizes), self.n))
+        for fold in range(FOLDS):
+            weights = own.weigh(self.counts(PASSAGES, fold), SLIGHT) if counts is None else own.weigh(self.beside(counts, fold), SLIGHT_EM)
+            mine = self.passage % FOLDS == fold
+            scored[mine] = scores(weights, self.flat, self.sizes)[mine]
+        own.scale = _fitted(scored, self.labels)
+
+    def beside(self, counts: np.ndarray, but: int | None = None) -> np.ndarray:
+        """Counts over documents with those of the passages added."""
+        out = counts.copy()
+        out[:, : self.n] += PASSAGE * self.counts(but=but)
+        return out
+
+
+def train(cut_by, examples: DataFrame, lexicon: DataFrame, subjects: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the labelled passages, refined over all documents and calibrated, and the documents' features.
+
+    ``cut_by`` makes the table of features of the documents from (ids, words).
+    """
     names = sorted(r.subject for r in checked_broadcast_rows(subjects.select("subject").filter("subject is not null").distinct(), 1_000, "the list of subjects"))
-    rows = sorted((r.subject, r.text) for r in checked_broadcast_rows(examples.select("subject", "text").filter("subject is not null and text is not null").distinct(), LABELLED, "the labelled passages"))
-    words = {r.word for r in checked_broadcast_rows(lexicon.select("word").filter("word is not null").distinct(), LEXICON, "the lexicon")}
-    labelled, enough = _counts(rows, names)
-    known = frozenset(words | labelled.keys())
-    own = Model(names, enough, known, PRIOR, SLIGHT)
+    labelled = examples.select("subject", "text", F.coalesce("lang", F.lit("")).alias("lang")).filter("subject is not null and text is not null").distinct()
+    rows = sorted((r.subject, r.text, r.lang) for r in checked_broadcast_rows(labelled, LABELLED, "the labelled passages"))
+    listed = checked_broadcast_rows(lexicon.select("word", F.coalesce("lang", F.lit("")).alias("lang")).filter("word is not null").distinct(), LEXICON, "the lexicon")
+    words = frozenset(r.word for r in listed)
+    passages = Passages(rows, names, words, sorted(words))
+    # A feature belongs to the language in whose passages it is most often, else to that of the lexicon.
+    spoken: dict[str, Counter[str]] = defaultdict(Counter)
+    for r in sorted(listed):
+        spoken[r.word][r.lang] += 1
+    for _, text, lang in rows:
+        for feature in features(text):
+            spoken[feature][lang] += 10
+    langs = sorted({lang for counted in spoken.values() for lang in counted})
+    groups = np.array([langs.index(max(sorted(spoken[f]), key=spoken[f].__getitem__)) if f in spoken else 0 for f in passages.ids], np.int64)
+    own = Model(names, passages.ids, groups)
+    cut = cut_by(passages.ids, words)
+    if not names or not len(passages.sizes):
+        return own, cut
+    own.weights = own.weigh(passages.counts(PASSAGES), SLIGHT)
+    passages.fit(own, None)
     for _ in range(ROUNDS):
-        counts, often = expected(documents, own)
-        own = Model(names, counts, known, PRIOR_EM, SLIGHT_EM)
-        own.often = often
-    calibrate(own, rows)
-    return own
+        counts, before = expected(cut, own), own.weights
+        own.weights = own.weigh(passages.beside(counts), SLIGHT_EM)
+        passages.fit(own, counts)
+        if np.abs(own.weights - before).sum() <= SETTLED * np.abs(own.weights).sum():
+            break
+    return own, cut
 
 
 def found(documents: DataFrame, examples: DataFrame, lexicon: DataFrame, subjects: DataFrame) -> DataFrame:
     """Distinct (doc_id, subject)."""
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents, examples, lexicon, subjects))
+    texts = without_repeated_lines(documents)
+    own, cut = train(lambda ids, words: written(cut_into_features(texts, ids, words), "features"), examples, lexicon, subjects)
+    shared = documents.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        model = shared.value
         for batch in batches:
-            at, names = [], []
-            for k, (text, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for subject in own.of(text, source):
-                    at.append(k)
-                    names.append(subject)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], names=["doc_id", "subject"])
-
-    return documents.select("doc_id", "text", "source").filter(F.col("text").isNotNull()).mapInArrow(run, "doc_id long, subject string").distinct()
+            if not batch.num_rows:
+                continue
+            (ids, _), (lengths, counts) = _flat(batch.column(2)), _flat(batch.column(3))
+            about = model.about(scores(model.weights, ids, lengths)) if model.subjects else np.zeros((len(lengths), 0), bool)
+            sums = np.zeros((len(counts), about.shape[1]))
+            np.add.at(sums, np.repeat(np.arange(len(counts)), counts), about.astype(float))
+            size = batch.column(1).to_numpy()[:, None]
+            at, which = np.nonzero((sums > 0) & (sums >= PART * size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([model.subjects[k] for k in which], pa.string())], names=["doc_id", "subject"])
+
+    return cut.select("doc_id", "size", "ids", "sizes").mapInArrow(run, "doc_id long, subject string").distinct()
