@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import text as X
 
-#: Words up to which the dictionary's accepted tokens are broadcast.
-SMALL = 200_000
+#: Accepted tokens up to which they are broadcast, and how many a word has at most.
+SMALL, FORMS = 1_000_000, 25
 # The endings that inflected words may have.
 ENDINGS = ("s", "es", "ed", "d", "ing", "ly")
 
@@ -44,7 +44,7 @@ def accepted(words: DataFrame) -> DataFrame:
 def known_tokens(words: DataFrame) -> DataFrame:
     """The accepted tokens, marked for broadcast if the dictionary is small enough."""
     table = accepted(words)
-    return F.broadcast(table) if words.limit(SMALL + 1).count() <= SMALL else table
+    return F.broadcast(table) if words.limit(SMALL // FORMS + 1).count() <= SMALL // FORMS else table
 
 
 def word_ratio(texts: DataFrame, words: DataFrame, key: str, text: str = "text") -> DataFrame:
