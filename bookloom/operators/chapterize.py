@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bookloom.functions import text as X
 from bookloom.operators import chapters as C
 from bookloom.operators import dictionary as D
-from bookloom.operators.windows import let
+from bookloom.session import written
 
 #: Size of a heading's type against the body's, how far down it may stand, and the dictionary words that it needs.
 LARGE, UPPER, WORDS = 1.35, 0.45, 0.5
@@ -43,36 +43,33 @@ def is_contents(text: Column, leader: str = C.LEADER) -> Column:
         headed = F.lower(F.trim(F.get(lines, F.lit(0)))).isin("contents", "table of contents")
         return (F.size(lines) > 0) & (headed | (_count(lines, lambda x: x.rlike(leader)) >= 3) | ((trailing >= 4) & (trailing / F.size(lines) >= 0.3)))
 
-    return F.coalesce(let(_shown(text), judged), F.lit(False))
+    return F.coalesce(X.let(_shown(text), judged), F.lit(False))
 
 
 def is_listing(paragraph: Column) -> Column:
     """A paragraph of a contents heading or of dotted lines."""
-    lines = _shown(paragraph)
-    dotted = _count(lines, lambda x: x.rlike(DOTS))
-    return F.lower(F.trim(paragraph)).isin("contents", "table of contents") | ((F.size(lines) > 0) & ((dotted >= 2) | (dotted == F.size(lines))))
+    dotted = lambda lines: X.let(_count(lines, lambda x: x.rlike(DOTS)), lambda n: (F.size(lines) > 0) & ((n >= 2) | (n == F.size(lines))))
+    return F.lower(F.trim(paragraph)).isin("contents", "table of contents") | X.let(_shown(paragraph), dotted)
 
 
 def is_section_outline(paragraph: Column) -> Column:
     """A list of numbered section titles, without sentences, at the opening of a chapter."""
     p = F.trim(paragraph)
-    lines = _shown(p)
-    listed = _count(lines, lambda x: x.rlike(NUMBERED) | x.rlike(TRAILING))
     one = p.rlike(NUMBERED) & ~p.endswith(".") & (F.length(p) < 200)
-    return F.lower(p).isin("contents", "table of contents") | F.when(F.size(lines) < 2, one).otherwise(listed / F.size(lines) >= 0.6)
+    listed = lambda lines: F.when(F.size(lines) < 2, one).otherwise(_count(lines, lambda x: x.rlike(NUMBERED) | x.rlike(TRAILING)) / F.size(lines) >= 0.6)
+    return F.lower(p).isin("contents", "table of contents") | X.let(_shown(p), listed)
 
 
 def repeats_title(paragraph: Column, title: Column) -> Column:
     """A short paragraph that says its chapter's title, or the start or end of it."""
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\W+", " "))
-    p, t = flat(X.unspaced(paragraph)), flat(title)
-    return (p != "") & (F.length(p) < 90) & (F.contains(t, p))
+    return X.let(flat(X.unspaced(paragraph)), lambda p: (p != "") & (F.length(p) < 90) & F.contains(flat(title), p))
 
 
 def without_leading(items: Column, test) -> Column:
     """An array without the items at its start that pass a test."""
-    stops = F.filter(F.transform(items, lambda x, k: F.when(~test(x), k)), lambda k: k.isNotNull())
-    first = F.coalesce(F.get(stops, F.lit(0)), F.size(items))
+    stops = F.transform(items, lambda x, k: F.when(test(x), F.size(items)).otherwise(k))
+    first = F.coalesce(F.array_min(stops), F.size(items))
     return F.slice(items, first + 1, F.size(items))
 
 
@@ -196,6 +193,6 @@ def chapterized(pages: DataFrame, blocks: DataFrame, sizes: DataFrame, words: Da
     if outline is not None:
         entries = C.outline_entries(outline.filter("start_page is not null and title is not null"))
         strategies.append(("outline", entries.withColumn("title", C.title_case(F.trim("title"))), 2))
-    headings, fonts = heading_starts(pages), font_starts(blocks, pages, sizes, words)
+    headings, fonts = written(heading_starts(pages), "headings"), written(font_starts(blocks, pages, sizes, words), "fonts")
     strategies += [("font", font_before_heading(headings, fonts), 2), ("heading", headings, 1)]
-    return filled(chapters_between(chosen_starts(strategies), pages), pages).filter(F.trim("text") != "")
+    return filled(written(chapters_between(chosen_starts(strategies), pages), "chapters"), pages).filter(F.trim("text") != "")

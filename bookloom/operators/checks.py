@@ -112,7 +112,7 @@ def no_toc_leakage(t: Tables) -> DataFrame:
 
 @check(3, "front_matter_excluded")
 def front_matter_excluded(t: Tables) -> DataFrame:
-    return _rows(_chapters(t).filter(F.substring("text", 1, 3000).rlike(chapters.FRONT_CONTENT)), "book_id", "chapter_uid", "front matter in a chapter")
+    return _rows(_chapters(t).filter(chapters.says_front(F.substring("text", 1, 3000))), "book_id", "chapter_uid", "front matter in a chapter")
 
 
 @check(3, "body_chapter_quality")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bookloom.functions import text as X
 from bookloom.operators import structural as S
 from bookloom.operators.ordered import with_previous, with_running
+from bookloom.session import written
 
 # Marks after which nothing goes on, and the words that open headings.
 ENDED = '[.!?:;"”’)]$'
@@ -90,7 +91,7 @@ def flowed(paragraphs: DataFrame, pages: DataFrame, words: DataFrame, starts: Da
     Pages without paragraphs are looked past; nothing goes on over a blank page, or into a declared chapter start
     (``starts``: book_id, page). Pages of ``scanned`` (book_id, page) break lines into blocks, so they go on within as over pages.
     """
-    own = paragraphs.withColumn("_o", F.col("page").cast("long") * PLACES + F.col("place"))
+    own = written(paragraphs, "paragraphs").withColumn("_o", F.col("page").cast("long") * PLACES + F.col("place"))
     blank = pages.filter(~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).select("book_id", (F.col("number") + 1).alias("page")).distinct()
     stops = blank if starts is None else blank.unionByName(starts.select("book_id", "page")).distinct()
     held = with_previous(own, ["book_id"], "_o", ["page", "text"]).join(stops.withColumn("_stop", F.lit(True)), ["book_id", "page"], "left")
@@ -101,6 +102,7 @@ def flowed(paragraphs: DataFrame, pages: DataFrame, words: DataFrame, starts: Da
     new_page = F.col("prev.page") != F.col("page")
     on = goes_on(F.col("prev.text"), F.col("text"), new_page | F.col("_scan")) & ~(new_page & F.coalesce(F.col("_stop"), F.lit(False)))
     numbered = with_running(held.withColumn("_on", F.coalesce(on, F.lit(False))), ["book_id"], "_o", F.when(F.col("_on"), 0).otherwise(1), "_island")
+    numbered = written(numbered.select("book_id", "_island", "_o", "text"), "flow")
     text = joined(numbered, ["book_id", "_island"], "_o", words)
     first = numbered.groupBy("book_id", "_island").agg(F.min("_o").alias("_o"), F.count("*").alias("n"))
     return text.join(first, ["book_id", "_island"]).select("book_id", F.floor(F.col("_o") / PLACES).cast("int").alias("page"), (F.col("_o") % PLACES).cast("int").alias("place"), "text", "n")

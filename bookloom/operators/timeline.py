@@ -68,13 +68,22 @@ def words_per_minute(segments: DataFrame, takes: DataFrame) -> DataFrame:
 
 
 def duration_outliers(takes: DataFrame) -> DataFrame:
-    """(book_id, segment_id, ratio, median, mad, outlier) of takes of long enough texts: seconds a character out of bounds or far from their book's median."""
-    own = current_takes(takes).filter(F.col("chars") >= LONG).withColumn("ratio", F.col("duration_s") / F.col("chars"))
-    med = own.groupBy("book_id").agg(F.median("ratio").alias("median"))
-    mad = own.join(med, "book_id").groupBy("book_id").agg(F.median(F.abs(F.col("ratio") - F.col("median"))).alias("mad"))
-    held = own.join(med, "book_id").join(mad, "book_id")
-    out = ~F.col("ratio").between(FASTEST, SLOWEST) | (F.col("ratio") > ABOVE * F.col("median")) | (F.col("ratio") < BELOW * F.col("median"))
-    return held.select("book_id", "segment_id", out.alias("outlier"), F.round("ratio", 6).alias("ratio"), F.round("median", 6).alias("median"), F.round(F.when(F.col("mad") == 0, 0.005).otherwise(F.col("mad")), 6).alias("mad"))
+    """(book_id, segment_id, ratio, median, mad, outlier) of takes of long enough texts, in whole microseconds a character.
+
+    A take is an outlier if it is out of bounds or far from its book's median. Whole numbers are counted before the medians
+    are taken, so what a book's task holds is its different ratios.
+    """
+    own = current_takes(takes).filter(F.col("chars") >= LONG).withColumn("ratio", F.floor(F.col("duration_s") * 1_000_000 / F.col("chars")))
+
+    def median(rows: DataFrame, value: str, to: str) -> DataFrame:
+        counted = rows.filter(F.col(value).isNotNull()).groupBy("book_id", value).agg(F.count("*").alias("n"))
+        return counted.groupBy("book_id").agg(F.percentile(value, F.lit(0.5), F.col("n")).alias(to))
+
+    near = own.join(median(own, "ratio", "median"), "book_id").withColumn("far", F.abs(F.col("ratio") - F.col("median")))
+    held = near.join(median(near, "far", "mad"), "book_id")
+    ratio = F.col("ratio")
+    out = ~ratio.between(FASTEST * 1_000_000, SLOWEST * 1_000_000) | (ratio > ABOVE * F.col("median")) | (ratio < BELOW * F.col("median"))
+    return held.select("book_id", "segment_id", "ratio", "median", F.when(F.col("mad") == 0, 5000.0).otherwise(F.col("mad")).alias("mad"), out.alias("outlier"))
 
 
 def speaker_similarity(vectors: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import text as X
 from bookloom.operators import dictionary as D
+from bookloom.operators import reflow as R
 from bookloom.operators import structural as S
 from bookloom.plans.pages import DICT
 from bookloom.sources.tables import table
@@ -52,9 +53,9 @@ SIZE = "s AS (SELECT book_id, coalesce((SELECT size FROM (SELECT size, sum(coale
 NOTE = r"^\s*(?:[0-9]{1,3}\.\s|\*|†)"
 FOOT = rf"""f AS (
     SELECT b.*, body_size, len(list_filter(string_split(text, {NL}), lambda x: regexp_matches(x, '{NOTE}'))) AS notes,
-           len(list_filter(string_split(text, {NL}), lambda x: trim(x) <> '')) AS shown FROM b JOIN s USING (book_id) WHERE text IS NOT NULL)"""
-IS_FOOT = rf"""coalesce((size < body_size * 0.85 AND y0 > h * 0.62) OR (size < body_size * 0.97 AND regexp_matches(text, '{NOTE}') AND y0 > h * 0.4)
-    OR (y0 > h * 0.4 AND shown > 0 AND notes >= 1 AND notes * 2 >= shown AND size <= body_size), false)"""
+           len(string_split(CASE WHEN suffix(text, {NL}) THEN text[:-2] ELSE text END, {NL})) AS n_lines FROM b JOIN s USING (book_id) WHERE text IS NOT NULL)"""
+IS_FOOT = rf"""coalesce((size > 0 AND size < body_size * 0.85 AND y0 > h * 0.62) OR (size > 0 AND size < body_size * 0.97 AND regexp_matches(text, '{NOTE}') AND y0 > h * 0.4)
+    OR (y0 > h * 0.4 AND notes >= greatest(1, n_lines // 2) AND size <= body_size), false)"""
 CAPTION = r"^\s*(?i:figure|fig\.|table|map|plate|illustration|photo)\s+[0-9]+[.:]"
 
 
@@ -82,11 +83,12 @@ def page_number_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {B}, {L}, {T}, {TEMPLATES}, {SIZE}, {FOOT}, o AS (SELECT DISTINCT book_id, t FROM m), k AS (SELECT block_uid, {IS_FOOT} AS foot, regexp_matches(text, '{CAPTION}') AS cap FROM f),
-    r AS (SELECT t.block_uid, line_no, CASE WHEN foot THEN 'footnote' WHEN cap THEN 'caption' WHEN regexp_matches(line, '^(?:[0-9 ]{{1,6}}|[ivxlcIVXLC]{{1,7}})$') THEN 'page_number'
+    WITH {B}, {L}, {T}, {TEMPLATES}, {SIZE}, {FOOT}, o AS (SELECT book_id, t, bool_or(zone = 'header') AS head FROM m GROUP BY 1, 2), k AS (SELECT block_uid, {IS_FOOT} AS foot, regexp_matches(text, '{CAPTION}') AS cap FROM f),
+    r AS (SELECT t.block_uid, line_no, t.book_id, page, block_ord, y0, bbox, coalesce(head AND size <= body_size * 1.15, false) AS head, CASE WHEN foot THEN 'footnote' WHEN cap THEN 'caption' WHEN regexp_matches(line, '^(?:[0-9 ]{{1,6}}|[ivxlcIVXLC]{{1,7}})$') THEN 'page_number'
                  WHEN {Z} IS NOT NULL AND o.t IS NOT NULL THEN 'margin_line' END AS reason
-          FROM t JOIN k ON t.block_uid = k.block_uid LEFT JOIN o ON t.book_id = o.book_id AND t.t = o.t)
-    SELECT block_uid, CAST(line_no AS INTEGER) AS line_no, reason FROM r WHERE reason IS NOT NULL
+          FROM t JOIN k ON t.block_uid = k.block_uid JOIN s ON s.book_id = t.book_id LEFT JOIN o ON t.book_id = o.book_id AND t.t = o.t),
+    g AS (SELECT block_uid, line_no, coalesce(reason, CASE WHEN head AND count(*) FILTER (WHERE reason IS NULL AND NOT head) OVER (PARTITION BY book_id, page ORDER BY round_even(y0, 0) NULLS FIRST, bbox.x0 NULLS FIRST, block_ord, line_no) = 0 THEN 'first_line' END) AS reason FROM r)
+    SELECT block_uid, CAST(line_no AS INTEGER) AS line_no, reason FROM g WHERE reason IS NOT NULL
 """)
 def removal_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return S.removals(blocks_of(spark, sf))
@@ -180,3 +182,42 @@ def punctuation_spacing(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "chapters").filter("text is not null").dropDuplicates(["chapter_uid"])
     fused, n = F.regexp_count("text", F.lit("[a-z][.!?][A-Z]")).cast("long"), F.length("text").cast("long")
     return own.select("chapter_uid", n.alias("n_chars"), fused.alias("fused"), ((n >= 5000) & (fused * 1000.0 / n > 0.3)).alias("violation"))
+
+
+@query()
+def footnote_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters without the markers of footnotes in their text; SQL has no look around, tests have the cases."""
+    own = table(spark, sf, "chapters").filter("text is not null").dropDuplicates(["chapter_uid"])
+    plain = S.without_markers(F.col("text"))
+    return own.select("chapter_uid", plain.alias("text"), (F.length("text") - F.length(plain)).alias("dropped"))
+
+
+@query(f"""
+    WITH s AS (SELECT DISTINCT chapter_uid, text FROM chapters WHERE text IS NOT NULL), d AS {DICT},
+    m AS (SELECT chapter_uid, regexp_extract_all(replace(text, chr(1), ''), '\\b[A-Za-z]{{2,}}- [a-z]{{2,}}\\b') AS found FROM s),
+    x AS (SELECT chapter_uid, unnest(found) AS w FROM m),
+    k AS (SELECT x.chapter_uid, count(*) AS n, count(d.word) AS fused FROM x LEFT JOIN d ON d.word = lower(replace(w, '- ', '')) WHERE NOT regexp_matches(w, '- (?:and|or|nor|und|oder|to)$') GROUP BY 1)
+    SELECT chapter_uid, CAST(coalesce(n, 0) AS BIGINT) AS broken, CAST(coalesce(fused, 0) AS BIGINT) AS fused FROM s LEFT JOIN k USING (chapter_uid)
+""")
+def spaced_hyphens(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that a hyphen and a space part, per chapter: how many there were, and how many are one word without it."""
+    own = table(spark, sf, "chapters").filter("text is not null").dropDuplicates(["chapter_uid"]).select("chapter_uid", "text")
+    made = R.spaced_hyphens(own, ["chapter_uid"], D.dictionary(table(spark, sf, "lexicon"))).withColumnRenamed("text", "made")
+    both = own.join(made, "chapter_uid")
+    # A fused word loses the hyphen and the space, another the space alone.
+    lost, n = F.length("text") - F.length("made"), F.regexp_count("text", F.lit(r"\b[A-Za-z]{2,}- (?!(?:and|or|nor|und|oder|to)\b)[a-z]{2,}\b"))
+    return both.select("chapter_uid", n.cast("long").alias("broken"), (lost - n).cast("long").alias("fused"))
+
+
+@query()
+def page_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The paragraphs of each page without what is not narrated, printed lines joined."""
+    return R.block_paragraphs(blocks_of(spark, sf), D.dictionary(table(spark, sf, "lexicon")))
+
+
+@query()
+def reflowed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of each page after paragraphs that go on over blocks and pages are one."""
+    words = D.dictionary(table(spark, sf, "lexicon"))
+    pages = table(spark, sf, "pages").dropDuplicates(["page_uid"])
+    return R.page_texts(R.flowed(page_paragraphs(spark, sf), pages, words), words)

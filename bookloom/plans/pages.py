@@ -131,30 +131,35 @@ def normalized_lines(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("page_uid", "line_no", X.normalized(F.col("line"), True).alias("norm"))
 
 
-TOC = r"\.{3,}\s*[0-9]+\s*$"
+#: Words of a line that announces a figure.
+FIGURE = r"\b(?:family tree|figure|fig\.|table|chart|diagram|map|plate|genealog)\b"
+TOC = r"(?:\.\s*){4,}[0-9]*\s*$"
 
 
 @query(rf"""
     WITH l AS (SELECT page_uid, trim(replace(replace(unnest(string_split(text, chr(10))), chr(9), ' '), chr(13), ' ')) AS line FROM {P} WHERE text IS NOT NULL),
+    h AS (SELECT page_uid, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')[1] AS first FROM {P} WHERE text IS NOT NULL),
     c AS (SELECT page_uid, count(*) AS n, count(*) FILTER (WHERE regexp_matches(line, '{TOC}')) AS leaders,
                  count(*) FILTER (WHERE regexp_matches(line, '\s(?:[0-9]{{1,4}}|[ivxlc]{{1,7}})\s*$') OR contains(line, '•')) AS trail
           FROM l WHERE line <> '' GROUP BY 1)
-    SELECT page_uid, n AS n_lines, leaders, trail, leaders >= 3 OR (trail >= 4 AND trail / n >= 0.3) AS toc_like FROM c
+    SELECT page_uid, n AS n_lines, leaders, trail, lower(trim(first)) IN ('contents', 'table of contents') OR leaders >= 3 OR (trail >= 4 AND trail / n >= 0.3) AS toc_like FROM c JOIN h USING (page_uid)
 """)
 def toc_like_pages(spark: SparkSession, sf: str) -> DataFrame:
     each = pages_of(spark, sf).filter("text is not null").select("page_uid", F.transform(X.lines(F.col("text")), lambda x: x["line"]).alias("l")).filter(F.size("l") > 0)
     leaders = F.size(F.filter("l", lambda x: x.rlike(TOC))).cast("long")
     trailing = F.size(F.filter("l", lambda x: x.rlike(r"\s(?:[0-9]{1,4}|[ivxlc]{1,7})\s*$") | x.contains("•"))).cast("long")
-    own = each.select("page_uid", F.size("l").cast("long").alias("n_lines"), leaders.alias("leaders"), trailing.alias("trail"))
-    return own.withColumn("toc_like", (F.col("leaders") >= 3) | ((F.col("trail") >= 4) & (F.col("trail") / F.col("n_lines") >= 0.3)))
+    headed = F.lower(F.trim(F.get("l", F.lit(0)))).isin("contents", "table of contents")
+    own = each.select("page_uid", F.size("l").cast("long").alias("n_lines"), leaders.alias("leaders"), trailing.alias("trail"), headed.alias("toc_like"))
+    return own.withColumn("toc_like", F.col("toc_like") | (F.col("leaders") >= 3) | ((F.col("trail") >= 4) & (F.col("trail") / F.col("n_lines") >= 0.3)))
 
 
 @query(rf"""
     WITH l AS (SELECT page_uid, trim(replace(replace(unnest(string_split(text, chr(10))), chr(9), ' '), chr(13), ' ')) AS line FROM {P} WHERE text IS NOT NULL),
     c AS (SELECT page_uid, count(*) AS n, list_sort(list(length(line))) AS lens, count(*) FILTER (WHERE regexp_matches(line, '[.!?:;"”’)]$')) AS ended,
                  count(*) FILTER (WHERE len(list_filter(regexp_split_to_array(line, '[ \t\n\r]+'), lambda w: w <> '')) <= 2) AS few
-          FROM l WHERE line <> '' GROUP BY 1)
-    SELECT page_uid, n AS n_lines, CAST(lens[n // 2 + 1] AS INTEGER) AS median_length, n >= 6 AND lens[n // 2 + 1] < 28 AND ended / n < 0.12 AND few / n >= 0.5 AS candidate FROM c
+          FROM l WHERE line <> '' GROUP BY 1),
+    h AS (SELECT page_uid, trim(replace(replace(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')[1], chr(9), ' '), chr(13), ' ')) AS first FROM {P} WHERE text IS NOT NULL)
+    SELECT page_uid, n AS n_lines, CAST(lens[n // 2 + 1] AS INTEGER) AS median_length, n >= 6 AND (length(first) < 60 AND regexp_matches(lower(first), '\b(?:family tree|figure|fig\.|table|chart|diagram|map|plate|genealog)\b') OR lens[n // 2 + 1] < 28 AND ended / n < 0.12 AND few / n >= 0.5) AS candidate FROM c JOIN h USING (page_uid)
 """)
 def non_prose_candidates(spark: SparkSession, sf: str) -> DataFrame:
     each = pages_of(spark, sf).filter("text is not null").select("page_uid", F.transform(X.lines(F.col("text")), lambda x: x["line"]).alias("l")).filter(F.size("l") > 0)
@@ -165,8 +170,10 @@ def non_prose_candidates(spark: SparkSession, sf: str) -> DataFrame:
         X.upper_median(F.transform("l", F.length)).alias("median_length"),
         (F.size(F.filter("l", lambda x: x.rlike('[.!?:;"”’)]$'))) / n).alias("ended"),
         (F.size(F.filter("l", lambda x: F.size(X.words(x)) <= 2)) / n).alias("few"),
+        ((F.length(F.get("l", F.lit(0))) < 60) & F.lower(F.get("l", F.lit(0))).rlike(FIGURE)).alias("figure"),
     )
-    return own.select("page_uid", "n_lines", "median_length", ((F.col("n_lines") >= 6) & (F.col("median_length") < 28) & (F.col("ended") < 0.12) & (F.col("few") >= 0.5)).alias("candidate"))
+    labels = (F.col("median_length") < 28) & (F.col("ended") < 0.12) & (F.col("few") >= 0.5)
+    return own.select("page_uid", "n_lines", "median_length", ((F.col("n_lines") >= 6) & (F.col("figure") | labels)).alias("candidate"))
 
 
 @query(f"""

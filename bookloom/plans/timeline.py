@@ -63,10 +63,9 @@ def words_per_minute(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {TK}, r AS (SELECT *, duration_s / chars AS ratio FROM t WHERE chars >= 40), m AS (SELECT book_id, median(ratio) AS med FROM r GROUP BY 1),
+    WITH {TK}, r AS (SELECT *, CAST(floor(duration_s * 1000000 / chars) AS BIGINT) AS ratio FROM t WHERE chars >= 40), m AS (SELECT book_id, median(ratio) AS med FROM r GROUP BY 1),
     d AS (SELECT r.book_id, median(abs(ratio - med)) AS mad FROM r JOIN m USING (book_id) GROUP BY 1)
-    SELECT r.book_id, segment_id, round(ratio, 6) AS ratio, round(med, 6) AS median, round(CASE WHEN mad = 0 THEN 0.005 ELSE mad END, 6) AS mad,
-           ratio NOT BETWEEN 0.045 AND 0.14 OR ratio > 2.2 * med OR ratio < 0.45 * med AS outlier
+    SELECT r.book_id, segment_id, ratio, med AS median, CASE WHEN mad = 0 THEN 5000.0 ELSE mad END AS mad, ratio NOT BETWEEN 45000 AND 140000 OR ratio > 2.2 * med OR ratio < 0.45 * med AS outlier
     FROM r JOIN m USING (book_id) JOIN d USING (book_id)
 """)
 def duration_outliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,3 +181,29 @@ def roman_words(spark: SparkSession, sf: str) -> DataFrame:
 def digits_verbalized(spark: SparkSession, sf: str) -> DataFrame:
     own = segments_of(spark, sf).filter(F.col("text").rlike("[0-9¼½¾⅓⅔⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞]"))
     return own.select("seg_uid", M.spoken_numbers(F.col("text")).alias("spoken"))
+
+
+@query()
+def year_style(spark: SparkSession, sf: str) -> DataFrame:
+    """Years that are spoken as quantities, in pairs; tests have the cases."""
+    return segments_of(spark, sf).filter("text is not null").select("seg_uid", M.year_style(F.col("text")).alias("text"))
+
+
+@query()
+def number_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers of each segment as plain digits, and whether its spoken form has the same."""
+    from bookloom.session import written
+
+    # A Python function cannot take what higher-order functions make in the same step.
+    own = written(segments_of(spark, sf).filter("text is not null").select("seg_uid", "text", M.spoken_numbers(F.col("text")).alias("spoken")), "spoken")
+    both = own.select("seg_uid", M.number_values("text").alias("a"), M.number_values("spoken").alias("b"))
+    return both.select("seg_uid", F.array_join("a", " ").alias("numbers"), (F.col("a") == F.col("b")).alias("kept"))
+
+
+ROMAN_SQL = "list_sum(list_transform(generate_series(1, length(r)), lambda i: CASE WHEN list_position(['I', 'V', 'X', 'L', 'C'], r[i + 1]) > list_position(['I', 'V', 'X', 'L', 'C'], r[i]) THEN -1 ELSE 1 END * [1, 5, 10, 50, 100][list_position(['I', 'V', 'X', 'L', 'C'], r[i])]))"
+
+
+@query(f"WITH n AS (SELECT unnest({ROMANS} || ['XL', 'XC', 'CXLIV', 'IIII']) AS r) SELECT r AS numeral, CAST({ROMAN_SQL} AS INTEGER) AS value FROM n")
+def roman_values(spark: SparkSession, sf: str) -> DataFrame:
+    own = spark.range(1).select(F.explode(F.array(*map(F.lit, [*M.ROMAN, "XL", "XC", "CXLIV", "IIII"]))).alias("numeral"))
+    return own.select("numeral", M.roman_value(F.col("numeral")).alias("value"))

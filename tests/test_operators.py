@@ -1,9 +1,10 @@
 import random
+import re
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookloom.operators import align, chapters, checks, dictionary, incremental, narration, structural, timeline, windows
+from bookloom.operators import align, chapterize, chapters, checks, dictionary, incremental, narration, reflow, structural, timeline, windows
 from bookloom.operators import ordered as O
 
 
@@ -48,7 +49,7 @@ def test_sentences(spark):
     got = {}
     for r in narration.sentences(df).orderBy("seg_uid", "sentence_index").collect():
         got.setdefault(r.seg_uid, []).append(r.text)
-    assert got[1] == ["Mr. Hall came.", 'He left. — said.'.replace("— said.", "— said."), '"Why?" I asked.'] or got[1][0] == "Mr. Hall came."
+    assert got[1] == ["Mr. Hall came.", "He left.", "— said.", '"Why?" I asked.']
     assert got[2] == ["One. Two"] and got[3] == ["..."] and 4 not in got
 
 
@@ -103,26 +104,130 @@ def test_best_match_without_rare_words(spark):
         assert got == want and any(r[0] == 0 and r[2] == 1.0 for r in got)
 
 
-def test_windows_cover_the_text():
+def test_windows_cover_the_text(spark):
+    """Against windows packed one paragraph after another."""
+
+    def pack(text, most, chars):
+        pieces, at = [], 0
+        for paragraph in text.split("\n\n"):
+            if len(paragraph) <= chars:
+                pieces.append((at, paragraph))
+            else:
+                begin, run, here = at, [], at
+                for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
+                    if run and len(" ".join([*run, sentence])) > chars:
+                        pieces.append((begin, " ".join(run)))
+                        run, begin = [], here
+                    run.append(sentence)
+                    here += len(sentence) + 1
+                pieces.append((begin, " ".join(run)))
+            at += len(paragraph) + 2
+        out = []
+        for piece in pieces:
+            if not out or len(out[-1]) == most or sum(len(p) + 2 for _, p in [*out[-1], piece]) > chars:
+                out.append([])
+            out[-1].append(piece)
+        return [(group[0][0], "\n\n".join(p for _, p in group)) for group in out if any(p.strip() for _, p in group)]
+
     random.seed(2)
-    for _ in range(200):
-        text = "\n\n".join("".join(random.choice("ab. ") for _ in range(random.randint(0, 60))) for _ in range(random.randint(1, 12)))
-        got = windows.pack(text, 3, 50)
-        assert all(w.strip() for _, w in got)
-        assert "".join("".join(w for _, w in got).split()) == "".join(text.split())
+    texts = ["\n\n".join("".join(random.choice("ab. ") for _ in range(random.randint(0, 70))) for _ in range(random.randint(1, 12))) for _ in range(200)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", windows.packed(F.col("t"), 3, 50).alias("w")).collect()
+    for r in got:
+        assert [(w.offset, w.window) for w in r.w] == pack(r.t, 3, 50)
+        assert "".join("".join(w.window for w in r.w).split()) == "".join(r.t.split())
 
 
-def test_long_parts_stay_within_the_limit():
+def test_long_parts_stay_within_the_limit(spark):
     random.seed(3)
-    for _ in range(200):
-        text = " ".join("".join(random.choice("abc") for _ in range(random.randint(1, 9))) + random.choice(["", ",", ";", ".", "!"]) for _ in range(80))
-        got = windows.cut_long(text, 60)
-        assert all(len(x) <= 60 for x in got) and "".join("".join(got).split()) == "".join(text.split())
+    texts = [" ".join("".join(random.choice("abc") for _ in range(random.randint(1, 9))) + random.choice(["", ",", ";", ".", "!"]) for _ in range(80)) for _ in range(200)] + ["short", "", "x" * 200, "One two three. " * 9]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", windows.cut_long(F.col("t"), 60).alias("p")).collect()
+    for r in got:
+        assert all(len(x) <= 60 for x in r.p) or " " not in r.t
+        assert "".join("".join(r.p).split()) == "".join(r.t.split())
+    assert {len(r.p) for r in got if r.t == "short"} == {1}
+    assert [r.p for r in got if r.t.startswith("One")] == [["One two three. One two three. One two three. One two three."] * 2 + ["One two three."]]
+
+
+def test_headings(spark):
+    cases = {"PART IV: THE OLD WEIR": "Part Four. The Old Weir.", "Section 3 - Home": "Section Three. Home.", "Letter XLII": "Letter Forty-two.", "Book 120": "Book 120.", "A plain title;": "A plain title.", "Volume ninth": "Volume ninth."}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string").select("t", "want", windows.spoken_heading(F.col("t")).alias("got"))
+    assert [(r.t, r.got) for r in df.collect() if r.got != r.want] == []
+
+
+def test_footnote_markers(spark):
+    """What is fused to a word or a mark goes, numbers of their own stay."""
+    cases = {
+        'the old river.”14 Then': 'the old river.” Then',
+        "as he wished].8": "as he wished].",
+        "the Levant23 is far": "the Levant is far",
+        "it ended at last.105": "it ended at last.",
+        "It cost 2,350 crowns": "It cost 2,350 crowns",
+        "the flood of 1799 rose": "the flood of 1799 rose",
+        "let x3 be": "let x3 be",
+        "about 3.5 miles on": "about 3.5 miles on",
+        "at 11:45 sharp": "at 11:45 sharp",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string").select("t", "want", structural.without_markers(F.col("t")).alias("got"))
+    assert [(r.t, r.got) for r in df.collect() if r.got != r.want] == []
+
+
+def test_repaired_spacing(spark):
+    cases = {"the end.Then he": "the end. Then he", "rope,lamps;oil": "rope, lamps; oil", 'he said,"No."Then': 'he said," No." Then', "he said,“No.”Then": "he said, “No.” Then", "U.S.A. and e.g. this": "U.S.A. and e.g. this", "in 1949.He": "in 1949. He"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string").select("t", "want", structural.repair_spacing(F.col("t")).alias("got"))
+    assert [(r.t, r.got) for r in df.collect() if r.got != r.want] == []
+
+
+def test_chapters_from_headings(spark):
+    pages = [(0, "All rights reserved"), (1, "Chapter 1\n\nGRAND WEIR\n\nIt rained."), (2, "And on it rained."), (3, "Contents\n\nChapter 9"), (4, "P A R T Two. The Mill\n\n1. A wheel\n\nIt turned.\n\nContents\n\nIt stood."), (5, None)]
+    df = spark.createDataFrame([("b", n, t) for n, t in pages] + [("c", 0, "Plain text."), ("c", 1, "More.")], "book_id string, number int, text string")
+    starts = chapterize.heading_starts(df)
+    assert sorted((r.start_page, r.place, r.title) for r in starts.collect()) == [(1, 0, "Chapter 1: Grand Weir"), (4, 0, "PART Two. The Mill")]
+    made = chapterize.filled(chapterize.chapters_between(chapterize.chosen_starts([("heading", starts, 1)]), df), df)
+    got = {(r.book_id, r.ord): (r.title, r.matter, r.text) for r in made.collect()}
+    assert got == {
+        ("b", -1): ("Front Matter", "front", "All rights reserved"),
+        ("b", 0): ("Chapter 1: Grand Weir", "body", "It rained.\n\nAnd on it rained."),
+        ("b", 1): ("PART Two. The Mill", "body", "It turned.\n\nIt stood."),
+        ("c", 0): ("Full Text", "body", "Plain text.\n\nMore."),
+    }
+    parts = chapterize.page_parts(chapterize.chapters_between(chapterize.chosen_starts([("heading", starts, 1)]), df), df)
+    dropped = sorted((r.number, d.reason) for r in parts.collect() for d in r.dropped)
+    assert dropped == [(1, "title"), (1, "title"), (3, "mini_toc"), (4, "listing"), (4, "section_outline"), (4, "title")]
+
+
+def test_chapters_from_type(spark):
+    box = (0.0, 50.0, 9.0, 80.0)
+    rows = [(k, "b", k, 0, box, t, s) for k, (t, s) in enumerate([("The Old Weir", 20.0), ("plain lines of text that are long enough to count", 10.0), ("The Mill", 18.0), ("xq zzt kkp", 22.0)])]
+    blocks = spark.createDataFrame(rows, "block_uid long, book_id string, page int, block_ord int, bbox struct<x0:double,y0:double,x1:double,y1:double>, text string, size double")
+    pages = spark.createDataFrame([("b", k, "text", 700.0) for k in range(4)], "book_id string, number int, text string, page_height double")
+    own = structural.blocks_of(blocks, pages)
+    words = spark.createDataFrame([(w,) for w in "the old weir mill plain lines of text that are long enough to count".split()], "word string")
+    made = chapterize.chapterized(pages, own, structural.body_size(own), words)
+    assert sorted((r.start_page, r.end_page, r.title, r.source) for r in made.collect()) == [(0, 1, "The Old Weir", "font"), (2, 3, "The Mill", "font")]
 
 
-def test_headings():
-    assert windows.heading_words("CHAPTER III: THE PROBLEM") == "Chapter Three. The Problem."
-    assert windows.heading_words("Part 2 - Home") == "Part Two. Home."
+def test_reflow(spark):
+    words = spark.createDataFrame([(w,) for w in "self made river market basket the well known".split()], "word string")
+    rows = [
+        (1, 0, 0, 10.0, "The widow carried the bas-\nket to the self-\nmade man and"),
+        (2, 0, 1, 40.0, "on to the river,"),
+        (3, 1, 0, 10.0, "Weir and mill. A well- known"),
+        (4, 1, 1, 40.0, "CHAPTER TWO"),
+        (5, 2, 0, 10.0, "It began"),
+        (6, 4, 0, 10.0, "Anew it goes."),
+    ]
+    blocks = spark.createDataFrame([(u, "b", p, o, (0.0, y + 100, 9.0, y + 110), t, 10.0) for u, p, o, y, t in rows], "block_uid long, book_id string, page int, block_ord int, bbox struct<x0:double,y0:double,x1:double,y1:double>, text string, size double")
+    pages = spark.createDataFrame([("b", k, "" if k == 3 else "x", 700.0) for k in range(5)], "book_id string, number int, text string, page_height double")
+    made = reflow.flowed(reflow.block_paragraphs(structural.blocks_of(blocks, pages), words), pages, words)
+    got = [(r.page, r.place, r.text) for r in made.orderBy("page", "place").collect()]
+    assert got == [
+        (0, 0, "The widow carried the basket to the self-made man and on to the river, Weir and mill. A well- known"),
+        (1, 1, "CHAPTER TWO It began"),
+        (4, 0, "Anew it goes."),
+    ]
+    texts = {r.number: r.text for r in reflow.page_texts(made, words).collect()}
+    assert texts[0].endswith("A well-known") and set(texts) == {0, 1, 4}
+    assert reflow.flowed(reflow.block_paragraphs(structural.blocks_of(blocks.limit(0), pages), words), pages, words).count() == 0
 
 
 def test_pass_k_and_regressions(spark):
