@@ -31,8 +31,15 @@ from bookloom.session import written
 # Letters of other scripts beside the Latin letter that they look like.
 CYRILLIC = dict(zip("асеһіјоԛѕԝхуԁрАВСЕНІЈКМОРԚЅТԜХУ", "acehijoqswxydpABCEHIJKMOPQSTWXY"))
 GREEK = dict(zip("ονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "ovpABEZHIKMNOPTYXcj"))
-OF_LATIN_CYRILLIC = {v: k for k, v in CYRILLIC.items()}
-OF_LATIN_GREEK = {v: k for k, v in GREEK.items()}
+ARMENIAN = dict(zip("օոսհցզքյՕՍՏԼ", "onuhgqpjOUSL"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"))
+#: Letters of the Latin script that look like plain ones.
+LATIN = dict(zip("ɡɑıⅼⅰ", "gaili"))
+#: The scripts by a letter each, in the order in which a token takes one, and what of each looks like which Latin letter.
+LOOKS = {"L": LATIN, "C": CYRILLIC, "G": GREEK, "A": ARMENIAN, "K": CHEROKEE, "I": LISU}
+TO_LATIN = {k: v for table in LOOKS.values() for k, v in table.items()}
+OF_LATIN = {script: {v: k for k, v in table.items()} for script, table in LOOKS.items() if script != "L"}
 
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻"
 SPACES = "   -   　"
@@ -42,12 +49,17 @@ HYPHENS = "‐‑﹣－"
 def _compatible() -> dict[int, str]:
     """Characters whose compatibility form looks the same: widths, ligatures, presentation forms, radicals."""
     table = {}
-    ranges = [(0x2E80, 0x2FE0), (0xF900, 0xFB50), (0xFB50, 0xFE00), (0xFE70, 0xFEFF), (0xFF01, 0xFFEF), (0x1F1, 0x1F4), (0x132, 0x134), (0x1C4, 0x1CD)]
+    ranges = [(0x2E80, 0x2FE0), (0xF900, 0xFB50), (0xFB50, 0xFE00), (0xFE70, 0xFEFF), (0xFF01, 0xFFEF), (0x1F1, 0x1F4), (0x132, 0x134), (0x1C4, 0x1CD), (0x1D400, 0x1D800)]
     for a, b in ranges:
         for code in range(a, b):
             same = unicodedata.normalize("NFKC", chr(code))
             if same != chr(code):
                 table[code] = same
+    # Single letters of other styles among the letter-like symbols.
+    for code in range(0x2100, 0x2140):
+        same = unicodedata.normalize("NFKC", chr(code))
+        if len(same) == 1 and same.isascii() and same.isalpha():
+            table[code] = same
     return table
 
 
@@ -55,27 +67,32 @@ _table = _compatible()
 _table.update({c: " " for a, b in ((0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(a, b + 1)})
 _table.update({ord(c): "-" for c in HYPHENS})
 _table.update({ord("へ"): "ヘ", ord("べ"): "ベ", ord("ぺ"): "ペ"})
-_change = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_table)))) + "]")
+_change = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_table) if c < 0x10000) + "]")
+#: Characters beyond the first plane have a range of their own: in one class with the others each would be tried in turn.
+_styled = re.compile("[\U0001d400-\U0001d7ff]")
 _invisible = re.compile(f"[{INVISIBLE}]")
 _broken = re.compile("­(?=[ \t]*[\r\n])")
-_other = re.compile("[Ͱ-ϿЀ-ԯ]")
-_token = re.compile("(?:[A-Za-zÀ-ɏͰ-ϿЀ-ԯ][̀-ͯ]*)+")
+_rare = "԰-֏Ꭰ-Ᏽꓐ-꓿"
+_other = re.compile(f"[ɡɑıͰ-ϿЀ-ԯ{_rare}]")
+_token = re.compile(f"(?:[A-Za-zÀ-ɐɑɡͰ-ϿЀ-ԯ{_rare}][̀-ͯ]*)+")
+_seldom = re.compile(f"[{_rare}]")
 _only_latin = re.compile("[bfgklmnrtuzDFGLNRQUV]")
 _only_cyrillic = re.compile("[бвгджзийклмнптфцчшщъыьэюяёБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯ]")
 _only_greek = re.compile("[βγδεζηθλμξπστφχψωαικυΓΔΘΛΞΠΣΦΨΩ]")
 
 
+_ranges = (("C", "Ѐ", "ԯ"), ("G", "Ͱ", "Ͽ"), ("A", "԰", "֏"), ("K", "Ꭰ", "Ᏽ"), ("I", "ꓐ", "꓿"))
+
+
 def _script(letter: str) -> str:
-    if letter in CYRILLIC or "Ѐ" <= letter <= "ԯ":
-        return "C"
-    return "G" if "Ͱ" <= letter <= "Ͽ" else "L"
+    return next((script for script, a, b in _ranges if a <= letter <= b), "C" if letter in CYRILLIC else "L")
 
 
 def _scripts(letter: str) -> frozenset[str]:
     """Scripts that have a letter looking like this one."""
-    latin = CYRILLIC.get(letter) or GREEK.get(letter) or letter
+    latin = TO_LATIN.get(letter, letter)
     if latin.isascii():
-        return frozenset("L" + "C" * (latin in OF_LATIN_CYRILLIC) + "G" * (latin in OF_LATIN_GREEK))
+        return frozenset(["L", *[script for script, table in OF_LATIN.items() if latin in table]])
     return frozenset(_script(letter))
 
 
@@ -84,20 +101,20 @@ _spelt: dict[tuple[str, str], str] = {}
 
 
 def spelling(token: str, own: str) -> str:
-    """The token in one script: its only one, else the text's own, else Latin, Cyrillic, Greek in this order."""
+    """The token in one script: its only one, else the text's own, else the first in the order of the scripts."""
     known = _spelt.get((token, own))
     if known is not None:
         return known
-    possible = frozenset("LCG")
+    possible = frozenset(LOOKS)
     for letter in token:
         if not "̀" <= letter <= "ͯ":
             scripts = _of.get(letter)
             if scripts is None:
                 scripts = _of[letter] = _scripts(letter)
             possible &= scripts
-    to = own if own in possible else next((s for s in "LCG" if s in possible), "")
-    latin = "".join(CYRILLIC.get(c) or GREEK.get(c) or c for c in token)
-    out = "".join(OF_LATIN_CYRILLIC.get(c, c) for c in latin) if to == "C" else "".join(OF_LATIN_GREEK.get(c, c) for c in latin) if to == "G" else latin
+    to = own if own in possible else next((s for s in LOOKS if s in possible), "")
+    latin = "".join([TO_LATIN.get(c, c) for c in token])
+    out = "".join([OF_LATIN[to].get(c, c) for c in latin]) if to in OF_LATIN else latin
     if len(_spelt) > 300_000:
         _spelt.clear()
     _spelt[token, own] = out
@@ -112,9 +129,14 @@ def consistent(text: str | None) -> str | None:
         text = _invisible.sub("", _broken.sub("-", text))
     if _change.search(text):
         text = _change.sub(lambda m: _table[ord(m[0])], text)
+    if _styled.search(text):
+        text = _styled.sub(lambda m: _table.get(ord(m[0]), m[0]), text)
     if _other.search(text):
         text = unicodedata.normalize("NFD", text)
         marks = [(len(p.findall(text)), k) for p, k in ((_only_greek, "G"), (_only_cyrillic, "C"), (_only_latin, "L"))]
+        if _seldom.search(text):
+            # Letters that no other script has speak for a seldom one.
+            marks += [(sum(a <= c <= b and c not in LOOKS[script] for c in text), script) for script, a, b in _ranges[2:]]
         own = max(marks)[1]
         text = _token.sub(lambda m: spelling(m[0], own), text)
     return unicodedata.normalize("NFC", text)
@@ -169,8 +191,23 @@ def pairs(texts: DataFrame) -> DataFrame:
     return out.select("src", F.least("u", "v").alias("uid_a"), F.greatest("u", "v").alias("uid_b")).distinct()
 
 
-def found(documents: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs within documents and within segments."""
+def groups(texts: DataFrame) -> DataFrame:
+    """(src, uid, grp, variant): the class of each text that looks like a different one, and which of its spellings it has.
+
+    The same links as the pairs, one row a text, whatever the number of copies; both numbers are hashes.
+    """
+    rows = written(fingerprints(texts).distinct(), "forms")
+    variants = rows.select("src", "form", "raw").distinct().groupBy("src", "form").agg(F.count("*").alias("n")).filter("n > 1").select("src", "form")
+    return rows.join(variants, ["src", "form"], "left_semi").select("src", "uid", F.lower(F.hex("form")).alias("grp"), F.lower(F.hex("raw")).alias("variant"))
+
+
+def both(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """The texts of documents and segments as (src, uid, text)."""
     a = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("uid"), "text")
     b = segments.select(F.lit("segments").alias("src"), F.col("seg_uid").alias("uid"), "text")
-    return pairs(a.unionByName(b).filter(F.col("text").isNotNull()))
+    return a.unionByName(b).filter(F.col("text").isNotNull())
+
+
+def found(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """The pairs within documents and within segments."""
+    return pairs(both(documents, segments))

@@ -9,9 +9,10 @@ space is a harmonic size of, the largest that fit first. What no container
 takes is packed by its own class. Items above the capacity are cut into full
 containers and a rest, which is packed like any item.
 
-Blocks of items are packed independently: rows are spread by a hash of their
-key, sorted by key, and packed per block of ``BLOCK`` items, so a container
-number is (partition, block, container) and nothing is gathered in one place.
+Blocks of items are packed independently: an item's block is a hash of its key,
+with so many blocks that each has about ``BLOCK`` items, and within it items go
+by key. A container number is (block, container), so it depends on the items
+alone, not on partitions or settings, and nothing is gathered in one place.
 
 Defined cases: items without tokens and null sizes or keys of any kind are
 left out only if their size is null or below 1; repeated rows are packed once.
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bookloom.session import written
+
 #: Tokens a container holds.
 CAPACITY = 2048
 #: Classes whose containers take smaller items into the space they leave.
 LOW = 32
-#: Items packed together; bounds the memory of a task.
-BLOCK = 50_000
+#: Items packed together, on average; bounds the memory of a task.
+BLOCK = 20_000
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -85,40 +88,39 @@ def containers(items: DataFrame, key: str = "doc_id", size: str = "tokens", capa
     """Rows (container, key, piece, tokens); pieces count from 0 and only an item above the capacity has more than one."""
     kind = items.schema[key].dataType
     out = T.StructType([T.StructField("container", T.LongType()), T.StructField(key, kind), T.StructField("piece", T.IntegerType()), T.StructField("tokens", T.IntegerType())])
+    sizes = written(items.select(key, F.col(size).cast("long").alias("_size")).filter(F.col("_size") >= 1).dropDuplicates([key]), "sizes")
+    blocks = max(1, -(-sizes.count() // BLOCK))
     pieces = (
-        items.select(key, F.col(size).cast("long").alias("_size"))
-        .filter(F.col("_size") >= 1)
-        # One exchange by key serves the removal of repeated rows and the blocks.
-        .repartition(key)
-        .dropDuplicates([key])
+        sizes.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long"))
+        .repartition(blocks, "_block")
         .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_size") - 1) / capacity).cast("int"))))
-        .select(key, F.col("_piece").alias("piece"), F.least(F.lit(capacity).cast("long"), F.col("_size") - F.col("_piece") * capacity).cast("int").alias("tokens"))
+        .select("_block", key, F.col("_piece").alias("piece"), F.least(F.lit(capacity).cast("long"), F.col("_size") - F.col("_piece") * capacity).cast("int").alias("tokens"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 40
-        made, held, rows = 0, [], 0
+        held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal made
             block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            bins = pack(block.column(2).to_pylist(), capacity)
+            bins = pack(block.column(3).to_pylist(), capacity)
             take = np.fromiter((i for b in bins for i in b), np.int64, block.num_rows)
-            numbers = np.repeat(np.arange(len(bins), dtype=np.int64), [len(b) for b in bins]) + (base + made)
-            made += len(bins)
+            numbers = np.repeat(np.arange(len(bins), dtype=np.int64), [len(b) for b in bins]) + (block.column(0)[0].as_py() << 32)
             own = block.take(pa.array(take))
-            return pa.RecordBatch.from_arrays([pa.array(numbers), own.column(0), own.column(1), own.column(2)], names=["container", key, "piece", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(numbers), own.column(1), own.column(2), own.column(3)], names=["container", key, "piece", "tokens"])
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-            if rows >= BLOCK:
-                yield flush()
-                held, rows = [], 0
+            if not batch.num_rows:
+                continue
+            numbers = batch.column(0).to_numpy()
+            ends = [*(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+            start = 0
+            for end in ends:
+                if held and held[-1].column(0)[0].as_py() != numbers[start]:
+                    yield flush()
+                    held = []
+                held.append(batch.slice(start, end - start))
+                start = end
         if held:
             yield flush()
 
-    return pieces.sortWithinPartitions(key, "piece").mapInArrow(run, out)
+    return pieces.sortWithinPartitions("_block", key, "piece").mapInArrow(run, out)

@@ -33,6 +33,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.found(table(spark, sf, "documents"), table(spark, sf, "segments"))
 
 
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.groups(lookalike.both(table(spark, sf, "documents"), table(spark, sf, "segments")))
+
+
 def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
     names = (("documents", "doc_id"), ("segments", "seg_uid"))
     parts = [table(spark, sf, t).select(F.lit(t).alias("src"), F.col(uid).alias("uid"), "text").dropDuplicates(["uid"]) for t, uid in names]
@@ -93,7 +97,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return p10_found(spark, sf).groupBy("subject").agg(F.count("*").alias("documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p3_forms, p4_found, p4_pieces, p5_found, p5_blocks, p5_clean, p6_found, p6_scores, p7_found, p7_repaired, p8_ids, p9_containers, p10_found, p10_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_stats, p3_found, p3_groups, p3_forms, p4_found, p4_pieces, p5_found, p5_blocks, p5_clean, p6_found, p6_scores, p7_found, p7_repaired, p8_ids, p9_containers, p10_found, p10_composition)}
 
 ORACLE: dict[str, str] = {
     "p4_found": """

@@ -1,22 +1,28 @@
 """Problem 7: repairing text that comes from scanned pages.
 
 A noisy channel: a printed word is what was meant, passed through character
-confusions of known probability. What was meant is weighed by the corpus, by
-word counts where the word is a common one and by character n-grams where it is
-not (names). Words with marks, digits or unread letters are decoded by Viterbi
-over the characters that each printed one can stand for; words of letters are
-weighed against those that one misreading makes of them. Breaks at line ends are judged by the same counts: the two
+confusions of known probability. Each word of a line has its candidates, itself
+and what a misreading could have made of it, with the probability of the
+misreading and of the word: by word counts where it is a common one, by
+character n-grams where it is not (names). Viterbi over the line weighs the
+candidates with the counts of word pairs. A word with marks, digits or unread
+letters is decoded by Viterbi over its characters and has to be likelier than
+the signs as they stand, which no letters predict; a corpus that says nothing
+changes nothing. How the confusions share the misreadings among them is
+estimated from the corpus: words that one confusion away are a far more
+frequent word. Breaks at line ends are judged by the same counts: the two
 halves are joined unless the corpus writes the word with its hyphen. Page
 numbers and running heads are found by their form, by the title, and by the
 sentence that they interrupt.
 
 Only texts set in lines of a page are read this way: those where lines go on in
-the next one. The word counts cover all texts. What goes to every worker is
-bounded by the pigeonhole: words with at least ``SHARE`` of all words are at
-most 1/SHARE, whatever the corpus.
+the next one. The counts cover all texts. What goes to every worker is bounded
+by the pigeonhole: words with at least ``SHARE`` of all words are at most
+1/SHARE, whatever the corpus, and so are pairs and n-grams.
 
 Defined cases: null, empty and one-line texts have no rows; repeated rows count
-once; null titles are no title; a last line's break is no case.
+once; null titles are no title; a last line's break is no case; of a word with
+more than ``UNREAD`` unread letters too little is left to know what was meant.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,15 +42,25 @@ from bookloom.llm.repeated_lines import identifier
 from bookloom.session import checked_broadcast_rows, written
 
 #: Words, and character n-grams of each length, of at least this share of all are known to every worker; at most 1/share of them.
-SHARE, GRAM_SHARE = 2e-6, 5e-6
+SHARE, GRAM_SHARE = 2e-6, 2e-6
+#: Pairs of words of at least this share of all are known.
+PAIR_SHARE = 4e-6
 #: Longest character n-gram, and the weight of the shorter ones where a longer one is rare.
-LONGEST, BACKOFF = 4, 2.0
-#: States that the decoder keeps at each character.
-BEAM = 16
+LONGEST, BACKOFF = 5, 2.0
+#: Characters that are told apart where nothing is known of them.
+ALPHABET = 40
 #: How much likelier (in nats) another reading must be.
 MARGIN = 2.5
 #: Probability that a letter is misread at all.
 RATE = 3e-3
+#: Probability that a word with a mark or a digit in it is meant so.
+MEANT = 0.5
+#: Most that the word before can say against and for a word (in nats).
+AGAINST, FOR = -1.0, 4.0
+#: Unread letters that a word may have and still be spelled out where it is no known word.
+UNREAD = 1
+#: How much more frequent a word must be for a rare one to count as its misreading, and how often the given parts of confusions count as seen.
+RARER, SEEN = 50, 200.0
 
 # Printed character, and the letters it can stand for with their part of the rate; marks that scanners put into words.
 STANDS_FOR = {
@@ -53,18 +70,22 @@ STANDS_FOR = {
 _digits = str.maketrans("lIOo", "1100")
 #: Letters that are read as two: (printed, meant, part of the rate).
 DOUBLE = (("rn", "m", 0.3), ("ri", "n", 0.3), ("ii", "u", 0.3), ("li", "h", 0.3), ("cl", "d", 0.3), ("vv", "w", 0.3), ("m", "rn", 0.1))
+#: All confusions: (printed, meant) with the part of the rate.
+GIVEN = {(c, meant): p for c, ways in STANDS_FOR.items() for meant, p in ways.items()} | {(a, b): p for a, b, p in DOUBLE}
 #: Part of the words that no count knows.
 UNKNOWN = 0.1
 INSERTED = "°^_|~'"
-ANY = "abcdefghijklmnopqrstuvwxyzáéíóúüñäößàèùâêîôûçабвгдежзийклмнопрстуфхцчшщъыьэюяё"
 
 _word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ]+(?:-[A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ]+)*|[؀-ًؿ-ٟٮ-ۓ]+|[ऀ-ॣॱ-ॿ]+")
-_letters = "A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ"
+_letters = "A-Za-zÀ-ÖØ-öø-ɏЀ-ԯؠ-ًؿ-ٟٮ-ۓऀ-ॣॱ-ॿ"
+_only_letters = re.compile(f"[{_letters}]+")
+_any_letter = re.compile(f"[{_letters}]")
 _printed = re.compile(rf"[{_letters}0-9°^_|~'@!�]*[{_letters}][{_letters}0-9°^_|~'@!�]*")
 _odd = re.compile(rf"[°^_|~'@!�](?=[{_letters}])|(?<=[{_letters}])[0-9°^_|~@�]|[0-9](?=[{_letters}])")
 _contraction = re.compile(rf"[{_letters}]+'(?:s|t|d|m|ll|re|ve)|(?:[ldcnsjmto]|qu)'[{_letters}]+", re.I)
 _ordinal = re.compile(r"\d+(?:st|nd|rd|th|e|er|re|ème|a|o|s|m|km|d|h|p|am|pm|in|ft)", re.I)
 _breaks = re.compile(rf"([{_letters}؀-ۿऀ-ॿ]+)([-‐‑­¬])[ \t\r]*$")
+_break_marks = frozenset("-‐‑­¬")
 _starts = re.compile(rf"\s*([{_letters}؀-ۿऀ-ॿ]+)")
 _number = re.compile(r"\s*[-–—\[(|*·.]*\s*(?:(?:page|p\.|seite|s\.|стр\.|página|pág\.|folio|پ|صفحة|पृष्ठ)\s*)?(?:\d{1,4}|[ivxlc]{1,7})\s*[-–—\])|*·.]*\s*", re.I)
 _roman = re.compile(r"(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
@@ -79,9 +100,13 @@ _spaced = re.compile(r"(?<=[0-9ivxlcIO])[ \t]+(?=[0-9ivxlcIO])")
 _misread_number = re.compile(r"(?<![^\W\d_])[lIOo0-9]{2,4}(?![^\W\d_])")
 
 
+#: A line of any length with as many letters and digits as a page number can have.
+_few = re.compile(r"[\W_]*(?:[^\W_][\W_]*){1,14}")
+
+
 def is_number(line: str) -> bool:
     """Whether a line is only the number of a page, its digits spaced or misread for all that."""
-    if len(line) > 24:
+    if len(line) > 24 and not _few.fullmatch(line):
         return False
     line = _spaced.sub("", line.strip())
     if 1 < len(line) < 4 and set(line) <= {"l", "I", "O"} and not _roman.fullmatch(line):
@@ -95,34 +120,46 @@ def is_number(line: str) -> bool:
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all texts, counted within each batch first."""
+    """(word, n) of words, and of pairs of neighbours with a space between, over all texts, counted within each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: Counter[str] = Counter()
             for value in batch.column(0).to_pylist():
-                own.update(_word.findall(value.lower()))
+                found = _word.findall(value.lower())
+                own.update(found)
+                own.update(map(" ".join, zip(found, found[1:])))
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
 
     return texts.select(text).filter(F.col(text).isNotNull()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _script(letter: str) -> int:
+    """A letter's block; all Latin ones are one."""
+    return 0 if letter < "ɐ" else ord(letter) >> 8
+
+
 class Model:
-    """Word counts and character n-grams; small enough for every worker."""
+    """Counts of words, pairs and character n-grams, and the parts of the confusions; small enough for every worker."""
 
-    def __init__(self, total: int, words: dict[str, int], grams: dict[str, int]):
-        self.total, self.words, self.grams = max(1, total), words, grams
+    def __init__(self, total: int, words: dict[str, int], grams: dict[str, int], pairs: dict[str, int] | None = None, parts: dict[tuple[str, str], float] | None = None):
+        self.total, self.words, self.grams, self.pairs = max(1, total), words, grams, pairs or {}
         heads: Counter[str] = Counter()
         for gram, n in grams.items():
             heads[gram[:-1]] += n
         self.heads = dict(heads)
-        self.memo: dict[str, str | None] = {}
+        self.parts = GIVEN if parts is None else parts
+        self.single = {c: [(meant, p) for (printed, meant), p in self.parts.items() if printed == c] for c, _ in self.parts if len(c) == 1}
+        self.double = [(printed, meant, p) for (printed, meant), p in self.parts.items() if len(printed) > 1]
+        self.memo: dict[str, list[tuple[str, float]]] = {}
         self.logs: dict[str, float] = {}
+        self.letters: dict[int, str] | None = None
+        self.by_length: dict[int, list[str]] | None = None
 
     def gram(self, before: str, char: str) -> float:
         """Probability of a character after at most four others, longer contexts weighed against shorter ones."""
-        p = 1 / 40
+        p = 1 / ALPHABET
         for n in range(min(LONGEST - 1, len(before)), 0, -1):
             if before[-n:] in self.heads:
                 break
@@ -150,108 +187,205 @@ class Model:
         padded = "^^^^" + word + "$"
         return self.span(padded, 4, len(padded))
 
+    def _alphabet(self, printed: str) -> str:
+        """The letters that an unread one can be: those of the scripts that the word has."""
+        if self.letters is None:
+            held: dict[int, set[str]] = {}
+            for word in self.words:
+                for c in word:
+                    if c.isalnum():
+                        held.setdefault(_script(c), set()).add(c)
+            self.letters = {script: "".join(sorted(letters)) for script, letters in held.items()}
+        scripts = {_script(c) for c in printed if c.isalpha()}
+        return "".join(self.letters.get(script, "") for script in sorted(scripts))
+
+    def _options(self, char: str, alphabet: str) -> list[tuple[str, float]]:
+        """What a printed character can stand for, with the log-probability of being printed so; '' for a mark that was put in."""
+        if char == "�":
+            return [(c, math.log(RATE / 20)) for c in alphabet]
+        if char in INSERTED:
+            return [("", math.log(RATE))]
+        own = [(char, math.log(1 - RATE))] if _only_letters.match(char) else []
+        return own + [(c, math.log(RATE * p)) for c, p in self.single.get(char, ())]
+
     def decode(self, printed: str) -> tuple[str, float]:
-        """The likeliest letters behind a printed word and their log-probability, by Viterbi over the last letters."""
-        beams: dict[str, tuple[float, str]] = {"^" * (LONGEST - 1): (0.0, "")}
-        sure, miss = math.log(1 - RATE), math.log(RATE)
+        """The likeliest letters behind a printed word and their log-probability, by Viterbi over the last letters; none is ('', -inf)."""
+        alphabet = self._alphabet(printed) if "�" in printed else ""
+        paths: dict[str, tuple[float, str]] = {"^" * (LONGEST - 1): (0.0, "")}
         for char in printed:
-            options = [(char, sure)] if char.isalpha() else []
-            if char == "�":
-                options = [(c, miss - 3.0) for c in ANY]
-            else:
-                options += [(c, miss + math.log(p)) for c, p in STANDS_FOR.get(char, {}).items()]
             new: dict[str, tuple[float, str]] = {}
-            for state, (score, path) in beams.items():
-                moves = options if options or char not in INSERTED else []
-                if char in INSERTED:
-                    moves = [("", miss)]
-                for c, cost in moves:
+            for c, cost in self._options(char, alphabet):
+                for state, (score, path) in paths.items():
                     at = (state + c)[-(LONGEST - 1) :] if c else state
                     value = score + cost + (self.log(state, c) if c else 0.0)
                     if at not in new or value > new[at][0]:
                         new[at] = (value, path + c)
-            beams = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM]) if len(new) > BEAM else new
-            if not beams:
-                return printed, -1e9
-        score, path = max(((s + self.log(k, "$"), p) for k, (s, p) in beams.items()), default=(-1e9, printed))
+            paths = new
+        score, path = max(((s + self.log(k, "$"), p) for k, (s, p) in paths.items()), default=(-math.inf, ""))
         return path, score
 
-    def meant(self, printed: str) -> str | None:
-        """The word that a printed one most likely stands for, or None if it stands for itself."""
-        if printed in self.memo:
-            return self.memo[printed]
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[printed] = out = self._meant(printed.lower())
-        return out
+    def candidates(self, word: str) -> list[tuple[str, float]]:
+        """A word and what may be behind it, each with its log-probability together with that of being printed so; itself first.
 
-    def _meant(self, word: str) -> str | None:
+        Being itself has ``MARGIN`` added, so that another reading has to be clearly likelier.
+        """
+        known = self.memo.get(word)
+        if known is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            known = self.memo[word] = self._of_letters(word) if _only_letters.fullmatch(word) else self._of_signs(word)
+        return known
+
+    def _of_letters(self, word: str) -> list[tuple[str, float]]:
         seen = self.words.get(word, 0)
-        if word.isalpha():
-            floor = math.log(seen / self.total) if seen else 0.0
-            padded, best, most = "^^^^" + word + "$", None, MARGIN
-            unknown: float | None = None
-            for at, printed, letters, part in self._misreadings(word):
-                other = word[:at] + letters + word[at + len(printed) :]
-                n = self.words.get(other, 0)
-                if n:
-                    if not seen and unknown is None:
-                        unknown = math.log(UNKNOWN) + self.spelled(word)
-                    gain = math.log(n / self.total) - (floor if seen else unknown)
-                elif seen:
-                    continue
-                else:
-                    changed = "^^^^" + other + "$"
-                    gain = self.span(changed, at + 4, at + len(letters) + 8) - self.span(padded, at + 4, at + len(printed) + 8)
-                gain += math.log(RATE * part)
-                if gain > most:
-                    best, most = other, gain
-            return best
-        best, most_n = None, 0
+        own = math.log(seen / self.total) if seen else None
+        out: dict[str, float] = {}
+        padded = "^^^^" + word + "$"
+        for at, printed, letters, part in self._misreadings(word):
+            other = word[:at] + letters + word[at + len(printed) :]
+            n = self.words.get(other, 0)
+            if not n and seen:
+                continue
+            if own is None:
+                own = math.log(UNKNOWN) + self.spelled(word)
+            if n:
+                score = math.log(n / self.total)
+            else:
+                changed = "^^^^" + other + "$"
+                score = own + self.span(changed, at + 4, at + len(letters) + 8) - self.span(padded, at + 4, at + len(printed) + 8)
+            score += math.log(RATE * part)
+            if score > out.get(other, -math.inf):
+                out[other] = score
+        return [(word, (own or 0.0) + MARGIN), *[(other, score) for other, score in out.items() if score > own + MARGIN + AGAINST - FOR]]
+
+    def _of_signs(self, word: str) -> list[tuple[str, float]]:
+        # Signs that no letters predict: each is any of the alphabet.
+        itself = math.log(MEANT) - math.log(ALPHABET) * (len(word) + 1)
+        out = {}
+        unread = word.count("�")
+        cost = (sum(not _only_letters.match(c) for c in word) - unread) * math.log(RATE) + unread * math.log(RATE / 20)
         for other in self._one_off(word):
-            if self.words.get(other, 0) > most_n:
-                best, most_n = other, self.words[other]
-        if best:
-            return best
-        path, score = self.decode(word)
-        return path if score > -1e8 else None
-
-    @staticmethod
-    def _misreadings(word: str) -> Iterator[tuple[int, str, str, float]]:
+            n = self.words.get(other, 0)
+            if n:
+                out[other] = math.log(n / self.total) + cost
+        # Letters are put together only where no known word is behind it.
+        path, score = self.decode(word) if not out and unread <= UNREAD else ("", 0.0)
+        if path:
+            out[path] = math.log(UNKNOWN) + score
+        return [(word, itself), *out.items()]
+
+    def _misreadings(self, word: str) -> Iterator[tuple[int, str, str, float]]:
         """(place, printed, meant, part of the rate) of what one misreading could have made of a word of letters."""
         for k, char in enumerate(word):
-            for c, p in STANDS_FOR.get(char, {}).items():
+            for c, p in self.single.get(char, ()):
                 yield k, char, c, p
-        for printed, meant, p in DOUBLE:
+        for printed, meant, p in self.double:
             at = word.find(printed)
             while at >= 0:
                 yield at, printed, meant, p
                 at = word.find(printed, at + 1)
 
     def _one_off(self, word: str) -> Iterator[str]:
-        """Words behind one with marks, digits or unread letters."""
-        out = [""]
-        for char in word:
-            if char in INSERTED:
+        """Known words behind one with marks, digits or unread letters; those with unread letters are met by their length and other letters."""
+        options = [[c for c, _ in self.single.get(char, ())] if not _only_letters.match(char) else [char] for char in word if char not in INSERTED and char != "�"]
+        if "�" not in word:
+            yield from map("".join, product(*options))
+            return
+        if self.by_length is None:
+            self.by_length = {}
+            for known in self.words:
+                self.by_length.setdefault(len(known), []).append(known)
+        rest = iter(options)
+        parts = [r"[^\W\d_]" if char == "�" else f"[{''.join(map(re.escape, next(rest)))}]" for char in word if char not in INSERTED]
+        if "[]" not in parts:
+            fits = re.compile("".join(parts)).fullmatch
+            yield from filter(fits, self.by_length.get(len(parts), ()))
+
+    def beside(self, before: str, word: str) -> float:
+        """What the word before says for a word, against its own count; nothing where either is rare."""
+        first, own = self.words.get(before, 0), self.words.get(word, 0)
+        if not first or not own:
+            return 0.0
+        expected = first * own / self.total
+        return max(AGAINST, min(FOR, math.log((self.pairs.get(f"{before} {word}", 0) + 1.0) / (expected + 1.0))))
+
+    def readings(self, words: list[str]) -> list[str | None]:
+        """For each word of a line what was meant, or None if it is as printed: Viterbi over the candidates of all."""
+        lower = [w.lower() for w in words]
+        options = [self.candidates(w) if len(w) > 2 else [(w, 0.0)] for w in lower]
+        if all(len(o) == 1 for o in options):
+            return [None] * len(words)
+        paths = [(score, [c]) for c, score in options[0]]
+        for own in options[1:]:
+            if len(own) == 1 and len(paths) == 1:
+                paths[0][1].append(own[0][0])
                 continue
-            own = list(ANY) if char == "�" else list(STANDS_FOR.get(char, {})) if not char.isalpha() else [char]
-            out = [a + c for a in out for c in own][:5000]
-        yield from out
+            new = []
+            for c, score in own:
+                value, path = max(((s + self.beside(p[-1], c), p) for s, p in paths), key=lambda x: x[0])
+                new.append((value + score, [*path, c]))
+            paths = new
+        best = max(paths, key=lambda x: x[0])[1]
+        return [c if c != w else None for c, w in zip(best, lower)]
+
+
+def estimated(counts: DataFrame, own: Model) -> dict[tuple[str, str], float]:
+    """The parts that the confusions of letters have in all misreadings, from words that one confusion away are ``RARER`` times as frequent.
+
+    A word with several such ways is shared out among them by their given parts; the given parts count as ``SEEN`` misreadings.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            sums: Counter[str] = Counter()
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ways = []
+                for at, printed, letters, part in model._misreadings(word):
+                    other = model.words.get(word[:at] + letters + word[at + len(printed) :], 0)
+                    if other > RARER * n:
+                        ways.append((printed, letters, part * other))
+                total = sum(w for _, _, w in ways)
+                for printed, letters, w in ways:
+                    sums[f"{printed} {letters}"] += n * w / total
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["way", "n"])
+
+    rows = counts.mapInArrow(run, "way string, n double").groupBy("way").agg(F.sum("n").alias("n"))
+    seen = {tuple(r.way.split(" ")): r.n for r in checked_broadcast_rows(rows, len(GIVEN), "the list of confusions")}
+    # How often a letter is meant decides how often it can be misread: parts are of the misreadings of that letter.
+    meant = Counter()
+    for word, n in own.words.items():
+        for (_, letters), part in GIVEN.items():
+            if letters in word:
+                meant[letters] += n * word.count(letters)
+    ways = [w for w in GIVEN if w[0].isalpha() and meant[w[1]]]
+    mass = sum(GIVEN[w] * meant[w[1]] for w in ways)
+    held = sum(seen.get(w, 0.0) for w in ways)
+    out = dict(GIVEN)
+    for w in ways:
+        given = GIVEN[w] * meant[w[1]] / mass
+        share = (seen.get(w, 0.0) + SEEN * given) / (held + SEEN)
+        out[w] = max(1e-3, min(1.0, share * mass / meant[w[1]]))
+    return out
 
 
 def model(texts: DataFrame, text: str = "text") -> Model:
-    """The counts of a corpus."""
-    counts = written(word_counts(texts, text), "words")
+    """The counts of a corpus, and the parts of the confusions in it."""
+    both = written(word_counts(texts, text), "words")
+    counts, pairs = both.filter(~F.col("word").contains(" ")), both.filter(F.col("word").contains(" "))
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = checked_broadcast_rows(counts.filter(F.col("n") >= max(3, SHARE * total)), int(1 / SHARE) + 1, "the list of common words")
+    often = checked_broadcast_rows(pairs.filter(F.col("n") >= max(2, PAIR_SHARE * total)), int(1 / PAIR_SHARE) + 1, "the list of common pairs")
     # A type counts for at most 20, so that names weigh against the few words that make up most of a text.
-    types = counts.filter((F.length("word") <= 40) & ~F.col("word").contains("-")).select(F.least("n", F.lit(20)).alias("n"), F.concat(F.lit("^^^^"), "word", F.lit("$")).alias("p"))
+    types = counts.filter(~F.col("word").contains("-")).select(F.least("n", F.lit(20)).alias("n"), F.concat(F.lit("^^^^"), "word", F.lit("$")).alias("p"))
     ends = F.sequence(F.lit(5), F.length("p"))
     cut = F.flatten(F.transform(ends, lambda k: F.transform(F.sequence(F.lit(2), F.lit(LONGEST)), lambda n: F.substr("p", k - n + 1, n))))
     grams = types.select("n", F.explode(cut).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
     mass = types.agg(F.sum(F.col("n") * (F.length("p") - 4))).first()[0] or 0
     most = checked_broadcast_rows(grams.filter(F.col("n") >= max(1, GRAM_SHARE * mass)), int((LONGEST - 1) / GRAM_SHARE) + 1, "the list of n-grams")
-    return Model(total, {r.word: r.n for r in rows}, {r.gram: r.n for r in most})
+    words, letters, beside = {r.word: r.n for r in rows}, {r.gram: r.n for r in most}, {r.word: r.n for r in often}
+    return Model(total, words, letters, beside, estimated(counts, Model(total, words, {})))
 
 
 def set_in_lines(lines: list[str]) -> bool:
@@ -338,7 +472,8 @@ def noise(text: str, title: str | None, own: Model) -> list[tuple[int, str]]:
     after_break = False
     for at, k in enumerate(body):
         line, on = lines[k], None
-        broken = _breaks.search(raw[k].rstrip("\r"))
+        shown_end = raw[k].rstrip(" \t\r")
+        broken = _breaks.search(shown_end) if shown_end[-1:] in _break_marks else None
         if broken and at + 1 < len(body):
             on = _starts.match(lines[body[at + 1]])
             if on:
@@ -372,46 +507,47 @@ def misread(part: str, own: Model, whole: str = "", line: str = "") -> bool:
     words = _printed.findall(part)
     if not words:
         return False
-    odd, clean, hits, known = 0, 0, 0, 0
+    odd, clean, known = 0, 0, 0
+    asked = []
     for word in words:
         word = word.strip("'!_")
         if not word:
             continue
-        if word.isalpha():
+        if _only_letters.fullmatch(word):
             clean += 1
             known += word.lower() in own.words
-            if len(word) > 2 and own.meant(word):
-                hits += 1
+            asked.append(word)
             continue
         if not _odd.search(word) and "!" not in word:
             continue
         if _ordinal.fullmatch(word) or contraction(word, own):
             continue
-        letters = sum(c.isalpha() for c in word)
+        letters = len(_any_letter.findall(word))
         strange = len(word) - letters
         if strange > 2 or letters < 2 or (letters < 2 * strange):
             odd += 1
             continue
-        if own.meant(word):
-            hits += 1
-        else:
-            odd += 1
+        asked.append(word)
+    meant = own.readings(asked) if asked else []
+    hits = sum(m is not None for m in meant)
+    odd += sum(m is None and not _only_letters.fullmatch(word) for word, m in zip(asked, meant))
     return hits > 0 and known >= 1 and 3 * known >= clean and hits + odd <= max(2, 0.4 * (clean + hits + odd)) and not is_strange(line or part)
 
 
 def corrected(line: str, own: Model) -> str:
     """A line with the words that were meant, their capitals kept."""
-
-    def word(m: re.Match) -> str:
-        core = m[0].strip("'!_")
-        if len(core) < 3 or contraction(core, own) or _ordinal.fullmatch(core) or not core.isalpha() and not _odd.search(core):
-            return m[0]
-        meant = own.meant(core)
-        if not meant:
-            return m[0]
-        return m[0].replace(core, meant.upper() if core.isupper() else meant.capitalize() if core[0].isupper() else meant)
-
-    return _printed.sub(word, line)
+    places = list(_printed.finditer(line))
+    cores = [m[0].strip("'!_") for m in places]
+    kept = [len(core) < 3 or contraction(core, own) or bool(_ordinal.fullmatch(core)) or not _only_letters.fullmatch(core) and not _odd.search(core) for core in cores]
+    asked = [k for k in range(len(places)) if not kept[k]]
+    out, end = [], 0
+    for k, meant in zip(asked, own.readings([cores[k] for k in asked]) if asked else ()):
+        if meant:
+            core = cores[k]
+            spelled = meant.upper() if core.isupper() else meant.capitalize() if core[0].isupper() else meant
+            out += [line[end : places[k].start()], places[k][0].replace(core, spelled)]
+            end = places[k].end()
+    return "".join([*out, line[end:]])
 
 
 def repaired(text: str, title: str | None, own: Model) -> str:

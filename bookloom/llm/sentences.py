@@ -5,12 +5,16 @@ are not written, boundary or none. The n-gram counts of what stands before and
 after an event, of its mark, its quotation state and of the distance to the
 event before come from the rows that are one sentence each; forward-backward
 over the events of a text gives each its posterior, and a boundary is where
-that is above one half. An event can stand after a mark that ends sentences
-(with or without a space), or, in a script without marks, at any space; between
-other words its probability is zero, as no training row has one there.
+that is above one half. In a text with marks an event can stand after a mark that
+ends sentences (with or without a space), or, in Thai, at any space; between
+other words its probability is zero, as no training row has one there. In a text
+without any such mark an event stands between all words (characters, in Chinese
+and Japanese): what ends and begins sentences there is counted over the same
+rows with their marks taken off.
 
 The model is bounded: a context is kept if it makes up at least ``SHARE`` of
-all events, so at most 1/SHARE are sent to the workers, whatever the corpus.
+all events and gaps, so at most 8/SHARE are sent to the workers, whatever the
+corpus.
 
 Defined cases: null and blank texts have no sentences; a text without events is
 one sentence; offsets count code points; repeated rows count once; quotations
@@ -32,8 +36,8 @@ from bookloom.llm import quality
 from bookloom.llm.lookalike import INVISIBLE, consistent
 from bookloom.session import checked_broadcast_rows
 
-#: A context is known if it makes up this share of all events.
-SHARE = 1e-6
+#: A context is known if it makes up this share of all events and gaps; at most 8/share contexts go to the driver and the workers.
+SHARE = 4e-6
 #: Weight of the wider context where the narrower one is rare.
 BACKOFF = 2.0
 #: A boundary needs a posterior above this.
@@ -54,6 +58,9 @@ _digits = re.compile(r"\d+")
 _first = re.compile(r"[^\W\d_]+")
 _marks = frozenset(MARKS)
 _joiners = frozenset("—–;,:")
+_mark = re.compile(f"[{MARKS}]")
+#: A word of a script that parts words, or a character of one that does not.
+_bare = re.compile("[぀-ヿ㐀-鿿]|(?:[^\\W_぀-ヿ㐀-鿿]|[̀-ͯऀ-ःऺ-ॏॢॣً-ٟ])+(?:[’'-][^\\W_]+)*")
 _inner = re.compile(r"[.!?…](?=[A-ZА-ЯÀ-Ý])")
 
 
@@ -197,6 +204,24 @@ class Events:
         return opener.strip()[:1] + own[:12], kind
 
 
+def bare_words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a text without its marks, characters where it is in Chinese or Japanese, and where each begins and ends."""
+    places = [(m.start(), m.end()) for m in _bare.finditer(text)]
+    return [text[a:b].lower() for a, b in places], places
+
+
+def bare_training(words: list[str], out: Counter[str]) -> None:
+    """Counts, over a sentence without marks, of what stands before and after a gap within it, and at its ends."""
+    if not words:
+        return
+    pairs = list(map("".join, zip(words, words[1:]))) if _cjk.match(words[0]) else words
+    out.update([f"x|{w}" for w in pairs])
+    out["e|" + (pairs[-1] if pairs else words[-1])] += 1
+    out["f|" + (pairs[0] if pairs else words[0])] += 1
+    out["n|b"] += 1
+    out["n|g"] += len(words) - 1
+
+
 def training(texts: Iterator[str]) -> Counter[str]:
     """Counts over rows that are one sentence each."""
     out: Counter[str] = Counter()
@@ -205,6 +230,8 @@ def training(texts: Iterator[str]) -> Counter[str]:
         if not text:
             continue
         own = Events(text)
+        if not _thai.search(text):
+            bare_training(bare_words(text)[0], out)
         out["n|B"] += 1
         for k, value in enumerate(own.ending):
             out[f"B{k}|{value}"] += 1
@@ -285,10 +312,49 @@ class Model:
             back_b, back_n = back_b / total, back_n / total
         return out
 
+    def bare_cuts(self, text: str) -> list[tuple[int, int]]:
+        """Boundaries (end, start of the next) of a text without marks, by forward-backward over the gaps between its words.
+
+        A gap after a boundary cannot be one at once: a sentence has two words or more.
+        """
+        words, places = bare_words(text)
+        sentences_n, gaps = self.n.get("n|b", 0), self.n.get("n|g", 0)
+        if len(words) < 4 or not sentences_n or not gaps:
+            return []
+        n, total = self.n.get, sentences_n + gaps
+        units = list(map("".join, zip(words, words[1:]))) if _cjk.match(words[0]) else None
+        local = []
+        for k in range(len(words) - 1):
+            # The characters before the gap and those after it; a context that is rare says little.
+            left = units[k - 1] if units and k else words[k]
+            right = units[k + 1] if units and k + 1 < len(units) else words[k + 1]
+            odds = math.log(sentences_n / gaps)
+            for end, context in (("e|", left), ("f|", right)):
+                inner = max(0, n("x|" + context, 0) - n("e|" + context, 0) - n("f|" + context, 0)) if units is None else n("x|" + context, 0)
+                odds += math.log((n(end + context, 0) / sentences_n + 0.5 / total) / (inner / total + 0.5 / total))
+            local.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+        forward, b, m = [], 0.0, 1.0
+        for p in local:
+            b, m = m * p, b + m * (1 - p)
+            b, m = b / (b + m), m / (b + m)
+            forward.append((b, m))
+        out, back_b, back_m = [], 1.0, 1.0
+        for k in range(len(local) - 1, -1, -1):
+            b, m = forward[k][0] * back_b, forward[k][1] * back_m
+            if b / (b + m) > POSTERIOR:
+                out.append((places[k][1], places[k + 1][0]))
+            p = local[k]
+            back_b, back_m = back_m, p * back_b + (1 - p) * back_m
+            total_b = back_b + back_m
+            back_b, back_m = back_b / total_b, back_m / total_b
+        return out[::-1]
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each sentence, from its first visible character to after its last."""
         own = Events(text)
         cuts = [at for at, p in zip(own.at, self.posteriors(own)) if p > POSTERIOR] if own.at else []
+        if not cuts and not _mark.search(text) and not _thai.search(text):
+            cuts = self.bare_cuts(text)
         out, start = [], 0
         for end, on in [*cuts, (len(text), len(text))]:
             a, b = start, end
@@ -315,7 +381,8 @@ def model(segments: DataFrame) -> Model:
     events = F.sum(F.when(F.col("key").startswith("n|"), F.col("n")))
     counts = counts.persist()
     total = counts.agg(events).first()[0] or 0
-    kept = checked_broadcast_rows(counts.filter(F.col("n") >= SHARE * total), int(12 / SHARE), "the list of contexts")
+    # An event has six contexts and two counts, a gap of a bare text one; no more of them can have this share.
+    kept = checked_broadcast_rows(counts.filter(F.col("n") >= SHARE * total), int(8 / SHARE), "the list of contexts")
     counts.unpersist()
     return Model({r.key: r.n for r in kept})
 

@@ -22,19 +22,26 @@ from pyspark.sql import functions as F
 END = r"[.!?…。！？।؟|]"
 CLOSE = r"[\"'”’»」』）)\]]*"
 CLAUSE = r"[,;:，；：、،؛—–]"
+#: Where no character is cut from its accents, joiners and tones.
+WHOLE = r"(?![\p{M}\x{200D}\x{1F3FB}-\x{1F3FF}])(?<!\x{200D})"
 #: Letters of scripts that part words; in the others any character may begin an overlap.
 WORD = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]"
 
 
-def _pattern(room: Column) -> Column:
-    """The cutting expression for pieces of at most ``room`` code points."""
+def _options(room: Column) -> Column:
+    """What a piece of at most ``room`` code points may be: the rest, or up to the strongest boundary that leaves at least half."""
     least = F.greatest(F.lit(1), F.floor(room / 2).cast("int")).cast("string")
     most = room.cast("string")
     span = F.concat(F.lit("[\\s\\S]{"), least, F.lit(","), most, F.lit("}"))
     options = [r"(?<=\n\s{0,3}\n)", r"(?<=\n)", rf"(?<={END}{CLOSE.replace('*', '{0,3}')}\s)", r"(?<=[。！？।])", rf"(?<={CLAUSE}\s)", r"(?<=[，；：、])", r"(?<=\s)"]
-    whole = F.concat(F.lit("[\\s\\S]{1,"), most, F.lit("}(?![\\s\\S])"))
-    parts = [whole, *[F.concat(span, F.lit(o)) for o in options], F.concat(F.lit("[\\s\\S]{1,"), most, F.lit("}"))]
-    return F.concat_ws("|", *parts)
+    upto = F.concat(F.lit("[\\s\\S]{1,"), most, F.lit("}"))
+    # At last so many characters: whole ones with their accents and joiners if one of them fits.
+    return F.concat_ws("|", F.concat(upto, F.lit("(?![\\s\\S])")), *[F.concat(span, F.lit(o)) for o in options], F.concat(upto, F.lit(WHOLE)), upto)
+
+
+def _pattern(first: Column, later: Column) -> Column:
+    """The cutting expression: the first piece has no overlap before it, so it has more room than the later ones."""
+    return F.concat(F.lit("\\A(?:"), _options(first), F.lit(")|(?:"), _options(later), F.lit(")"))
 
 
 def _let(value: Column, then) -> Column:
@@ -60,8 +67,8 @@ def pieces(text: Column, limit: Column, overlap: Column) -> Column:
 
         return _let(starts, lambda s: F.transform(bodies, lambda body, k: one(F.get(s, k), body, k)))
 
-    # All bodies are cut by the room that is left beside an overlap, so every piece keeps the limit.
-    cut = F.when(F.length(text) > size, F.regexp_extract_all(text, _pattern(size - back), F.lit(0))).when(text.isNotNull() & limit.isNotNull(), F.array(text))
+    # Bodies after the first are cut by the room that is left beside an overlap, so every piece keeps the limit.
+    cut = F.when(F.length(text) > size, F.regexp_extract_all(text, _pattern(size, size - back), F.lit(0))).when(text.isNotNull() & limit.isNotNull(), F.array(text))
     return _let(cut, built)
 
 
