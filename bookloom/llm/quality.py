@@ -284,14 +284,14 @@ def statistics(text: str, common: frozenset[str]) -> tuple[int, float, float, fl
     )
 
 
-def no_prose(text: str, common: frozenset[str]) -> bool:
-    """Whether a text that stands alone is no natural prose."""
+def no_prose(text: str, common: frozenset[str], whole: bool | None = None) -> bool:
+    """Whether a text that stands alone is no natural prose; ``whole`` says whether one n-gram covers it, where that is known for a batch."""
     if visible(text) < SHORT:
         return False
     lines = text.split("\n")
     shown = other = 0
     own = classes(lines, common)
-    whole = repeats(text, lines) or covered([text])[0]
+    whole = repeats(text, lines) or (covered([text])[0] if whole is None else whole)
     for line, kind in zip(lines, own):
         if kind and not is_number(line):
             size = visible(line)

@@ -396,8 +396,10 @@ def found(segments: DataFrame, lexicon: DataFrame, prose_only: bool = True) -> D
         own, common = shared.value
         for batch in batches:
             at, starts, ends = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                if not text or text.isspace() or (prose_only and quality.no_prose(text, common)):
+            texts = batch.column(1).to_pylist()
+            wholes = quality.covered(texts) if prose_only else [False] * len(texts)
+            for k, (text, whole) in enumerate(zip(texts, wholes)):
+                if not text or text.isspace() or (prose_only and quality.no_prose(text, common, whole)):
                     continue
                 for a, b in own.spans(text):
                     at.append(k)
