@@ -60,6 +60,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != "")
 
 
+# Abbreviations that end no sentence where sentences are aligned.
+ALIGNED_ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "vs", "etc", "cf", "ed", "vol", "no", "pp", "ca", "e.g", "i.e")
+
+
+def aligned_sentences(text: Column) -> Column:
+    """The sentences of a text as two texts are aligned by them: cut before a capital or a digit, not after abbreviations."""
+    pieces = F.split(F.regexp_replace(normalized(text), r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]?[A-Z0-9])", "\u0001"), "\u0001")
+
+    def fold(done: Column, piece: Column) -> Column:
+        short = F.lower(F.regexp_extract(F.element_at(done, -1), r"\b((?:[A-Za-z]\.)?[A-Za-z]+)\.$", 1)).isin(*ALIGNED_ABBREVIATIONS)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(" "), piece)))
+        return F.when(F.size(done) == 0, F.array(piece)).when(short, joined).otherwise(F.concat(done, F.array(piece)))
+
+    whole = F.aggregate(pieces, F.array().cast("array<string>"), fold)
+    return F.filter(F.transform(whole, lambda s: F.trim(s)), lambda s: s != "")
+
+
+def letter_words(text: Column) -> Column:
+    """Lower-case words of letters and apostrophes; an apostrophe alone is none."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z' ]", " "), " +"), lambda w: F.regexp_replace(w, "'", "") != "")
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; 0 for null."""
     return F.coalesce(F.size(words(text)), F.lit(0))
