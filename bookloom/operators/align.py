@@ -6,13 +6,14 @@ counts code points, counts words, without Python.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.session import written
 
 #: First code point that stands for a word, and how many there are; a pair with more distinct words is compared by its bag of words.
-_ALPHABET = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 4000))
+_ALPHABET = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 20_000))
 # Letters with marks and the plain ones they fold to.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
@@ -38,38 +39,159 @@ def word_error_rate(reference: Column, heard: Column) -> Column:
     return F.element_at(F.transform(F.array(pair), coded), 1)
 
 
-def best_matches(source: DataFrame, rewrite: DataFrame, least: float = 0.5) -> DataFrame:
-    """(book_id, chapter_id, src_id, match_id, score): for each source sentence the rewrite of its chapter that shares most words.
+def _candidates(source: DataFrame, rewrite: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Source sentences, rewrites, and the pairs (c, src_id, match_id) that can share ``least`` of a sentence's words.
 
-    Both are (book_id, chapter_id, id, text). A rewrite with a score of ``least`` misses at most size - ceil(least * size)
-    words of the sentence, so it has one of any size - ceil(least * size) + 1 of them; sentences meet over the so many that
-    fewest rewrites of the chapter have, however many that are, and no match is missed. Chapters and words meet as hashes,
-    which can only add pairs; the score is that of the words. Rewrites with the same words are one, that of the least id,
-    which also counts among equal matches.
+    A rewrite that does misses at most size - ceil(least * size) words of the sentence, so it has one of any
+    size - ceil(least * size) + 1 of them; sentences meet over the so many that fewest rewrites of the chapter have,
+    however many that are, and no such pair is missed. Chapters and words meet as hashes, which can only add pairs.
+    Equal rewrites of a chapter are one, that of the least id.
     """
     place = ["book_id", "chapter_id"]
-    chapter = F.xxhash64(*place).alias("c")
 
     def words(rows: DataFrame, name: str) -> DataFrame:
-        held = rows.select(*place, F.col("id").alias(name), F.array_sort(F.array_distinct(spoken_words(F.col("text")))).alias(f"w_{name}"))
+        held = rows.select(*place, F.xxhash64(*place).alias("c"), F.col("id").alias(name), F.col("text").alias(f"t_{name}"), F.array_sort(F.array_distinct(spoken_words(F.col("text")))).alias(f"w_{name}"))
         return held.filter(F.size(f"w_{name}") > 0)
 
     def hashed(name: str) -> Column:
         return F.explode(F.transform(f"w_{name}", lambda w: F.xxhash64(w))).alias("h")
 
     a = written(words(source, "src_id"), "sources")
-    b = written(words(rewrite, "match_id").groupBy(*place, "w_match_id").agg(F.min("match_id").alias("match_id")), "rewrites")
+    b = written(words(rewrite, "match_id").groupBy(*place, "c", "t_match_id", "w_match_id").agg(F.min("match_id").alias("match_id")), "rewrites")
     # Scores are rounded to six digits before they are held against the bound.
     need = F.greatest(F.lit(1), F.ceil((F.lit(least) - 1e-6) * F.size("w_src_id"))).cast("int").alias("need")
-    each = b.select(chapter, "match_id", F.size("w_match_id").alias("n"), hashed("match_id"))
+    each = b.select("c", "match_id", F.size("w_match_id").alias("n"), hashed("match_id"))
     df = each.groupBy("c", "h").agg(F.count("*").alias("df"))
-    left = a.select(chapter, "src_id", need, hashed("src_id")).join(df, ["c", "h"]).groupBy("c", "src_id", "need").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
+    left = a.select("c", "src_id", need, hashed("src_id")).join(df, ["c", "h"]).groupBy("c", "src_id", "need").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
     # Words that no rewrite has are the rarest and take their places in the prefix, but meet nothing.
     prefix = F.slice("x", F.lit(1), F.greatest(F.lit(0), F.size("x") - F.col("need") + 1))
     left = left.select("c", "src_id", "need", F.explode(F.transform(prefix, lambda x: x["h"])).alias("h"))
-    met = left.join(each, ["c", "h"]).filter("n >= need").select("c", "src_id", "match_id").distinct()
-    held = met.join(a.withColumn("c", chapter), ["c", "src_id"]).join(b.select(chapter, F.col("book_id").alias("b_id"), F.col("chapter_id").alias("c_id"), "match_id", "w_match_id"), ["c", "match_id"])
+    return a, b, left.join(each, ["c", "h"]).filter("n >= need").select("c", "src_id", "match_id").distinct()
+
+
+def _side_by_side(a: DataFrame, b: DataFrame, met: DataFrame) -> DataFrame:
+    """The pairs with both texts and word lists, those of hashes that met by chance left out."""
+    right = b.select("c", F.col("book_id").alias("b_id"), F.col("chapter_id").alias("c_id"), "match_id", "t_match_id", "w_match_id")
+    return met.join(a, ["c", "src_id"]).join(right, ["c", "match_id"]).filter("book_id = b_id and chapter_id = c_id")
+
+
+def best_matches(source: DataFrame, rewrite: DataFrame, least: float = 0.5) -> DataFrame:
+    """(book_id, chapter_id, src_id, match_id, score): for each source sentence the rewrite of its chapter that shares most words.
+
+    Both are (book_id, chapter_id, id, text). No match with a score of ``least`` is missed; among equal ones the least id counts.
+    """
+    a, b, met = _candidates(source, rewrite, least)
     score = F.round(F.size(F.array_intersect("w_src_id", "w_match_id")) / F.size("w_src_id"), 6)
-    held = held.filter("book_id = b_id and chapter_id = c_id").withColumn("score", score).filter(F.col("score") >= least)
-    best = held.groupBy(*place, "src_id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
-    return best.select(*place, "src_id", "m.match_id", "m.score")
+    held = _side_by_side(a, b, met).withColumn("score", score).filter(F.col("score") >= least)
+    best = held.groupBy("book_id", "chapter_id", "src_id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
+    return best.select("book_id", "chapter_id", "src_id", "m.match_id", "m.score")
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of bits for each character."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    full = rows = (1 << len(a)) - 1
+    for c in b:
+        met = rows & at.get(c, 0)
+        rows = ((rows + met) | (rows - met)) & full
+    return len(a) - rows.bit_count()
+
+
+def partial_score(a: str, b: str, least: float = 0.0) -> float:
+    """How alike the shorter text is to the part of the longer one that it is most like, 0 to 100; 0 if that is under ``least``.
+
+    Alike is twice what two texts have in common over their lengths; parts as long as the shorter text are compared with it,
+    and shorter ones at the ends.
+    """
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0
+    if short in long:
+        return 100.0
+    size, best = len(short), least
+    found = False
+    # A part moved or lengthened by one character has at most one more in common, so places too near a poor one are passed over.
+    start = 0
+    while start <= len(long) - size:
+        common = common_length(short, long[start : start + size])
+        score = 100 * common / size
+        if score > best or score == best and not found:
+            best, found = score, True
+        start += max(1, int(best * size / 100 - common))
+    for ends in (lambda k: long[:k], lambda k: long[-k:]):
+        k = 1
+        while k < min(size, len(long) + 1):
+            if 200 * k < best * (size + k) - 1e-9:
+                # Even a part that is all in common would not do.
+                k = max(k + 1, int(best * size / (200 - best)))
+                continue
+            part = ends(k)
+            common = common_length(short, part)
+            score = 200 * common / (size + k)
+            if score > best or score == best and not found:
+                best, found = score, True
+            k += max(1, int((best * (size + k) / 200 - common) / (1 - best / 200)))
+    return best if found else 0.0
+
+
+def set_score(a: str, b: str) -> float:
+    """How alike two texts are as sets of words, 0 to 100: what they share against what each has beside it."""
+    first, second = set(a.split()), set(b.split())
+    both = " ".join(sorted(first & second))
+    rest = [" ".join(sorted(first - second)), " ".join(sorted(second - first))]
+    if both and not all(rest):
+        return 100.0
+    whole = [f"{both} {r}".strip() for r in rest]
+    ratio = lambda x, y: 200 * common_length(x, y) / (len(x) + len(y)) if x or y else 0.0
+    return max(ratio(*whole), *([ratio(both, w) for w in whole] if both else [0.0]))
+
+
+def _scored(pairs: DataFrame, scorer, left: str, right: str) -> DataFrame:
+    """Pairs with their score, in Arrow batches."""
+
+    def run(a, b):
+        return pd.Series([float(scorer(x, y)) for x, y in zip(a, b)])
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return pairs.withColumn("score", F.round(F.pandas_udf(run, "double")(left, right), 4))
+
+
+#: Share of a sentence's words that a rewrite has to have to be compared with it letter by letter; looser likeness is not looked for.
+SHARED = 0.34
+#: Below the first a sentence is dropped, below the second a judge decides.
+DROPPED, AMBIGUOUS = 75.0, 85.0
+
+
+def aligned(source: DataFrame, rewrite: DataFrame, cutoff: float = DROPPED) -> DataFrame:
+    """(book_id, chapter_id, src_id, match_id, score, verdict) for every source sentence: kept, ambiguous or dropped.
+
+    A sentence is kept if some rewrite of its chapter contains something like it. Both are (book_id, chapter_id, id, text),
+    numbers left out beforehand where these may be spoken. Pairs share ``SHARED`` of the sentence's words, which is lossy:
+    a rewrite that is alike by letters only is not found.
+    """
+    a, b, met = _candidates(source, rewrite, SHARED)
+    pairs = written(_side_by_side(a, b, met), "pairs")
+    key = ["book_id", "chapter_id", "src_id"]
+    # Nothing is more alike than a text that is contained; sentences with such a pair need no other.
+    whole = pairs.filter(F.contains("t_match_id", F.col("t_src_id")) | F.contains("t_src_id", F.col("t_match_id"))).withColumn("score", F.lit(100.0)).select(*key, "match_id", "score")
+    rest = pairs.join(whole.select(*key).distinct(), key, "left_anti")
+    scored = _scored(rest, lambda x, y: partial_score(x, y, cutoff), "t_src_id", "t_match_id").filter(F.col("score") >= cutoff).select(*key, "match_id", "score")
+    best = whole.unionByName(scored).groupBy(*key).agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
+    verdict = F.when(F.col("m").isNull(), "dropped").when(F.col("m.score") < AMBIGUOUS, "ambiguous").otherwise("kept")
+    return a.select("book_id", "chapter_id", "src_id").join(best, ["book_id", "chapter_id", "src_id"], "left").select("book_id", "chapter_id", "src_id", "m.match_id", "m.score", verdict.alias("verdict"))
+
+
+def without_source(source: DataFrame, rewrite: DataFrame, least_words: int = 15, cutoff: float = 60.0) -> DataFrame:
+    """(book_id, chapter_id, id): rewrites of more than ``least_words`` words that no source sentence of their chapter is like as a set of words.
+
+    Chapters without source sentences are left out. A pair at the cutoff shares at least one word, so all pairs that share
+    one of the rewrite's rarest words, all but a tenth of them, are scored.
+    """
+    long = rewrite.filter(F.size(F.split(F.trim("text"), r"\s+")) > least_words)
+    a, b, met = _candidates(long, source, 0.1)
+    pairs = _scored(written(_side_by_side(a, b, met), "pairs"), set_score, "t_src_id", "t_match_id").filter(F.col("score") >= cutoff)
+    chapters = source.select("book_id", "chapter_id").distinct()
+    lost = a.join(chapters, ["book_id", "chapter_id"], "left_semi").join(pairs.select("c", "src_id").distinct(), ["c", "src_id"], "left_anti")
+    return lost.select("book_id", "chapter_id", F.col("src_id").alias("id"))

@@ -209,12 +209,17 @@ def number_style(t: Tables) -> DataFrame:
 
 @check(4, "faithfulness", fixable=True)
 def faithfulness(t: Tables) -> DataFrame:
-    """Paragraphs of a chapter of which no segment of that chapter has at least three quarters of the words."""
-    source = _chapters(t).select("book_id", F.col("id").alias("chapter_id"), "chapter_uid", F.posexplode(F.split("text", "\n\n")).alias("place", "text")).filter(F.size(X.words(F.col("text"))) > 8)
-    source = source.select("book_id", "chapter_id", (F.col("chapter_uid") * 100000 + F.col("place")).alias("id"), "text")
-    rewrite = _segments(t).filter(F.col("text").isNotNull()).select("book_id", "chapter_id", F.col("seg_uid").alias("id"), "text")
-    kept = align.best_matches(source, rewrite, 0.75).select("book_id", "chapter_id", F.col("src_id").alias("id"))
-    return _rows(source.join(kept, ["book_id", "chapter_id", "id"], "left_anti"), "book_id", "chapter_id", "a paragraph is not in the narration")
+    """Source sentences of more than eight words that no sentence of their chapter's narration contains, numbers aside."""
+
+    def sentences(rows: DataFrame, uid: str) -> DataFrame:
+        each = rows.select("book_id", "chapter_id", uid, F.posexplode(X.aligned_sentences(F.col("text"))).alias("place", "text"))
+        # Sentences of one text have their places in the low bits.
+        return each.select("book_id", "chapter_id", (F.shiftleft(F.col(uid).cast("long"), 24) + F.col("place")).alias("id"), narration.numeric_blind(F.col("text")).alias("text"), F.size(X.words(F.col("text"))).alias("n"))
+
+    source = sentences(_chapters(t).withColumn("chapter_id", F.col("id")), "chapter_uid").filter("n > 8").drop("n")
+    spoken = _segments(t).filter(F.col("text").isNotNull() & F.col("type").isin("paragraph", "blockquote", "section_heading"))
+    gone = align.aligned(source, sentences(spoken, "seg_uid").drop("n")).filter("verdict = 'dropped'")
+    return _rows(gone, "book_id", "chapter_id", "a sentence is not in the narration")
 
 
 @check(5, "speaker_similarity", fixable=True)
@@ -383,6 +388,35 @@ def results(found: DataFrame, docs: DataFrame, dimensions: list[str]) -> DataFra
     return held.select("doc_id", "stage", "dimension", F.when(F.coalesce("n", F.lit(0)) > 0, "fail").otherwise("pass").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def statuses(tables: Tables, docs: DataFrame, dimensions: list[str] | None = None, skips: DataFrame | None = None, missing: frozenset[str] = frozenset()) -> DataFrame:
+    """(doc_id, stage, dimension, status, n, reason) of every book and check: pass, fail, skip or error; one check that breaks stops none of the others.
+
+    ``skips`` (doc_id, dimension) are not run for their books. ``tables`` raises LookupError for a table of a stage that has
+    not run, which skips the check; ``missing`` names dimensions whose requirements no book meets. Each check is counted on its own.
+    """
+    names = dimensions or list(CHECKS)
+    spark = docs.sparkSession
+    counts = spark.createDataFrame([], "doc_id string, dimension string, n long")
+    broken: dict[str, tuple[str, str]] = {name: ("skip", "requirements") for name in names if name in missing}
+    for name in names:
+        if name in broken:
+            continue
+        try:
+            own = CHECKS[name].run(tables).groupBy("doc_id").agg(F.count("*").alias("n"))
+            counts = counts.unionByName(written(own.select(F.col("doc_id").cast("string"), F.lit(name).alias("dimension"), "n"), "check"))
+        except LookupError as e:
+            broken[name] = ("skip", f"stage not run ({e.args[0] if e.args else ''})")
+        except Exception as e:  # noqa: BLE001
+            broken[name] = ("error", f"{type(e).__name__}: {str(e)[:200]}")
+    cells = F.explode(F.array(*[F.struct(F.lit(CHECKS[d].stage).alias("stage"), F.lit(d).alias("dimension"), F.lit(broken.get(d, (None, None))[0]).cast("string").alias("broken"), F.lit(broken.get(d, (None, None))[1]).cast("string").alias("reason")) for d in names]))
+    held = docs.select("doc_id").distinct().withColumn("c", cells).select("doc_id", "c.*").join(counts, ["doc_id", "dimension"], "left")
+    asked = skips.select("doc_id", "dimension").distinct().withColumn("skipped", F.lit(True)) if skips is not None else None
+    held = held.join(asked, ["doc_id", "dimension"], "left") if asked is not None else held.withColumn("skipped", F.lit(None).cast("boolean"))
+    status = F.when(F.col("skipped"), "skip").when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("n") > 0, "fail").otherwise("pass")
+    n = F.when(status.isin("pass", "fail"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return held.select("doc_id", "stage", "dimension", status.alias("status"), n.alias("n"), F.when(F.col("skipped"), "skip list").otherwise(F.col("reason")).alias("reason"))
+
+
 def regressions(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """(doc_id, dimension): checks that passed in the baseline and fail or break now."""
     was = baseline.filter("status = 'pass'").select("doc_id", "dimension")

@@ -93,9 +93,7 @@ def _only_terms(a: list[str], b: list[str], terms: set[str]) -> bool:
     """Whether two word lists differ only where the first has known terms, each put into at most twice as many words and one."""
     import difflib
 
-    if list(a) == list(b):
-        return True
-    if not len(a) or not len(b):
+    if a is None or b is None or not len(a) or not len(b):
         return False
     for kind, i, j, k, m in difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes():
         if kind != "equal" and not (kind == "replace" and terms.issuperset(a[i:j]) and m - k <= 2 * (j - i) + 1):
@@ -109,10 +107,12 @@ def _tolerated(a: pd.Series, b: pd.Series, terms: pd.Series) -> pd.Series:
 
 
 def tolerable(pairs: DataFrame, source: str, heard: str, terms: str) -> DataFrame:
-    """``pairs`` with ``tolerable``: whether what was heard differs from its source only in known terms (an array column). Equal ones never leave the JVM."""
+    """``pairs`` with ``tolerable``: whether what was heard differs from its source only in known terms (an array column). Equal ones never leave the JVM; a null text is not tolerable."""
     own = pairs.withColumns({"_a": tolerance_tokens(F.col(source)), "_b": tolerance_tokens(F.col(heard))})
+    # A Python function cannot take what higher-order functions make in the same step, so the words are written first.
+    own = written(own, "tokens")
     same = own.filter(F.col("_a") == F.col("_b")).withColumn("tolerable", F.lit(True))
-    rest = own.filter(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).withColumn("tolerable", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), _tolerated("_a", "_b", terms)).otherwise(F.lit(False)))
+    rest = own.filter(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).withColumn("tolerable", _tolerated("_a", "_b", terms))
     return same.unionByName(rest).drop("_a", "_b")
 
 

@@ -61,7 +61,7 @@ CAPTION = r"^\s*(?i:figure|fig\.|table|map|plate|illustration|photo)\s+[0-9]+[.:
 
 @query(f"WITH {B}, {L}, {T}, {TEMPLATES} SELECT book_id, zone, t, pages FROM m")
 def margin_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return S.templates(blocks_of(spark, sf))
+    return S.templates(S.blocks_of(table(spark, sf, "blocks"), table(spark, sf, "pages"), once=False))
 
 
 @query(f"WITH {B}, {SIZE} SELECT * FROM s")
@@ -115,14 +115,14 @@ def reading_order(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def running_headers(spark: SparkSession, sf: str) -> DataFrame:
     flat = lambda line: F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
-    own = blocks_of(spark, sf)
+    # Pages are counted once each, so copies of blocks change nothing and no text is shuffled to remove them.
+    own = table(spark, sf, "blocks").select("book_id", "page", "text")
     lines = S.block_lines(own).select("book_id", "page", flat(F.col("line")).alias("line"))
     lines = lines.filter((F.length("line") >= 4) & ~F.col("line").rlike("^(?:[0-9 ]+|[ivxlc]+)$"))
     heads = lines.groupBy("book_id", "line").agg(F.count_distinct("page").alias("page_count")).filter("page_count >= 3")
-    chapters = table(spark, sf, "chapters").dropDuplicates(["chapter_uid"])
-    body = chapters.select("book_id", F.explode(F.split("text", "\n")).alias("line")).select("book_id", flat(F.col("line")).alias("line"))
-    # Only lines that recur are counted in the body: the large side is cut by the small one before it is grouped.
-    body = body.join(heads.select("book_id", "line"), ["book_id", "line"], "left_semi").groupBy("book_id", "line").agg(F.count("*").alias("body_count"))
+    body = table(spark, sf, "chapters").select("book_id", "chapter_uid", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("book_id", "chapter_uid", "k", flat(F.col("line")).alias("line"))
+    # Only lines that recur are counted in the body: the large side is cut by the small one before copies go and it is grouped.
+    body = body.join(heads.select("book_id", "line"), ["book_id", "line"], "left_semi").distinct().groupBy("book_id", "line").agg(F.count("*").alias("body_count"))
     pages = own.groupBy("book_id").agg(F.count_distinct("page").alias("n"))
     out = heads.join(pages, "book_id").join(body, ["book_id", "line"], "left")
     return out.select("book_id", "line", "page_count", F.coalesce("body_count", F.lit(0)).alias("body_count"), (F.col("page_count") >= F.greatest(F.lit(2), F.floor(F.col("n") * 0.2))).alias("fifth_of_pages"))

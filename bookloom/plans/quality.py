@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookloom.functions import text as X
 from bookloom.operators import align
 from bookloom.operators import checks as K
 from bookloom.operators import incremental as I
@@ -208,3 +209,44 @@ def removed_text_absent(spark: SparkSession, sf: str) -> DataFrame:
     gone = table(spark, sf, "blocks").dropDuplicates(["block_uid"]).filter("size < 9.9").select(F.col("book_id").alias("doc_id"), F.col("block_uid").cast("string").alias("unit_id"), "text")
     said = segments_of(spark, sf).filter("text is not null").select(F.col("book_id").alias("doc_id"), "seg_ord", "text")
     return K.removed_text_absent(gone, said, order="seg_ord").select("doc_id", "unit_id")
+
+
+@query()
+def sentence_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of the sentences of chapters against those of their narration: kept, ambiguous or dropped."""
+    source, rewrite = _aligned_sides(spark, sf)
+    return align.aligned(source, rewrite)
+
+
+@query()
+def rewrites_without_source(spark: SparkSession, sf: str) -> DataFrame:
+    source, rewrite = _aligned_sides(spark, sf)
+    return align.without_source(source, rewrite)
+
+
+def _aligned_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    def sentences(rows: DataFrame, uid: str) -> DataFrame:
+        each = rows.select("book_id", "chapter_id", uid, F.posexplode(X.aligned_sentences(F.col("text"))).alias("place", "text"))
+        return each.select("book_id", "chapter_id", (F.shiftleft(F.col(uid).cast("long"), 24) + F.col("place")).alias("id"), N.numeric_blind(F.col("text")).alias("text"))
+
+    chapters = table(spark, sf, "chapters").dropDuplicates(["chapter_uid"]).filter("text is not null and not coalesce(front_matter, false)")
+    segments = segments_of(spark, sf).filter("text is not null and type in ('paragraph', 'blockquote', 'section_heading')")
+    return sentences(chapters.withColumn("chapter_id", F.col("id")), "chapter_uid"), sentences(segments, "seg_uid")
+
+
+@query(f"""
+    WITH {V}, k AS (SELECT DISTINCT doc_id FROM r WHERE dimension = 'no_toc_leakage' AND doc_id LIKE '%a%')
+    SELECT r.doc_id, stage, dimension, CASE WHEN dimension = 'no_toc_leakage' AND k.doc_id IS NOT NULL THEN 'skip' ELSE status END AS status, CASE WHEN dimension = 'no_toc_leakage' AND k.doc_id IS NOT NULL THEN 0 ELSE n END AS n FROM r LEFT JOIN k ON k.doc_id = r.doc_id
+    UNION ALL SELECT doc_id, 6, 'words_per_minute', 'skip', 0 FROM r WHERE dimension = 'no_toc_leakage'
+""")
+def check_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """Statuses with a skip list and a stage that has not run."""
+
+    def tables(name: str) -> DataFrame:
+        if name == "takes":
+            raise LookupError(name)
+        return table(spark, sf, name)
+
+    docs = _docs(spark, sf)
+    skips = docs.filter("doc_id like '%a%'").select("doc_id", F.lit("no_toc_leakage").alias("dimension"))
+    return K.statuses(tables, docs, [*SOME, "words_per_minute"], skips).select("doc_id", "stage", "dimension", "status", "n")

@@ -28,20 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, kept in the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Tables that this process has written and not cleaned away.
+_tables: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as parquet to the shared folder and reads it back: keeps column pruning, unlike :func:`cut`."""
+    """Writes ``df`` as parquet to the shared folder and reads it back: no lineage, and columns can still be pruned.
+
+    The table is read when the result is, so it stays until :func:`clean`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written; for after all results are read. Gives how many there were."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_tables)
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def checked_broadcast_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collects a table that must stay below ``limit`` rows; raises beyond, so nothing unbounded reaches the driver."""
     rows = df.limit(limit + 1).collect()

@@ -6,11 +6,11 @@ from dataclasses import dataclass, field
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookloom.functions.text import lines, scrubbed, trimmed, upper_median
+from bookloom.operators.ordered import with_running
 
 
 def word_list(spark: SparkSession, *paths: str) -> DataFrame:
@@ -88,8 +88,8 @@ def repaired_json(text):
 
 def attempt_events(log: DataFrame) -> DataFrame:
     """(line_no, attempt, line): log lines with the attempt they belong to, counted by its markers; continuation lines go with theirs."""
-    mark = F.col("line").rlike("^attempt [0-9]+")
-    return log.withColumn("attempt", F.sum(F.when(mark, 1).otherwise(0)).over(W.orderBy("line_no"))).select("line_no", "attempt", "line")
+    mark = F.when(F.col("line").rlike("^attempt [0-9]+"), 1).otherwise(0)
+    return with_running(log.withColumn("_log", F.lit(0)), ["_log"], "line_no", mark, "attempt").select("line_no", "attempt", "line")
 
 
 @dataclass(frozen=True)

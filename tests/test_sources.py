@@ -85,3 +85,31 @@ def test_paged_text(spark, tmp_path):
     paged.register(spark)
     rows = spark.read.format("paged_text").load(str(tmp_path)).orderBy("book_id", "number").collect()
     assert [(r.book_id, r.number, r.text) for r in rows] == [("b", 0, ""), ("my_book_2", 0, "one"), ("my_book_2", 1, "two"), ("my_book_2", 2, ""), ("my_book_2", 3, "three")]
+
+
+def test_corpus(spark):
+    from bookloom.sources.corpus import Corpus, resolved
+
+    text = """
+documents:
+  - id: a
+    pdf: a.pdf
+    assertions:
+      must_contain: ["One", {id: x, text: Two, match: line}]
+      deletion_allowlist: [see page]
+    skip_checks: [loudness]
+    expect: {chapters: 3}
+  - id: b
+    pdf: b.pdf
+    kind: scan
+"""
+    own = Corpus(spark, text)
+    assert sorted(map(tuple, own.documents().collect())) == [("a", "book", "en", "smoke"), ("b", "scan", "en", "smoke")]
+    assert sorted(map(tuple, own.assertions().collect())) == [("a", "must_contain", "must_contain_0", "One", "substring"), ("a", "must_contain", "x", "Two", "line")]
+    assert own.allow("b", "p" * 99) and not own.allow("z", "p") and own.expect("b", "chapters", 2)
+    again = Corpus(spark, own.text())
+    assert sorted(map(tuple, again.patterns().collect())) == [("a", "see page"), ("b", "p" * 80)]
+    assert sorted(map(tuple, again.expectations().collect())) == [("a", "chapters", "3"), ("b", "chapters", "2")]
+    assert [tuple(r) for r in again.skips().collect()] == [("a", "loudness")] and Corpus(spark, "").documents().count() == 0
+    queue = spark.createDataFrame([("a", "x", "1"), ("a", "x", None), ("b", "x", "1")], "book string, dimension string, unit_id string")
+    assert sorted((r.book, r.unit_id) for r in resolved(queue, "a", "x", "1").collect()) == [("a", None), ("b", "1")]
