@@ -9,11 +9,11 @@ over all transcripts, each smoothed towards the share of its order and time; a
 transcript's score is the log-likelihood ratio of the two, divided by its
 length, of the order for which it is highest. That "the" recurs is usual in
 trusted text and speaks for nothing, that a rare word or a whole phrase does is
-not. The score alone does not give a share, so every transcript above a fixed
-threshold is measured exactly: words that belong to a second or later saying of
-a stretch, with one misheard word or a filler between, are counted, and a third
-of all words decides. The scores themselves come with the share of every
-transcript.
+not. The score depends on what else is in the two tables and does not give a
+share, so it decides nothing: every transcript is measured exactly. Words that
+belong to a second or later saying of a stretch, with one misheard word or a
+filler between, are counted, and a third of all words decides. The scores come
+with the share of every transcript.
 
 Words are cut once and kept as 64-bit hashes in a written table; counting and
 scoring are array operations over whole batches.
@@ -39,12 +39,10 @@ from bookloom.session import checked_broadcast_rows, written
 
 #: Most words of an n-gram, the times it may be said that are told apart, and hash buckets of each; bounds what is sent to the workers.
 ORDERS, TIMES, BUCKETS = 4, 3, 4096
-#: Score a transcript needs to be measured, and the share that is found.
-SCORE, SHARE = 0.25, 1 / 3
+#: The share that is found.
+SHARE = 1 / 3
 #: Words (characters, in scripts without spaces) that make a stretch.
 STRETCH, STRETCH_CHARS = 3, 5
-#: Rows of trusted text that are read, the first by their hash; the sample table is a fixed one.
-TRUSTED = 5_000
 
 _unspaced = "぀-ヿ㐀-鿿฀-๿"
 _token = re.compile(f"[{_unspaced}]|(?:[^\\W_{_unspaced}]|[̀-ͯऀ-ःऺ-ॏॢॣً-ٟ])+(?:[’'.,-][^\\W_{_unspaced}]+)*")
@@ -129,6 +127,24 @@ def share(words: list, unspaced: bool) -> float:
     return sum(covered) / size
 
 
+def recurring(seen: list[tuple[np.ndarray, np.ndarray]], words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each transcript of a batch has a stretch said twice or one or two words said again at once; without, its share is 0.
+
+    ``seen`` are the batch's events. N-grams meet as hashes, which can only add transcripts.
+    """
+    size = len(starts) - 1
+    out = np.zeros(size, bool)
+    buckets, of = seen[min(STRETCH, STRETCH_CHARS) - 1]
+    out[of[buckets // BUCKETS % TIMES > 0]] = True
+    own = np.repeat(np.arange(size), np.diff(starts))
+    for period in (1, 2):
+        # Whether a word is that of ``period`` words before, in one transcript.
+        same = (words[period:] == words[:-period]) & (own[period:] == own[:-period])
+        run = same if period == 1 else same[1:] & same[:-1] & (own[3:] == own[:-3])
+        out[own[2 * period - 1 :][run]] = True
+    return out
+
+
 class Ratio:
     """Per bucket, the log of its probability in raw text over that in trusted text."""
 
@@ -144,11 +160,10 @@ class Ratio:
         within[:, 0, :] = 1.0
         return (within * (times / times.sum(axis=1, keepdims=True))[:, :, None]).reshape(-1)
 
-    def scores(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The score of each transcript of a batch."""
-        n = len(starts) - 1
+    def scores(self, seen: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        """The score of each of the ``n`` transcripts of a batch, from its events."""
         best = np.full(n, -np.inf)
-        for buckets, of in events(words, starts):
+        for buckets, of in seen:
             sizes = np.bincount(of, minlength=n)
             sums = np.bincount(of, weights=self.weight[buckets], minlength=n)
             best = np.maximum(best, np.where(sizes > 0, sums / np.maximum(1, sizes), -np.inf))
@@ -206,11 +221,11 @@ def _counted(said: DataFrame) -> np.ndarray:
     return out
 
 
-def scored(transcripts: DataFrame, trusted: DataFrame, key: str = "review_id", text: str = "transcript", every: bool = True) -> DataFrame:
-    """(key, score, share) of every transcript, or with ``every`` off of those above the threshold."""
-    sample = trusted.select("text").filter(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), "text").limit(TRUSTED)
+def _measured(transcripts: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, score, share) of every transcript, not rounded; both multinomials are counted over all of their rows."""
     said = written(cut_into_words(transcripts, key, text), "said")
-    shared = transcripts.sparkSession.sparkContext.broadcast(Ratio(_counted(cut_into_words(sample.withColumn("_key", F.lit(0)), "_key", "text")), _counted(said)))
+    usual = _counted(cut_into_words(trusted.select(F.lit(0).alias("_key"), "text"), "_key", "text"))
+    shared = transcripts.sparkSession.sparkContext.broadcast(Ratio(usual, _counted(said)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
@@ -218,16 +233,23 @@ def scored(transcripts: DataFrame, trusted: DataFrame, key: str = "review_id", t
             if not batch.num_rows:
                 continue
             words, starts = _flat(batch.column(1))
-            scores = ratio.scores(words, starts)
-            at = np.arange(len(scores)) if every else np.flatnonzero(scores > SCORE)
+            seen = events(words, starts)
+            scores = ratio.scores(seen, len(starts) - 1)
             kinds = batch.column(2).to_pylist()
-            shares = [round(share(words[starts[k] : starts[k + 1]].tolist(), kinds[k]), 6) for k in at]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.round(scores[at], 6), pa.float64()), pa.array(shares, pa.float64())], names=[key, "score", "share"])
+            shares = np.zeros(len(scores))
+            for k in np.flatnonzero(recurring(seen, words, starts)):
+                shares[k] = share(words[starts[k] : starts[k + 1]].tolist(), kinds[k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=[key, "score", "share"])
 
     kind = transcripts.schema[key].dataType.simpleString()
     return said.mapInArrow(run, f"{key} {kind}, score double, share double")
 
 
+def scored(transcripts: DataFrame, trusted: DataFrame, key: str = "review_id", text: str = "transcript") -> DataFrame:
+    """(key, score, share) of every transcript."""
+    return _measured(transcripts, trusted, key, text).select(key, F.round("score", 6).alias("score"), F.round("share", 6).alias("share"))
+
+
 def found(transcripts: DataFrame, trusted: DataFrame) -> DataFrame:
     """Distinct review_id of the transcripts of which at least a third repeats."""
-    return scored(transcripts, trusted, every=False).filter(F.col("share") >= SHARE).select("review_id").distinct()
+    return _measured(transcripts, trusted, "review_id", "transcript").filter(F.col("share") >= SHARE).select("review_id").distinct()

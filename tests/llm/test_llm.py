@@ -338,6 +338,46 @@ def test_events_against_plain_counts():
             assert times[of == k].tolist() == want
 
 
+def test_loops_found_whatever_else_is_there(spark):
+    """A loop among many short transcripts, without trusted text, and a share of exactly a third."""
+    rows = [(k, f"take {k} says what it had to say") for k in range(3000)]
+    rows += [(9000, "we saw the old mill we saw the old mill we saw the old mill"), (9001, "ash oak elm fir yew bay ash oak elm")]
+    df = spark.createDataFrame(rows, "review_id long, transcript string")
+    trusted = spark.createDataFrame([("the road went on and on and the miller went on and on and the river ran on and on",)] * 50, "text string")
+    for held in (trusted, trusted.limit(0)):
+        assert {r.review_id for r in repetition.found(df, held).collect()} == {9000, 9001}
+
+
+def test_scores_count_all_trusted_text(spark):
+    import numpy as np
+
+    texts = [f"passage {k} of the mill " * (1 + k % 3) for k in range(6000)]
+    said = ["we saw the old mill we saw the old mill", "the river and the road"]
+
+    def seen(many):
+        cut = [[repetition.xxhash.xxh64_intdigest(w.encode()) - (1 << 63) for w in repetition.tokens(t)[0]] for t in many]
+        return repetition.events(np.array([w for t in cut for w in t], np.int64), np.cumsum([0, *map(len, cut)]))
+
+    def counts(many):
+        return sum(np.bincount(buckets, minlength=repetition.ORDERS * repetition.TIMES * repetition.BUCKETS) for buckets, _ in seen(many))
+
+    want = repetition.Ratio(counts(texts), counts(said)).scores(seen(said), len(said))
+    trusted = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    got = repetition.scored(spark.createDataFrame(list(enumerate(said)), "review_id long, transcript string"), trusted).collect()
+    assert {r.review_id: r.score for r in got} == pytest.approx(dict(enumerate(want)), abs=1e-6)
+
+
+def test_shares_without_recurring_stretches():
+    import numpy as np
+
+    random.seed(5)
+    texts = [[random.choice(range(1, random.choice((3, 8, 30)))) for _ in range(random.randint(1, 14))] for _ in range(600)]
+    words, starts = np.array([w for t in texts for w in t], np.int64), np.cumsum([0, *map(len, texts)])
+    marked = repetition.recurring(repetition.events(words, starts), words, starts)
+    assert 50 < marked.sum() < 550
+    assert all(m or repetition.share(t, unspaced) == 0 for t, m in zip(texts, marked) for unspaced in (False, True))
+
+
 # Problem 7
 
 
