@@ -20,6 +20,8 @@ from bookloom.session import written
 
 #: Share of a window's characters that its rewrite has at least, and the most of a segment.
 SHORTEST, LONGEST = 0.85, 900
+#: Digits and number words that a tolerant comparison leaves out, in any case; letters and numbers of any script go on a word, marks do not.
+BLINDED = r"(?iu)[0-9]+|(?<![\p{L}\p{N}_])(?:" + "|".join(N.NUMBER_WORDS) + r")(?![\p{L}\p{N}_])"
 
 
 def map_labels(segments: DataFrame, words: DataFrame, short: int = 60) -> DataFrame:
@@ -85,7 +87,7 @@ def window_problems(source: Column, texts: Column) -> Column:
 
 def tolerance_tokens(text: Column) -> Column:
     """Words as a tolerant comparison sees them: no numbers, marks or "and", hyphens as spaces."""
-    plain = F.replace(F.lower(N.numeric_blind(text)), F.lit("-"), F.lit(" "))
+    plain = F.replace(F.lower(F.regexp_replace(text, BLINDED, " ")), F.lit("-"), F.lit(" "))
     return F.filter(F.regexp_extract_all(F.regexp_replace(plain, "[’']", ""), F.lit("[a-z]+"), F.lit(0)), lambda w: w != "and")
 
 

@@ -52,6 +52,19 @@ def test_tolerance(spark):
     assert len(rows) == len(cases) and all(r.tolerable == r.want for r in rows), [(r.a, r.b) for r in rows if r.tolerable != r.want]
 
 
+def test_tolerance_words_at_letters_and_marks(spark):
+    """Number words in any case; a letter of any script beside one makes it another word, a combining mark does not."""
+    cases = {
+        "A thou\u017fand men and TWENTY-five": "a men",
+        "ten\u0301 x, e\u0301ten": "x e",
+        "Tarulve\u0455ten, \u00e9ten": "tarulve ten ten",
+        "Ten's 12ab ten_x": "s ab ten x",
+    }
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    got = df.select("want", F.array_join(script.tolerance_tokens(F.col("text")), " ").alias("words")).collect()
+    assert [r.words for r in got] == [r.want for r in got]
+
+
 def test_window_problems(spark):
     df = spark.createDataFrame([(1, "x" * 100, ["y" * 90]), (2, "x" * 100, ["y" * 50, "in 1999"]), (3, "x", ["z" * 901])], "k int, s string, t array<string>")
     got = {r.k: r.p for r in df.select("k", script.window_problems(F.col("s"), F.col("t")).alias("p")).collect()}
