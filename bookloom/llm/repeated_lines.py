@@ -58,6 +58,7 @@ _roman = re.compile(r"(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _readable = re.compile("[0-9@!]")
 _ascii_letters = bytes(ord(chr(c).translate(FOLD)) for c in range(128)) + bytes(128)
 _ascii_others = bytes(c for c in range(128) if not chr(c).isalpha())
+_ascii_others_in_line = _ascii_others.replace(b"\n", b"")
 _one_script = {**FOLD, **{k: ord(chr(v).translate(FOLD)) if isinstance(v, int) else v.translate(FOLD) for k, v in ONE_SCRIPT.items()}}
 _roman_digits = frozenset("ivxlc")
 #: A number in roman digits at the start of a line, or of the line read backwards.
@@ -110,6 +111,24 @@ def identifier(line: str, hashed: bool = True) -> str | None:
     return text if len(text) <= LONG or not hashed or "�" in text else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def named(lines: list[str], name: str) -> list[int]:
+    """Places of the lines whose identifier is ``name``.
+
+    The identifier of a line of ASCII in which nothing can be a misread letter is
+    a part of its folded letters, unless it is hashed; so such lines are folded
+    together, and only those that hold the name are looked at.
+    """
+    if name.startswith("#"):
+        return [k for k, line in enumerate(lines) if identifier(line) == name]
+    plain = [k for k, line in enumerate(lines) if line.isascii() and not _readable.search(line)]
+    folded = "\n".join([lines[k] for k in plain]).lower().encode().translate(_ascii_letters, _ascii_others_in_line).replace(b"rn", b"m")
+    sought = name.encode("utf-8", "surrogatepass")
+    asked = set(range(len(lines))).difference(plain)
+    if sought in folded:
+        asked.update(k for k, letters in zip(plain, folded.split(b"\n")) if sought in letters)
+    return [k for k in sorted(asked) if identifier(lines[k]) == name]
+
+
 def identified(texts: DataFrame) -> DataFrame:
     """Rows (src, grp, uid, unit, key, lines) per distinct identifier of a text; lines are the places it stands in.
 

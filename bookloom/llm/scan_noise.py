@@ -29,22 +29,26 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import product
+from itertools import count, product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.lookalike import consistent
-from bookloom.llm.repeated_lines import identifier
+from bookloom.llm.repeated_lines import identifier, named
 from bookloom.session import checked_broadcast_rows, written
 
 #: Words, and character n-grams of each length, of at least this share of all are known to every worker; at most 1/share of them.
 SHARE, GRAM_SHARE = 2e-6, 2e-6
 #: Pairs of words of at least this share of all are known.
 PAIR_SHARE = 4e-6
+#: Words that are counted together before the counts are passed on.
+AT_ONCE = 4_000_000
 #: Longest character n-gram, and the weight of the shorter ones where a longer one is rare.
 LONGEST, BACKOFF = 5, 2.0
 #: Characters that are told apart where nothing is known of them.
@@ -77,6 +81,9 @@ UNKNOWN = 0.1
 INSERTED = "°^_|~'"
 
 _word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ]+(?:-[A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ]+)*|[؀-ًؿ-ٟٮ-ۓ]+|[ऀ-ॣॱ-ॿ]+")
+#: The same for texts without Arabic and Devanagari letters, which are quicker to read with one kind of word.
+_word_of_two = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ]+(?:-[A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ]+)*")
+_of_others = re.compile("[؀-ۿऀ-ॿ]")
 _letters = "A-Za-zÀ-ÖØ-öø-ɏЀ-ԯؠ-ًؿ-ٟٮ-ۓऀ-ॣॱ-ॿ"
 _only_letters = re.compile(f"[{_letters}]+")
 _any_letter = re.compile(f"[{_letters}]")
@@ -94,6 +101,7 @@ _numbered = re.compile(r"^\W*(?:\d{1,4}|[ivxl]{1,6})\s+\S|\S\s+\W*(?:\d{1,4}|[iv
 _mixed = re.compile(r"[^\W\d_]\d|\d[^\W\d_]")
 _sign = re.compile(r"[□¤§¿¾½¼µ¶º¹²³¸´¯¢£¥¦¨ª±×÷|~^_;:!�°'{}<>=+*#/\\·]")
 _decoration = re.compile(r"\s+[.|*·–—-]+\s*$")
+_letter_runs = re.compile(r"[^\W\d_]+")
 
 
 _spaced = re.compile(r"(?<=[0-9ivxlcIO])[ \t]+(?=[0-9ivxlcIO])")
@@ -119,18 +127,38 @@ def is_number(line: str) -> bool:
     return bool(digits) or bool(own and _roman.fullmatch(own[1]))
 
 
+def _tally(numbers: dict[str, int], row: array) -> tuple[list[str], np.ndarray]:
+    """Words and pairs with their counts, from the words' numbers in their order; -1 stands between texts."""
+    places = np.frombuffer(row, np.int64)
+    left, right = places[:-1], places[1:]
+    both, n = np.unique((left << 32 | right)[(left >= 0) & (right >= 0)], return_counts=True)
+    words = list(numbers)
+    pairs = [f"{words[a]} {words[b]}" for a, b in zip((both >> 32).tolist(), (both & 0xFFFFFFFF).tolist())]
+    return words + pairs, np.concatenate([np.bincount(places[places >= 0]), n])
+
+
+def counted(texts: list[str], at_once: int = AT_ONCE) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words, and pairs of neighbours with a space between, with their counts; several times if there are more than ``at_once`` words."""
+    numbers: defaultdict[str, int] = defaultdict(count().__next__)
+    row = array("q")
+    for text in texts:
+        text = text.lower()
+        row.extend(map(numbers.__getitem__, (_word if _of_others.search(text) else _word_of_two).findall(text)))
+        row.append(-1)
+        if numbers and len(row) > at_once:
+            yield _tally(numbers, row)
+            numbers, row = defaultdict(count().__next__), array("q")
+    if numbers:
+        yield _tally(numbers, row)
+
+
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) of words, and of pairs of neighbours with a space between, over all texts, counted within each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: Counter[str] = Counter()
-            for value in batch.column(0).to_pylist():
-                found = _word.findall(value.lower())
-                own.update(found)
-                own.update(map(" ".join, zip(found, found[1:])))
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
+            for words, n in counted(batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
     return texts.select(text).filter(F.col(text).isNotNull()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -153,6 +181,7 @@ class Model:
         self.single = {c: [(meant, p) for (printed, meant), p in self.parts.items() if printed == c] for c, _ in self.parts if len(c) == 1}
         self.double = [(printed, meant, p) for (printed, meant), p in self.parts.items() if len(printed) > 1]
         self.memo: dict[str, list[tuple[str, float]]] = {}
+        self.alone: set[str] = set()
         self.logs: dict[str, float] = {}
         self.letters: dict[int, str] | None = None
         self.by_length: dict[int, list[str]] | None = None
@@ -236,6 +265,22 @@ class Model:
             known = self.memo[word] = self._of_letters(word) if _only_letters.fullmatch(word) else self._of_signs(word)
         return known
 
+    def undoubted(self, printed: list[str]) -> bool:
+        """Whether each of the printed words is its own only candidate or not asked for, so that no reading changes any; words that are so are remembered."""
+        if self.alone.issuperset(printed):
+            return True
+        for word in printed:
+            if word not in self.alone:
+                core = word.strip("'!_")
+                if asked_as(core, self) in ("letters", "signs"):
+                    lower = core.lower()
+                    if len(lower) > 2 and len(self.candidates(lower)) > 1:
+                        return False
+                if len(self.alone) > 200_000:
+                    self.alone.clear()
+                self.alone.add(word)
+        return True
+
     def _of_letters(self, word: str) -> list[tuple[str, float]]:
         seen = self.words.get(word, 0)
         own = math.log(seen / self.total) if seen else None
@@ -411,19 +456,23 @@ def is_strange(line: str) -> bool:
 
 def _title_like(line: str, width: float) -> bool:
     """A heading by its form: no end of a sentence, shorter than the lines of text, capitals, spaced letters or a middle dot."""
+    words = _letter_runs.findall(line)
+    if len(words) < 2:
+        return False
+    spaced = list(map(len, words)).count(1) * 2 > len(words)
+    small = {"a", "an", "the", "of", "at", "and", "or", "in", "on", "for", "to"}
+    capitals = words[0][0].isupper() and all(w[0].isupper() or w in small for w in words) and sum(w[0].isupper() for w in words) >= 2
+    # What is cut off below holds no letters, so most lines are told by their words.
+    if not (capitals or spaced or "·" in line or "・" in line or line.isupper()):
+        return False
     bare = _decoration.sub("", line.strip())
     if not bare or _end.search(bare) or bare.endswith(("-", ",", "¬")) or is_strange(bare) or "\t" in bare or "..." in bare:
         return False
-    words = re.findall(r"[^\W\d_]+", bare)
-    if not words or len(words) < 2 or _mixed.search(bare):
+    if _mixed.search(bare):
         return False
-    spaced = sum(len(w) == 1 for w in words) * 2 > len(words)
     if not spaced and len(bare) > width * 0.95:
         return False
-    if spaced or "·" in bare or "・" in bare or (bare.isupper() and len(bare) > 4):
-        return True
-    small = {"a", "an", "the", "of", "at", "and", "or", "in", "on", "for", "to"}
-    return words[0][0].isupper() and all(w[0].isupper() or w in small for w in words) and sum(w[0].isupper() for w in words) >= 2
+    return capitals or spaced or "·" in bare or "・" in bare or (bare.isupper() and len(bare) > 4)
 
 
 def noise(text: str, title: str | None, own: Model) -> list[tuple[int, str]]:
@@ -438,30 +487,36 @@ def noise(text: str, title: str | None, own: Model) -> list[tuple[int, str]]:
     shown = [k for k, line in enumerate(lines) if line.strip()]
     lengths = sorted(len(lines[k].rstrip()) for k in shown)
     width = lengths[int(len(lengths) * 0.8)] if lengths else 0
-    numbers = {k for k in shown if is_number(lines[k]) or is_number(raw[k])}
+    numbers = {k for k in shown if is_number(lines[k]) or lines is not raw and is_number(raw[k])}
     name = identifier(title) if title else None
     heads: set[int] = set()
-    keys = {k: identifier(lines[k]) for k in shown if k not in numbers and len(lines[k]) < 1.6 * width + 20}
-    again = Counter(keys.values())
+    asked = [k for k in shown if k not in numbers and len(lines[k]) < 1.6 * width + 20]
+    again: Counter[str | None] | None = None
+    titles = {k for k in asked if _title_like(lines[k], width)}
+    named_so = {asked[j] for j in named([lines[k] for k in asked], name)} if name else set()
     # The text has begun once a line has gone on in the next; a title above that is no running head.
-    begun = next((at + 1 for at, (j, k) in enumerate(zip(shown, shown[1:])) if not _end.search(lines[j]) and lines[k].lstrip()[:1].islower() and len(lines[j].rstrip()) > 0.6 * width), len(shown))
-    titles = {k for k in shown if k not in numbers and k in keys and _title_like(lines[k], width)}
-    for at, k in enumerate(shown):
-        if at == 0 or at == len(shown) - 1 or k in numbers or k not in keys:
+    begun = next((at + 1 for at, (j, k) in enumerate(zip(shown, shown[1:])) if lines[k].lstrip()[:1].islower() and len(lines[j].rstrip()) > 0.6 * width and not _end.search(lines[j])), len(shown)) if titles or named_so else 0
+    for at, k in enumerate(shown) if titles or named_so else ():
+        if at == 0 or at == len(shown) - 1 or k not in titles and k not in named_so:
             continue
-        line, key = lines[k], keys[k]
+        line = lines[k]
         before = next((lines[j] for j in reversed(shown[:at]) if j not in numbers), "")
         after = next((lines[j] for j in shown[at + 1 :] if j not in numbers), "")
         cut = bool(before) and not _end.search(before)
         goes_on = after.lstrip()[:1].islower()
         near = shown[at - 1] in numbers or shown[at + 1] in numbers
-        named = bool(key) and key == name
-        if named and (at > begun or near or cut and at > 3 or goes_on):
+        if k in named_so:
+            if at > begun or near or cut and at > 3 or goes_on:
+                heads.add(k)
+            continue
+        numbered = bool(_numbered.search(line))
+        listed = shown[at - 1] in titles and shown[at + 1] in titles
+        if cut and goes_on or at > begun and (near or numbered or not listed) or at > 3 and near and (cut or goes_on):
             heads.add(k)
-        elif k in titles and not named:
-            numbered = bool(_numbered.search(line))
-            listed = shown[at - 1] in titles and shown[at + 1] in titles
-            if cut and goes_on or at > begun and (near or numbered or again[key] > 1 or not listed) or at > 3 and near and (cut or goes_on):
+        elif at > begun:
+            if again is None:
+                again = Counter(identifier(lines[j]) for j in asked)
+            if again[identifier(line)] > 1:
                 heads.add(k)
     for k in heads:
         out.append((k, "running_head"))
@@ -502,32 +557,33 @@ def contraction(word: str, own: Model) -> bool:
     return base in own.words or word.lower().replace("'", "") not in own.words
 
 
+def asked_as(word: str, own: Model) -> str:
+    """What a printed word counts as: ``letters`` or ``signs`` are asked for their reading, ``odd`` has too many signs, the others are left."""
+    if _only_letters.fullmatch(word):
+        return "letters"
+    if not word or not _odd.search(word) and "!" not in word or _ordinal.fullmatch(word) or contraction(word, own):
+        return ""
+    letters = len(_any_letter.findall(word))
+    strange = len(word) - letters
+    return "odd" if strange > 2 or letters < 2 or letters < 2 * strange else "signs"
+
+
 def misread(part: str, own: Model, whole: str = "", line: str = "") -> bool:
     """Whether a line of text has a word whose characters were misrecognised; ``part`` is it without halves of words."""
     words = _printed.findall(part)
-    if not words:
+    if own.undoubted(words):
         return False
     odd, clean, known = 0, 0, 0
     asked = []
     for word in words:
         word = word.strip("'!_")
-        if not word:
-            continue
-        if _only_letters.fullmatch(word):
+        kind = asked_as(word, own)
+        if kind == "letters":
             clean += 1
             known += word.lower() in own.words
+        if kind in ("letters", "signs"):
             asked.append(word)
-            continue
-        if not _odd.search(word) and "!" not in word:
-            continue
-        if _ordinal.fullmatch(word) or contraction(word, own):
-            continue
-        letters = len(_any_letter.findall(word))
-        strange = len(word) - letters
-        if strange > 2 or letters < 2 or (letters < 2 * strange):
-            odd += 1
-            continue
-        asked.append(word)
+        odd += kind == "odd"
     meant = own.readings(asked) if asked else []
     hits = sum(m is not None for m in meant)
     odd += sum(m is None and not _only_letters.fullmatch(word) for word, m in zip(asked, meant))

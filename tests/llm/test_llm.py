@@ -1,6 +1,7 @@
 """Operators of the training-data problems: against brute force, exact round trips and small cases."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -455,6 +456,48 @@ def test_planted_misreadings(spark):
     assert len(noisy) > 60 and sum(found) >= 0.93 * len(found), [x[2] for x, f in zip(noisy, found) if not f]
 
 
+def test_only_doubtful_lines_are_weighed(monkeypatch):
+    """A line whose words have one reading each is not weighed word by word; one with a doubtful word is, as before."""
+    words = {"the": 9000, "house": 5000, "was": 4000, "lost": 900}
+    own = scan_noise.Model(30_000, words, {})
+    asked = []
+    weigh = scan_noise.Model.readings
+    monkeypatch.setattr(scan_noise.Model, "readings", lambda self, line: asked.append(line) or weigh(self, line))
+    for line in ("the house was lost", "The house was lost 'was' 3rd h@#0@l", "don't x2y7z9 the was"):
+        assert not scan_noise.misread(line, own) and not scan_noise.misread(line, own)
+    assert asked == []
+    assert scan_noise.misread("thc house was lost", own) and scan_noise.misread("the h0use was lost", own)
+    assert asked == [["thc", "house", "was", "lost"], ["the", "h0use", "was", "lost"]]
+
+
+def test_counts_of_words_and_pairs():
+    texts = ["The Self-made man -- the self-made", "", "дом the-дом", "سلام the سلام", "सड़क ab--cd a-b-", "12 --", "the man"]
+    want = Counter()
+    for text in texts:
+        found = scan_noise._word.findall(text.lower())
+        want.update(found)
+        want.update(map(" ".join, zip(found, found[1:])))
+    for at_once in (0, 3, 10, 1000):
+        got = Counter()
+        for words, n in scan_noise.counted(texts, at_once):
+            assert len(words) == len(set(words)) == len(n)
+            got.update(dict(zip(words, n.tolist())))
+        assert got == want
+    assert not list(scan_noise.counted([])) and not list(scan_noise.counted(["", "12"]))
+
+
+def test_named_lines():
+    """The lines of a name are those with its identifier, whatever stands in them."""
+    long = "The long and winding title of a book " * 5
+    lines = ["The Modern Rn", "THE MODERN M", "xii The Modern rn 7", "Tbe Modern", "the m0dern rn", "The Modérn Rn", "the mode�n rn", "12", "", "The Modern Rn goes on", "The", "Modern Rn", "Ꭲhe Modern Rn", "May the Modern", long, long.upper(), "iv " + long]
+    for title in (*lines, "Nothing", "Ё"):
+        name = repeated_lines.identifier(title)
+        if name:
+            assert repeated_lines.named(lines, name) == [k for k, line in enumerate(lines) if repeated_lines.identifier(line) == name]
+    assert repeated_lines.named([], "the") == []
+    assert len(repeated_lines.named(lines, repeated_lines.identifier(lines[0]))) > 3
+
+
 def test_page_numbers():
     assert all(map(scan_noise.is_number, ["12", "[2]", "- 30 -", "Page 15", "vi", "2 1", "3l8"]))
     assert scan_noise.is_number("-" * 40 + " 12 " + "-" * 40) and not scan_noise.is_number("word " * 40)
