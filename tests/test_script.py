@@ -172,6 +172,43 @@ def test_alignment(spark):
     assert align.aligned(source.limit(0), rewrite).count() == 0
 
 
+def test_alignment_weighs_every_rewrite(spark):
+    """Rewrites that are alike by letters and share no word, against every pair of the chapter."""
+    random.seed(8)
+    schema = "book_id string, chapter_id string, id long, text string"
+    spelled = lambda t: "".join(c + c if random.random() < 0.12 else c for c in t)
+    words = "lamp carried mill horse counted crown twice harbour Capt. the of".split()
+    source = [("b", "c", k, " ".join(random.choices(words, k=random.randint(1, 9)))) for k in range(30)] + [("b", "c", 98, "He carried the lamps towards harbours."), ("b", "e", 99, "Alone.")]
+    rewrite = [("b", "c", 100 + k, spelled(random.choice(source[:30])[3])) for k in range(25)] + [("b", "c", 200, "Hee carryed thee lampz toward harbors")]
+    got = {r.src_id: (r.match_id, r.score, r.verdict) for r in align.aligned(spark.createDataFrame(source, schema), spark.createDataFrame(rewrite, schema)).collect()}
+    for _, c, k, text in source:
+        score, other = max([(round(align.partial_score(text, y) + 1e-9, 4), -n) for _, d, n, y in rewrite if d == c], default=(0.0, 0))
+        if score < align.DROPPED:
+            assert got[k] == (None, None, "dropped")
+        else:
+            assert got[k][0] == -other and abs(got[k][1] - score) < 1e-3 and got[k][2] == ("kept" if score >= align.AMBIGUOUS else "ambiguous")
+    assert got[98][0] == 200 and len(got) == 32
+
+
+def test_least_edits():
+    """Against the whole table, alone and many at once, over more than one word of bits and more than one piece."""
+
+    def plain(s, t):
+        before = [0] * (len(t) + 1)
+        for i, x in enumerate(s, 1):
+            row = [i]
+            for j, y in enumerate(t, 1):
+                row.append(before[j - 1] if x == y else 1 + min(before[j], row[j - 1]))
+            before = row
+        return min(before)
+
+    random.seed(6)
+    pairs = [("".join(random.choices("abcd", k=m)), "".join(random.choices("abcd ", k=m + n))) for m in (1, 2, 9, 64, 65, 130) for n in (0, 3, 50, 1100)]
+    for pair, spans in zip(pairs, align.spans_of(pairs)):
+        want = plain(*pair)
+        assert align.least_edits(*pair)[0] == want == min(spans)[0]
+
+
 def test_statuses(spark):
     docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
     rows = {"one": [("a", "u", "m")], "two": []}
