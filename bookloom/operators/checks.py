@@ -234,19 +234,106 @@ def chapter_markers(t: Tables) -> DataFrame:
     return _rows(own.filter("end_ms <= start_ms"), "book_id", "id", "a marker without length")
 
 
+#: Texts of a document that are searched at once, and strings that are looked for at once; up to so many are looked for one by one.
+TEXTS, STRINGS, FEW = 256, 20_000, 24
+#: Characters of the longest gram by which strings are met.
+LONGEST = 64
+
+
+def held_parts(bodies: list[str], parts: list[str]) -> list[str]:
+    """The distinct parts that some body contains; none of them has a line break.
+
+    Parts are met by the hashes of their first and last grams, as wide as a power of two allows, so the bodies are passed
+    over once for each width and not for each part.
+    """
+    import numpy as np
+
+    joined, parts = "\n".join(bodies), list(dict.fromkeys(parts))
+    if len(parts) <= FEW:
+        return [x for x in parts if x in joined]
+
+    def letters(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+    found = [""] if "" in parts else []
+    groups: dict[int, dict[int, list[str]]] = {}
+    for x in filter(None, parts):
+        groups.setdefault(min(LONGEST, 1 << len(x).bit_length() - 1), {}).setdefault(len(x), []).append(x)
+    own, all_letters = letters(joined), letters("".join(x for x in parts))
+    starts = dict(zip(parts, np.cumsum([0, *(len(x) for x in parts)]).tolist()))
+    width, base = 1, 0x9E3779B97F4A7C15
+    mixed = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    while groups and len(own):
+        by_length = groups.pop(width, {})
+        if by_length:
+            ours, theirs = mixed(own), mixed(all_letters)
+            known = np.zeros(1 << 16, dtype=bool)
+            known[theirs[[starts[x] for xs in by_length.values() for x in xs]] >> np.uint64(48)] = True
+            at = np.flatnonzero(known[ours >> np.uint64(48)])
+            for size, xs in by_length.items():
+                last = size - width
+                here = at[at + last < len(ours)]
+                of = np.array([starts[x] for x in xs])
+                keys = theirs[of] * np.uint64(3) + theirs[of + last]
+                order = np.argsort(keys)
+                met = ours[here] * np.uint64(3) + ours[here + last]
+                place = np.minimum(np.searchsorted(keys[order], met), len(xs) - 1)
+                hit = np.flatnonzero(keys[order][place] == met)
+                _, first = np.unique(met[hit], return_index=True)
+                for k in hit[first].tolist():
+                    start, x = int(here[k]), xs[order[place[k]]]
+                    # Hashes that met by chance leave the part to a plain search.
+                    if joined[start : start + size] == x or x in joined:
+                        found.append(x)
+        if not groups or len(own) <= width:
+            break
+        own = own[:-width] * np.uint64(base) + own[width:]
+        # What runs over the end of a part is not read.
+        all_letters = all_letters[:-width] * np.uint64(base) + all_letters[width:] if len(all_letters) > width else all_letters[:0]
+        width, base = 2 * width, base * base % 2**64
+    return found
+
+
+def _held(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, part): the parts (doc_id, part) that a text (doc_id, body) of their document contains."""
+    import pyarrow as pa
+
+    def listed(rows: DataFrame, name: str, most: int) -> DataFrame:
+        at = F.floor((F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(name))) - 1) / most)
+        return rows.filter(F.col(name).isNotNull()).withColumn(f"{name}_chunk", at).groupBy("doc_id", f"{name}_chunk").agg(F.collect_list(name).alias(name))
+
+    def run(batches):
+        for batch in batches:
+            hits = [held_parts(batch.column(1)[k].as_py(), batch.column(2)[k].as_py()) for k in range(batch.num_rows)]
+            at = pa.array([k for k, x in enumerate(hits) for _ in x], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([x for own in hits for x in own], pa.string())], ["doc_id", "part"])
+
+    both = listed(texts, "body", TEXTS).join(listed(parts.distinct(), "part", STRINGS), "doc_id")
+    # The chunks of a large document are spread.
+    spread = both.repartition("doc_id", "body_chunk", "part_chunk").select("doc_id", "body", "part")
+    return spread.mapInArrow(run, f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, part string").distinct()
+
+
 def seeded(texts: DataFrame, assertions: DataFrame) -> DataFrame:
     """(doc_id, id, polarity, hit): whether each seeded string is in its document.
 
     ``texts`` is (doc_id, text), ``assertions`` (doc_id, polarity, id, text, match) with match substring, line or regex.
-    Assertions meet only the texts of their document.
+    Assertions meet only the texts of their document; those without a text are left out. Substrings are looked for many at
+    once and lines meet equal lines; only a regex is held against every text.
     """
-    held = texts.withColumnRenamed("text", "body").join(assertions, "doc_id")
-    hit = (
-        F.when(F.col("match") == "regex", F.expr("body rlike concat('(?im)', text)"))
-        .when(F.col("match") == "line", F.exists(F.split("body", "\n"), lambda x: X.normalized(x, True) == X.normalized(F.col("text"), True)))
-        .otherwise(X.contains_normalized(F.col("body"), F.col("text")))
-    )
-    return held.groupBy("doc_id", "id", "polarity").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"))
+    kind = F.coalesce("match", F.lit("substring"))
+    asked = assertions.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "id", "polarity", "text", F.when(kind.isin("regex", "line"), kind).otherwise("substring").alias("match"))
+    parts = asked.filter("match = 'substring'").withColumn("part", X.normalized(F.col("text"), True))
+    held = _held(texts.select("doc_id", X.normalized(F.col("text"), True).alias("body")), parts.select("doc_id", "part").filter("part is not null"))
+    hits = parts.join(held, ["doc_id", "part"], "left_semi")
+    lines = texts.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: X.normalized(x, True)))).alias("part")).distinct()
+    equal = asked.filter("match = 'line'").withColumn("part", X.normalized(F.col("text"), True)).join(lines, ["doc_id", "part"], "left_semi")
+    matched = asked.filter("match = 'regex'").join(texts.withColumnRenamed("text", "body"), "doc_id").filter(F.expr("body rlike concat('(?im)', text)"))
+    key = ["doc_id", "id", "polarity"]
+    all_rows = asked.select(*key, F.lit(False).alias("hit"))
+    for one in (hits, equal, matched):
+        all_rows = all_rows.unionByName(one.select(*key, F.lit(True).alias("hit")))
+    return all_rows.groupBy(*key).agg(F.bool_or("hit").alias("hit"))
 
 
 def seeded_violations(texts: DataFrame, assertions: DataFrame) -> DataFrame:

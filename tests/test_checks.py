@@ -16,6 +16,33 @@ def test_seeded(spark):
     assert {(r.unit_id, r.message) for r in checks.seeded_violations(texts, a).collect()} == {("b", "forbidden string"), ("c", "forbidden string"), ("e", "missing string")}
 
 
+def test_held_parts():
+    """Against a plain search of every part in every body, few parts and many, of lengths around the widths of grams."""
+    random.seed(9)
+    for most in (5, 400):
+        bodies = ["".join(random.choices("abc ", k=random.choice((0, 1, 30, 500)))) for _ in range(12)]
+        parts = ["", "a", *("".join(random.choices("abc ", k=random.randint(1, 9))) for _ in range(most))]
+        for _ in range(most):
+            x = random.choice(bodies)
+            k, n = random.randint(0, len(x)), random.choice((1, 2, 3, 7, 8, 9, 31, 63, 64, 65, 130, 400))
+            parts += [x[k : k + n], x[k : k + n] + "d"]
+        parts += [bodies[3] + bodies[4], "é" * 70]
+        got = checks.held_parts(bodies, parts)
+        assert sorted(got) == sorted({x for x in parts if any(x in b for b in bodies)})
+    assert checks.held_parts([], [str(k) for k in range(50)]) == [] and checks.held_parts([""], ["", *map(str, range(50))]) == [""]
+
+
+def test_seeded_in_chunks(spark, monkeypatch):
+    """A document whose texts and strings fill several chunks; each text is searched once for all of them, not for each."""
+    monkeypatch.setattr(checks, "TEXTS", 3)
+    monkeypatch.setattr(checks, "STRINGS", 7)
+    rows = [("d", f"Head {k}  of “THE” book\nline {k}") for k in range(20)] + [("e", "other"), ("f", None)]
+    seeds = [("d", "must_contain", f"s{k}", f'head {k} of "the"', None if k % 2 else "substring") for k in range(40)] + [("d", "x", "l3", "LINE 3", "line"), ("d", "x", "l2", "line 20", "line"), ("d", "x", "r", "^line 1[0-9]$", "regex"), ("d", "x", "n", None, "substring"), ("e", "x", "s", "head 3", "substring"), ("f", "x", "s", "a", "substring"), ("g", "x", "s", "a", "substring")]
+    frame = checks.seeded(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(seeds, "doc_id string, polarity string, id string, text string, match string"))
+    want = {("d", f"s{k}"): k < 20 for k in range(40)} | {("d", "l3"): True, ("d", "l2"): False, ("d", "r"): True, ("d", "n"): False, ("e", "s"): False, ("f", "s"): False}
+    assert {(r.doc_id, r.id): r.hit for r in frame.collect()} == want
+
+
 def test_removed_text(spark):
     long = "A footnote about the harvest of that year and what the miller said of it."
     gone = spark.createDataFrame([("d", "u1", long), ("d", "u2", long.replace("harvest", "weather")), ("d", "u3", "short")], "doc_id string, unit_id string, text string")
