@@ -50,12 +50,31 @@ def _rows(df: DataFrame, doc: str, unit, message: str) -> DataFrame:
     return df.select(F.col(doc).alias("doc_id"), F.col(unit).cast("string").alias("unit_id") if isinstance(unit, str) else unit.cast("string").alias("unit_id"), F.lit(message).alias("message"))
 
 
+class Once:
+    """Tables whose rows without copies are written once and read by all checks."""
+
+    def __init__(self, tables: Tables):
+        self.tables, self.held = tables, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.tables(name)
+
+    def distinct(self, name: str, key: str) -> DataFrame:
+        if name not in self.held:
+            self.held[name] = written(self.tables(name).dropDuplicates([key]), name)
+        return self.held[name]
+
+
+def _distinct(t: Tables, name: str, key: str) -> DataFrame:
+    return t.distinct(name, key) if isinstance(t, Once) else t(name).dropDuplicates([key])
+
+
 def _chapters(t: Tables) -> DataFrame:
-    return t("chapters").dropDuplicates(["chapter_uid"]).filter("text is not null and not coalesce(front_matter, false)")
+    return _distinct(t, "chapters", "chapter_uid").filter("text is not null and not coalesce(front_matter, false)")
 
 
 def _segments(t: Tables) -> DataFrame:
-    return t("segments").dropDuplicates(["seg_uid"])
+    return _distinct(t, "segments", "seg_uid")
 
 
 @check(1, "extract_schema_valid")
@@ -464,6 +483,20 @@ def violations(tables: Tables, dimensions: list[str] | None = None) -> DataFrame
     return out
 
 
+def violation_counts(tables: Tables, dimensions: list[str] | None = None) -> DataFrame:
+    """(stage, dimension, doc_id, n): the violations of each book, of the checks named or of all.
+
+    Checks run one by one and leave their counts in a table, so no plan is larger than that of one check.
+    """
+    once, out = Once(tables), None
+    for name in dimensions or list(CHECKS):
+        own = CHECKS[name]
+        counts = own.run(once).groupBy("doc_id").agg(F.count("*").alias("n"))
+        part = written(counts.select(F.lit(own.stage).alias("stage"), F.lit(name).alias("dimension"), "doc_id", "n"), "counts")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def results(found: DataFrame, docs: DataFrame, dimensions: list[str]) -> DataFrame:
     """(doc_id, stage, dimension, status, n): every book and check, pass where no violation was found.
 

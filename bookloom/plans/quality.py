@@ -64,7 +64,7 @@ def check_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def all_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return K.violations(_tables(spark, sf)).groupBy("stage", "dimension", "doc_id").agg(F.count("*").alias("n"))
+    return K.violation_counts(_tables(spark, sf))
 
 
 @query(f"WITH {V} SELECT doc_id, " + ", ".join(f"max(CASE WHEN dimension = '{x}' THEN status END) AS {x}" for x in SOME) + " FROM r GROUP BY 1")

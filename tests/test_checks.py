@@ -43,6 +43,16 @@ def test_seeded_in_chunks(spark, monkeypatch):
     assert {(r.doc_id, r.id): r.hit for r in frame.collect()} == want
 
 
+def test_violation_counts(spark):
+    """The same as those of one plan, which reads the counts and none of the texts."""
+    tables = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    some = ["no_page_numbers", "dehyphenation", "segment_length_limits", "no_surviving_digits", "speaker_similarity"]
+    got = checks.violation_counts(tables, some)
+    want = checks.violations(tables, some).groupBy("stage", "dimension", "doc_id").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_removed_text(spark):
     long = "A footnote about the harvest of that year and what the miller said of it."
     gone = spark.createDataFrame([("d", "u1", long), ("d", "u2", long.replace("harvest", "weather")), ("d", "u3", "short")], "doc_id string, unit_id string, text string")
